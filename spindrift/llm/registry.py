@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, pii, quality, topk
-from spindrift.llm.common import table
+from spindrift.llm import brown_lm, byte_bpe, ngram_join, packing, pii, quality, topk
+from spindrift.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -27,6 +31,17 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE_KINDS), *digests)
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 7) == 2
+    model = brown_lm.fit(docs.filter(~held_out))
+    return brown_lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN), RANKS)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
@@ -38,9 +53,22 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+OP1_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 10 * a.n >= 9 * b.n and 10 * b.n >= 9 * a.n
+          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, b as other from both_ways union select r.doc_id, l.b from reach r join both_ways l on l.a = r.other)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) as component_id
+from s left join reach r on r.doc_id = s.doc_id group by s.doc_id, len(s.s)
+"""
+
 OP10_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 q as (select vec_id as query_id, unnest(v) as x, generate_subscripts(v, 1) as i from v where vec_id % 100 = 0),
 c as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from v),
 s as (select query_id, vec_id, cast(sum(q.x * c.x) as bigint) as score from q join c on q.i = c.i and c.vec_id <> q.query_id group by all),
@@ -50,8 +78,8 @@ select * from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op8_byte_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op7_best_fit_packing, op8_byte_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op10_topk": OP10_SQL}
