@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import brown_lm, byte_bpe, ngram_join, packing, pii, quality, topk
+from spindrift.llm import brown_lm, byte_bpe, language, ngram_join, packing, pii, quality, topk, toxicity
 from spindrift.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,18 @@ def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    return language.pages(table(spark, sf_dir, "pages"), model)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of("doc_id", 5) == 0
+    machine = toxicity.fit(docs, labels.filter(~held_out))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -78,7 +90,7 @@ select * from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op7_best_fit_packing, op8_byte_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
