@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import brown_lm, byte_bpe, language, ngram_join, packing, pii, quality, topk, toxicity
+from spindrift.llm import brown_lm, byte_bpe, language, line_dedup, ngram_join, packing, pii, quality, topk, toxicity
 from spindrift.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,6 +60,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -90,7 +94,7 @@ select * from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op9_line_dedup, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
