@@ -73,7 +73,6 @@ def rules() -> dict[str, Column]:
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
     capitals = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
     return {
-        "length": vote(F.col("n_words") < 20, F.col("n_words") >= 50),
         "word_length": vote((per_word("word_chars") < 2.5) | (per_word("word_chars") > 12), per_word("word_chars").between(3, 9)),
         "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
         "dup_lines": vote(per_line("n_dup_lines") > 0.3, (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
@@ -96,11 +95,13 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60) -> tuple[float, np.ndarray]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, least_right: float = 0.99, rounds: int = 60) -> tuple[float, np.ndarray]:
     """Share of good documents and, per rule and class (bad, good), the log ratio table of votes -1, 0, 1.
 
     Starts from "bad if any rule says bad". Abstaining carries no evidence; of the votes cast, each rule has a chance
-    of saying good on a good document and another on a bad one, both smoothed by one vote each way.
+    of saying good on a good document and another on a bad one, both smoothed by one vote each way. Rules are taken to
+    call at most one good document in a hundred bad (``least_right``): without some such belief, junk that a single
+    rule sees could as well be good documents on which that rule errs.
     """
     if not patterns:
         return 0.5, np.zeros((n_rules, 3))
@@ -112,6 +113,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds:
         for r in range(n_rules):
             up, down = votes[:, r] > 0, votes[:, r] < 0
             p = [((weight * m)[up].sum() + 1) / ((weight * m)[up | down].sum() + 2) for m in (1 - good, good)]
+            p[1] = max(p[1], least_right)
             ratio[r] = np.log((1 - p[1]) / (1 - p[0])), 0.0, np.log(p[1] / p[0])
         logit = np.log(share / (1 - share)) + ratio[np.arange(n_rules), votes + 1].sum(axis=1)
         good = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
@@ -122,16 +124,16 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, ``p_good`` and ``kept`` for every row of docs.
 
     ``base_failed``: under 20 words, or over 30 % of the words repeated. ``kept`` is false if base_failed, else
-    whether p_good reaches the threshold. Null and empty texts fail. Repeated rows get equal results; an empty table
+    whether p_good reaches the threshold. The rules are judged on documents that pass the base. Null and empty texts fail. Repeated rows get equal results; an empty table
     gives no rows.
     """
     votes = rules()
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     seen = stored(measure(docs), "quality-counts").withColumns({f"vote_{k}": v for k, v in votes.items()})
     names = [f"vote_{k}" for k in votes]
-    patterns = [(tuple(r[:-1]), r[-1]) for r in seen.groupBy(names).count().collect()]
+    patterns = [(tuple(r[:-1]), r[-1]) for r in seen.filter(~failed).groupBy(names).count().collect()]
     share, ratio = estimate(patterns, len(names))
     logit = F.lit(float(np.log(share / (1 - share))))
     for name, (bad, _, good) in zip(names, ratio):
         logit += F.when(F.col(name) < 0, float(bad)).when(F.col(name) > 0, float(good)).otherwise(0.0)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return seen.withColumn("p_good", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return seen.withColumn("p_good", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
