@@ -291,3 +291,14 @@ def viterbi(x: np.ndarray, start: np.ndarray, step: np.ndarray, mean: np.ndarray
     for t in range(len(x) - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
     return path
+
+
+def strided(n: int, width: int, overlap: float, most: int) -> tuple[int, np.ndarray]:
+    """Width and starts of overlapping windows. If there would be more than ``most``, the shift grows and the width with it."""
+    shift = max(1, int(round(width * (1 - overlap))))
+    count = (n - width) // shift + 1 if n >= width else 0
+    if count > most:
+        shift = max(1, (n - width) // max(1, most - 1))
+        width = min(n, int(shift // (1 - overlap)))
+        count = min(most, (n - width) // shift + 1)
+    return width, np.arange(max(0, count)) * shift

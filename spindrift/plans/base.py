@@ -62,7 +62,7 @@ grid as (select unnest(generate_series((select min(day) from per), (select max(d
 names as (select series, row_number() over (order by series) - 1 as region from (select distinct series from per)),
 sig as (select cast(0 as bigint) as trial, cast(region as int) as region, cast(date_diff('day', (select min(day) from per), g.day) as int) as t,
         coalesce(last_value(v ignore nulls) over (partition by region order by g.day), 0.0) as v
-        from names n cross join grid g left join per p on p.series = n.series and p.at = g.day)"""
+        from names n cross join grid g left join per p on p.series = n.series and p.day = g.day)"""
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
