@@ -302,3 +302,8 @@ def strided(n: int, width: int, overlap: float, most: int) -> tuple[int, np.ndar
         width = min(n, int(shift // (1 - overlap)))
         count = min(most, (n - width) // shift + 1)
     return width, np.arange(max(0, count)) * shift
+
+
+def ricker(points: int, a: float) -> np.ndarray:
+    x = np.arange(points) - (points - 1) / 2
+    return 2 / (np.sqrt(3 * a) * np.pi**0.25) * (1 - (x / a) ** 2) * np.exp(-((x / a) ** 2) / 2)
