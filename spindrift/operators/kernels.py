@@ -307,3 +307,48 @@ def strided(n: int, width: int, overlap: float, most: int) -> tuple[int, np.ndar
 def ricker(points: int, a: float) -> np.ndarray:
     x = np.arange(points) - (points - 1) / 2
     return 2 / (np.sqrt(3 * a) * np.pi**0.25) * (1 - (x / a) ** 2) * np.exp(-((x / a) ** 2) / 2)
+
+
+def _harmonic(n: int) -> np.ndarray:
+    """digamma(m) for m = 0..n, less Euler's constant; entry 0 is unused."""
+    return np.concatenate([[0.0, 0.0], np.cumsum(1.0 / np.arange(1, max(2, n)))])[: n + 1]
+
+
+def _blocks(n: int, size: int = 512) -> Iterator[slice]:
+    return (slice(lo, min(n, lo + size)) for lo in range(0, n, size))
+
+
+def _apart(x: np.ndarray, rows: slice) -> np.ndarray:
+    d = np.abs(x[rows, None] - x[None, :])
+    d[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop)] = np.inf
+    return d
+
+
+def ksg_mi(x: np.ndarray, y: np.ndarray, k: int = 4) -> float:
+    """Mutual information in nats by the second nearest-neighbour form, in blocks of rows."""
+    n = min(len(x), len(y))
+    x, y, psi, total = x[:n], y[:n], _harmonic(n + 1), 0.0
+    if n <= k:
+        return float("nan")
+    for rows in _blocks(n):
+        dx, dy = _apart(x, rows), _apart(y, rows)
+        near = np.argpartition(np.maximum(dx, dy), k - 1, axis=1)[:, :k]
+        ex, ey = np.take_along_axis(dx, near, 1).max(axis=1), np.take_along_axis(dy, near, 1).max(axis=1)
+        nx, ny = (dx <= ex[:, None]).sum(axis=1), (dy <= ey[:, None]).sum(axis=1)
+        total += (psi[nx] + psi[ny]).sum()
+    return float(psi[k] - 1 / k - total / n + psi[n])
+
+
+def ksg_te(source: np.ndarray, target: np.ndarray, k: int = 4, delay: int = 1) -> float:
+    """Transfer entropy in nats: information of the delayed source on the next target value, given the target's last one."""
+    first = max(1, delay)
+    nxt, past, src = target[first:], target[first - 1 : -1], source[first - delay : len(source) - delay]
+    n, psi, total = len(nxt), _harmonic(len(nxt) + 2), 0.0
+    if n <= k:
+        return float("nan")
+    for rows in _blocks(n):
+        a, b, c = _apart(nxt, rows), _apart(past, rows), _apart(src, rows)
+        e = np.partition(np.maximum(np.maximum(a, b), c), k - 1, axis=1)[:, k - 1][:, None]
+        nz, nxz, nyz = (b < e).sum(axis=1), (np.maximum(a, b) < e).sum(axis=1), (np.maximum(c, b) < e).sum(axis=1)
+        total += (psi[nz + 1] - psi[nxz + 1] - psi[nyz + 1]).sum()
+    return float(psi[k] + total / n)
