@@ -352,3 +352,111 @@ def ksg_te(source: np.ndarray, target: np.ndarray, k: int = 4, delay: int = 1) -
         nz, nxz, nyz = (b < e).sum(axis=1), (np.maximum(a, b) < e).sum(axis=1), (np.maximum(c, b) < e).sum(axis=1)
         total += (psi[nz + 1] - psi[nxz + 1] - psi[nyz + 1]).sum()
     return float(psi[k] + total / n)
+
+
+def standard(x: np.ndarray) -> np.ndarray:
+    s = x.std()
+    return (x - x.mean()) / s if s > 0 else np.zeros(len(x))
+
+
+def acf(x: np.ndarray) -> np.ndarray:
+    """Biased autocorrelation at all lags, through a padded transform; zeros for a constant series."""
+    x = x - x.mean()
+    f = np.fft.rfft(x, 2 * len(x))
+    a = np.fft.irfft(f * f.conj())[: len(x)]
+    return a / a[0] if a[0] > 0 else np.zeros(len(x))
+
+
+def first_zero(x: np.ndarray) -> int:
+    below = np.flatnonzero(acf(x) <= 0)
+    return int(below[0]) if len(below) else len(x)
+
+
+def transition_spread(x: np.ndarray) -> float:
+    """Summed variances of the columns of the transition matrix of three letters, sampled at the first zero of the autocorrelation."""
+    y = x[:: max(1, first_zero(x))]
+    letter = np.empty(len(y), int)
+    letter[np.lexsort((np.arange(len(y)), y))] = np.arange(len(y)) * 3 // max(1, len(y))
+    table = np.zeros((3, 3))
+    np.add.at(table, (letter[:-1], letter[1:]), 1)
+    return float((table / max(1, len(y) - 1)).var(axis=0, ddof=1).sum())
+
+
+def outlier_timing(x: np.ndarray, step: float = 0.01) -> float:
+    """Median over rising thresholds of where, relative to the middle, the points beyond them lie; thresholds end when 2 % of points are left."""
+    n, found = len(x), []
+    for level in np.arange(0, max(x.max(), 0) + step, step):
+        at = np.flatnonzero(x >= level)
+        if len(at) < max(2, 0.02 * n):
+            break
+        found.append(np.median(at + 1) / (n / 2) - 1)
+    return float(np.median(found)) if found else 0.0
+
+
+def _rectangular(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    f, p = welch(x, 1.0, len(x), "rect")
+    return 2 * np.pi * f, p / (2 * np.pi)
+
+
+def low_power(x: np.ndarray) -> float:
+    """Power in the lowest fifth of the frequencies."""
+    w, p = _rectangular(x)
+    return float(p[: len(p) // 5].sum() * (w[1] - w[0]))
+
+
+def power_centre(x: np.ndarray) -> float:
+    """Frequency at which the cumulative power passes one half."""
+    w, p = _rectangular(x)
+    return float(w[np.flatnonzero(np.cumsum(p) > p.sum() / 2)[0]]) if p.sum() > 0 else 0.0
+
+
+def periodicity(x: np.ndarray, threshold: float = 0.01) -> float:
+    """First autocorrelation peak that lies over the threshold above a trough before it, of the series less a smooth cubic trend; 0 if none."""
+    t = np.linspace(-1, 1, len(x))
+    knots = np.linspace(-1, 1, 4)[1:-1]
+    basis = np.column_stack([t**k for k in range(4)] + [np.maximum(t - k, 0) ** 3 for k in knots])
+    x = x - basis @ np.linalg.lstsq(basis, x, rcond=None)[0]
+    a = acf(x)[: max(2, len(x) // 3 + 1)]
+    slope = np.diff(a)
+    troughs = [i for i in range(1, len(slope)) if slope[i - 1] < 0 < slope[i]]
+    for i in range(1, len(slope)):
+        if slope[i - 1] > 0 > slope[i] and a[i] > 0:
+            before = [k for k in troughs if k < i]
+            if before and a[i] - a[before[-1]] > threshold:
+                return float(i)
+    return 0.0
+
+
+def embedding_fit(x: np.ndarray) -> float:
+    """Mean distance between the histogram of successive steps in a two-dimensional embedding and an exponential of their mean."""
+    tau = min(first_zero(x), max(1, len(x) // 10))
+    d = np.hypot(np.diff(x[:-tau]), np.diff(x[tau:]))
+    if len(d) < 2 or d.std() == 0:
+        return 0.0
+    bins = max(1, int(np.ceil((d.max() - d.min()) / (3.5 * d.std() / len(d) ** (1 / 3)))))
+    count, edge = np.histogram(d, bins)
+    centre = (edge[:-1] + edge[1:]) / 2
+    fit = np.exp(-centre / d.mean()) / d.mean()
+    return float(np.abs(count / len(d) - np.maximum(fit, 0)).mean())
+
+
+def fluctuation(x: np.ndarray, how: str) -> float:
+    """Share of the scales in the first of two lines that best fit log fluctuation over log window size; 0 for short series."""
+    y = np.cumsum(x - x.mean())
+    sizes = np.unique(np.exp(np.linspace(np.log(5), np.log(max(5, len(x) // 2)), 50)).round().astype(int))
+    if len(sizes) < 12:
+        return 0.0
+    logs = []
+    for s in sizes:
+        boxes = y[: len(y) // s * s].reshape(-1, s)
+        t = np.arange(s) - (s - 1) / 2
+        flat = boxes - boxes.mean(axis=1, keepdims=True) - np.outer(boxes @ t / (t @ t), t)
+        logs.append(np.log(max(np.mean(np.ptp(flat, axis=1)) if how == "range" else np.sqrt((flat**2).mean()), 1e-300)))
+    lx, ly = np.log(sizes), np.array(logs)
+
+    def miss(i: np.ndarray) -> float:
+        return float(np.linalg.norm(ly[i] - np.polyval(np.polyfit(lx[i], ly[i], 1), lx[i])))
+
+    n = np.arange(len(sizes))
+    errors = [miss(n[:i]) + miss(n[i - 1 :]) for i in range(6, len(n) - 5)]
+    return float((int(np.argmin(errors)) + 6) / len(n))
