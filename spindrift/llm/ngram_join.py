@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import lower_words, stored, text_or_empty
 from spindrift.llm.components import components
+from spindrift.llm.prefilter import maybe_in
 
 GOLDEN = 0x9E3779B97F4A7C15
 #: Word hashes remembered by a task; the memory starts anew beyond this.
@@ -270,14 +271,17 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, capacity: int = 1 << 20
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     seen = stored(_signatures(docs, n, percent), "jaccard-sets")
-    keys = seen.select(F.explode("keys").alias("key"), "cid")
-    shared = keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot <> last").select("key", "pivot")
-    stars = stored(keys.join(shared, "key").filter("cid <> pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct(), "jaccard-stars")
+    keys = seen.select(F.explode("keys").alias("k0"), "cid")
+    shared = keys.groupBy("k0").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot <> last").select("k0", "pivot")
+    shared = stored(shared, "jaccard-keys")
+    paired = maybe_in(keys, shared.select("k0")).filter("maybe").join(shared, "k0").filter("cid <> pivot")
+    stars = stored(paired.select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct(), "jaccard-stars")
     groups = stored(components(stars), "jaccard-groups").select(F.col("node").alias("cid"), F.col("label").alias("group"))
     no_id = F.coalesce("doc_id", F.lit(-(2**63)))
     first = stored(seen.join(groups, "cid").groupBy("cid", "group").agg(F.min(no_id).alias("first_id"), F.first("n_shingles").alias("n")), "jaccard-first")
     totals = first.groupBy("group").agg(F.ceil(F.sum(F.col("n") * 8) / capacity).cast("bigint").alias("tiles"))
-    texts = docs.join(first.select("first_id").distinct(), no_id == F.col("first_id"), "left_semi")
+    wanted = first.select(F.col("first_id").alias("k0")).distinct()
+    texts = maybe_in(docs.select(no_id.alias("k0"), "text"), wanted).filter("maybe").join(wanted, "k0", "left_semi")
     arrays = _sets(texts, n).join(first.join(totals, "group").select("cid", "group", "tiles"), "cid").dropDuplicates(["cid"])
     arrays = stored(arrays, "jaccard-members")
     labels = stored(_tiles(arrays, percent, capacity), "jaccard-links").select(F.col("node").alias("cid"), F.col("label").alias("linked"))
