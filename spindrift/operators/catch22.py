@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators import kernels, states
-from spindrift.operators.signal import IN_TIME, SERIES, zscore
+from spindrift.operators.signal import in_time, series, zscore
 from spindrift.operators.stats import autocorrelation
 
-V = F.col("v")
 
 
 def _per(df: DataFrame, value) -> DataFrame:
@@ -23,16 +22,16 @@ def _per(df: DataFrame, value) -> DataFrame:
 
 def histogram_mode(signal: DataFrame, bins: int) -> DataFrame:
     """Centre of the fullest of equal bins over the range; ties are averaged."""
-    low, high = F.min("v").over(SERIES), F.max("v").over(SERIES)
+    low, high = F.min("v").over(series()), F.max("v").over(series())
     placed = signal.withColumn("low", low).withColumn("width", (high - low) / bins)
-    bin_ = F.least(F.floor(F.coalesce(F.try_divide(V - F.col("low"), F.col("width")), F.lit(0.0))), F.lit(bins - 1))
+    bin_ = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("width")), F.lit(0.0))), F.lit(bins - 1))
     counted = placed.groupBy("trial", "region", bin_.alias("bin")).agg(F.count("*").alias("c"), F.first("low").alias("low"), F.first("width").alias("width"))
-    fullest = counted.withColumn("top", F.max("c").over(SERIES)).filter("c = top")
+    fullest = counted.withColumn("top", F.max("c").over(series())).filter("c = top")
     return _per(fullest, F.avg(F.col("low") + F.col("width") * (F.col("bin") + 0.5)))
 
 
 def _acf(signal: DataFrame, lags: int = 40) -> DataFrame:
-    by_lag = SERIES.orderBy("lag")
+    by_lag = series().orderBy("lag")
     return autocorrelation(signal, lags).withColumn("before", F.lag("value").over(by_lag)).withColumn("after", F.lead("value").over(by_lag))
 
 
@@ -55,7 +54,7 @@ def first_zero(signal: DataFrame, lags: int = 40) -> DataFrame:
 
 def gaussian_ami_minimum(signal: DataFrame, lags: int = 40) -> DataFrame:
     """First minimum over lags of -1/2 ln(1 - r^2), r the autocorrelation."""
-    by_lag = SERIES.orderBy("lag")
+    by_lag = series().orderBy("lag")
     ami = autocorrelation(signal, lags).filter("lag > 0").withColumn("m", -0.5 * F.log(F.greatest(1 - F.col("value") * F.col("value"), F.lit(1e-300))))
     near = ami.withColumn("before", F.lag("m").over(by_lag)).withColumn("after", F.lead("m").over(by_lag))
     return _per(near, F.coalesce(F.min(F.when((F.col("m") < F.col("before")) & (F.col("m") < F.col("after")), F.col("lag"))), F.lit(lags)).cast("double"))
@@ -63,22 +62,22 @@ def gaussian_ami_minimum(signal: DataFrame, lags: int = 40) -> DataFrame:
 
 def histogram_ami(signal: DataFrame, tau: int = 2, bins: int = 5) -> DataFrame:
     """Mutual information in nats of samples tau apart, in equal bins a little wider than the range."""
-    low, high = F.min("v").over(SERIES) - 0.1, F.max("v").over(SERIES) + 0.1
-    placed = signal.withColumn("b", F.least(F.floor((V - low) / (high - low) * bins), F.lit(bins - 1)).cast("int"))
-    joint = placed.withColumn("c", F.lead("b", tau).over(IN_TIME)).filter("c is not null").groupBy("trial", "region", "b", "c").agg(F.count("*").alias("n"))
+    low, high = F.min("v").over(series()) - 0.1, F.max("v").over(series()) + 0.1
+    placed = signal.withColumn("b", F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int"))
+    joint = placed.withColumn("c", F.lead("b", tau).over(in_time())).filter("c is not null").groupBy("trial", "region", "b", "c").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
     row, column = Window.partitionBy("trial", "region", "b"), Window.partitionBy("trial", "region", "c")
-    shares = joint.withColumn("total", F.sum("n").over(SERIES)).withColumn("nb", F.sum("n").over(row)).withColumn("nc", F.sum("n").over(column))
+    shares = joint.withColumn("total", F.sum("n").over(series())).withColumn("nb", F.sum("n").over(row)).withColumn("nc", F.sum("n").over(column))
     return _per(shares, F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nb") * F.col("nc")))))
 
 
 def trev(signal: DataFrame) -> DataFrame:
-    return _per(signal.withColumn("d", F.lead("v").over(IN_TIME) - V), F.avg(F.pow("d", F.lit(3))))
+    return _per(signal.withColumn("d", F.lead("v").over(in_time()) - F.col("v")), F.avg(F.pow("d", F.lit(3))))
 
 
 def pnn40(signal: DataFrame) -> DataFrame:
-    d = signal.withColumn("d", F.abs(F.lead("v").over(IN_TIME) - V) * 1000).filter("d is not null")
+    d = signal.withColumn("d", F.abs(F.lead("v").over(in_time()) - F.col("v")) * 1000).filter("d is not null")
     return _per(d, F.avg((F.col("d") > 40).cast("double")))
 
 
@@ -88,32 +87,32 @@ def longest(path: DataFrame, state: int) -> DataFrame:
 
 
 def longest_above_mean(signal: DataFrame) -> DataFrame:
-    return longest(signal.select("trial", "region", "t", (V > F.avg("v").over(SERIES)).cast("int").alias("state")), 1)
+    return longest(signal.select("trial", "region", "t", (F.col("v") > F.avg("v").over(series())).cast("int").alias("state")), 1)
 
 
 def longest_decrease(signal: DataFrame) -> DataFrame:
-    d = signal.withColumn("d", F.lead("v").over(IN_TIME) - V).filter("d is not null")
+    d = signal.withColumn("d", F.lead("v").over(in_time()) - F.col("v")).filter("d is not null")
     return longest(d.select("trial", "region", "t", (F.col("d") >= 0).cast("int").alias("state")), 0)
 
 
 def letters(signal: DataFrame, n: int = 3) -> DataFrame:
     """(trial, region, t, letter): equally filled classes of the values, by rank."""
-    rank = F.row_number().over(SERIES.orderBy("v", "t")) - 1
-    return signal.select("trial", "region", "t", F.floor(rank * n / F.count("*").over(SERIES)).cast("int").alias("letter"))
+    rank = F.row_number().over(series().orderBy("v", "t")) - 1
+    return signal.select("trial", "region", "t", F.floor(rank * n / F.count("*").over(series())).cast("int").alias("letter"))
 
 
 def motif_entropy(signal: DataFrame) -> DataFrame:
     """Entropy in nats of pairs of successive letters of three."""
-    pairs = letters(signal).withColumn("next", F.lead("letter").over(IN_TIME)).filter("next is not null").groupBy("trial", "region", "letter", "next").agg(F.count("*").alias("n"))
-    p = pairs.withColumn("p", F.col("n") / F.sum("n").over(SERIES))
+    pairs = letters(signal).withColumn("next", F.lead("letter").over(in_time())).filter("next is not null").groupBy("trial", "region", "letter", "next").agg(F.count("*").alias("n"))
+    p = pairs.withColumn("p", F.col("n") / F.sum("n").over(series()))
     return _per(p, -F.sum(F.col("p") * F.log("p")))
 
 
 def forecast_residual(signal: DataFrame, past: int) -> DataFrame:
     """Each sample less the mean of the ``past`` ones before it."""
-    mean = F.avg("v").over(IN_TIME.rowsBetween(-past, -1))
-    full = F.count("v").over(IN_TIME.rowsBetween(-past, -1)) == past
-    return signal.withColumn("r", F.when(full, V - mean)).filter("r is not null").select("trial", "region", "t", F.col("r").alias("v"))
+    mean = F.avg("v").over(in_time().rowsBetween(-past, -1))
+    full = F.count("v").over(in_time().rowsBetween(-past, -1)) == past
+    return signal.withColumn("r", F.when(full, F.col("v") - mean)).filter("r is not null").select("trial", "region", "t", F.col("r").alias("v"))
 
 
 def mean3_stderr(signal: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators import kernels
-from spindrift.operators.signal import IN_TIME, SERIES
+from spindrift.operators.signal import in_time, series
 
 NAT_TO_BIT = 1.4427  # fixed value
 
@@ -22,13 +22,13 @@ def entropy_bin(signal: DataFrame, digits: int | None = None) -> DataFrame:
     """(trial, region, value): Shannon entropy of the value frequencies over log2 of the number of samples."""
     v = F.round("v", digits) if digits is not None else F.col("v")
     counted = signal.groupBy("trial", "region", v.alias("v")).agg(F.count("*").alias("c"))
-    p = F.col("c") / F.sum("c").over(SERIES)
-    shares = counted.withColumn("p", p).withColumn("n", F.sum("c").over(SERIES))
+    p = F.col("c") / F.sum("c").over(series())
+    shares = counted.withColumn("p", p).withColumn("n", F.sum("c").over(series()))
     return shares.groupBy("trial", "region").agg(F.coalesce(F.try_divide(-F.sum(F.col("p") * F.log2("p")), F.log2(F.first("n"))), F.lit(0.0)).alias("value"))
 
 
 def _grid_entropy(density: DataFrame, points: int) -> DataFrame:
-    p = F.try_divide("d", F.sum("d").over(SERIES))
+    p = F.try_divide("d", F.sum("d").over(series()))
     return density.withColumn("p", p).filter("p > 0").groupBy("trial", "region").agg((-F.sum(F.col("p") * F.log2("p")) / math.log2(points)).alias("value"))
 
 
@@ -55,7 +55,7 @@ def entropy_kde(signal: DataFrame, points: int = 50) -> DataFrame:
 
 def entropy_nearest(signal: DataFrame) -> DataFrame:
     """(trial, region, value): Kozachenko-Leonenko differential entropy in bits; equal neighbours count at the least distance."""
-    by_value = SERIES.orderBy("v", "t")
+    by_value = series().orderBy("v", "t")
     gap = F.least(F.col("v") - F.lag("v").over(by_value), F.lead("v").over(by_value) - F.col("v"))
     near = signal.withColumn("gap", F.greatest(gap, F.lit(2.2250738585072014e-308)))
     found = near.groupBy("trial", "region").agg(F.avg(F.log("gap")).alias("g"), F.count("*").alias("n")).filter("n > 1")
@@ -78,7 +78,7 @@ def pairs_build(spark, sources: list[int], targets: list[int], mode: str = "all"
 
 def lag_pairs(signal: DataFrame, lag: int) -> DataFrame:
     """(trial, region, t, v, past): each sample with the one lag steps before."""
-    return signal.withColumn("past", F.lag("v", lag).over(IN_TIME)).filter("past is not null")
+    return signal.withColumn("past", F.lag("v", lag).over(in_time())).filter("past is not null")
 
 
 def mutual_information(recordings: DataFrame, pairs: list[tuple[int, int]], k: int = 4, lag: int = 0) -> DataFrame:

@@ -10,7 +10,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VALUE = F.col("value")
 
 
 def finite(*columns: str) -> Column:
@@ -40,7 +39,7 @@ def feature_stats(features: DataFrame) -> DataFrame:
 
 def standardize(features: DataFrame, stats: DataFrame) -> DataFrame:
     """Apply training statistics; a label that they lack goes, one without spread becomes 0."""
-    return features.join(stats, "label").select("trial", "label", F.coalesce(F.try_divide(VALUE - F.col("mean"), F.col("scale")), F.lit(0.0)).alias("value"))
+    return features.join(stats, "label").select("trial", "label", F.coalesce(F.try_divide(F.col("value") - F.col("mean"), F.col("scale")), F.lit(0.0)).alias("value"))
 
 
 def low_variance_drop(features: DataFrame, stats: DataFrame, eps: float = 1e-5) -> DataFrame:
@@ -148,7 +147,7 @@ def kde(posterior: DataFrame, points: int = 100, rule: str = "scott") -> DataFra
     base = base.withColumn("h", F.col("s") * factor)
     grid = posterior.join(base, ["cond", "param"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("low") + (F.col("high") - F.col("low")) * F.col("g") / (points - 1)
-    summed = grid.withColumn("x", x).withColumn("z", (F.col("x") - VALUE) / F.col("h")).groupBy("cond", "param", "g").agg(F.first("x").alias("x"), F.sum(F.exp(-0.5 * F.col("z") * F.col("z"))).alias("e"), F.first("n").alias("n"), F.first("h").alias("h"))
+    summed = grid.withColumn("x", x).withColumn("z", (F.col("x") - F.col("value")) / F.col("h")).groupBy("cond", "param", "g").agg(F.first("x").alias("x"), F.sum(F.exp(-0.5 * F.col("z") * F.col("z"))).alias("e"), F.first("n").alias("n"), F.first("h").alias("h"))
     return summed.select("cond", "param", "g", "x", (F.col("e") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
@@ -163,7 +162,7 @@ def hist_1d(posterior: DataFrame, bins: int | None = None) -> DataFrame:
     width = 2 * F.col("iqr") / F.pow(F.col("n"), F.lit(1 / 3))
     count = F.lit(bins) if bins else F.greatest(F.coalesce(F.ceil(F.try_divide(F.col("high") - F.col("low"), width)), F.lit(1)), F.lit(1))
     placed = posterior.join(base.withColumn("bins", count), ["cond", "param"])
-    bin_ = F.least(F.floor(F.coalesce(F.try_divide(VALUE - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * F.col("bins")), F.col("bins") - 1)
+    bin_ = F.least(F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * F.col("bins")), F.col("bins") - 1)
     return placed.groupBy("cond", "param", bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -177,7 +176,7 @@ def pairs(posterior: DataFrame) -> DataFrame:
 def hist_2d(posterior: DataFrame, bins: int = 50) -> DataFrame:
     """(cond, p, q, bx, by, n): joint histogram of each pair between the extremes, last edges closed."""
     ends = posterior.groupBy("cond", "param").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    place = F.least(F.floor(F.coalesce(F.try_divide(VALUE - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     placed = posterior.join(ends, ["cond", "param"]).select("cond", "sample", "param", place.alias("value"))
     return pairs(placed).groupBy("cond", "p", "q", F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.count("*").alias("n"))
 
@@ -211,7 +210,7 @@ def node_param_expand(draws: DataFrame, regions: DataFrame) -> DataFrame:
 
 def node_param_fit(nodes: DataFrame) -> DataFrame:
     """(a, b, c): least squares of value on myelin and gradient, by centred sums."""
-    x, y, v = F.col("myelin"), F.col("gradient"), VALUE
+    x, y, v = F.col("myelin"), F.col("gradient"), F.col("value")
     sums = nodes.agg(F.covar_pop(x, x).alias("xx"), F.covar_pop(y, y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, v).alias("xv"), F.covar_pop(y, v).alias("yv"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(v).alias("mv"))
     det = F.expr("xx * yy - xy * xy")
     a, b = F.try_divide(F.expr("yy * xv - xy * yv"), det), F.try_divide(F.expr("xx * yv - xy * xv"), det)

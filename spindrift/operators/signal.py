@@ -8,9 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-SERIES = Window.partitionBy("trial", "region")
-IN_TIME = SERIES.orderBy("t")
+
+
+def series() -> WindowSpec:
+    return Window.partitionBy("trial", "region")
+
+
+def in_time() -> WindowSpec:
+    return series().orderBy("t")
 
 
 def number_regions(df: DataFrame, trial: str, order: str) -> DataFrame:
@@ -74,7 +81,7 @@ def region_select(signal: DataFrame, indices: list[int]) -> DataFrame:
 def transient_cut(signal: DataFrame, dt: float, t_cut: float) -> DataFrame:
     """Drop samples up to t_cut and count time anew."""
     kept = signal.filter(F.col("t") * dt > t_cut)
-    return kept.withColumn("t", (F.row_number().over(IN_TIME) - 1).cast("int"))
+    return kept.withColumn("t", (F.row_number().over(in_time()) - 1).cast("int"))
 
 
 def decimate(signal: DataFrame, every: int) -> DataFrame:
@@ -90,33 +97,33 @@ def _with(signal: DataFrame, value: Column) -> DataFrame:
 
 
 def zscore(signal: DataFrame) -> DataFrame:
-    return _with(signal, F.try_divide(F.col("v") - F.avg("v").over(SERIES), F.stddev_pop("v").over(SERIES)))
+    return _with(signal, F.try_divide(F.col("v") - F.avg("v").over(series()), F.stddev_pop("v").over(series())))
 
 
 def minmax(signal: DataFrame) -> DataFrame:
-    low, high = F.min("v").over(SERIES), F.max("v").over(SERIES)
+    low, high = F.min("v").over(series()), F.max("v").over(series())
     return _with(signal, F.try_divide(F.col("v") - low, high - low))
 
 
 def maxnorm(signal: DataFrame) -> DataFrame:
-    return _with(signal, F.try_divide(F.col("v"), F.max("v").over(SERIES)))
+    return _with(signal, F.try_divide(F.col("v"), F.max("v").over(series())))
 
 
 def demean(signal: DataFrame) -> DataFrame:
-    return _with(signal, F.col("v") - F.avg("v").over(SERIES))
+    return _with(signal, F.col("v") - F.avg("v").over(series()))
 
 
 def detrend(signal: DataFrame) -> DataFrame:
     """Less the least-squares line over t; moments are centred, so long series lose no digits."""
-    t, v = F.col("t") - F.avg("t").over(SERIES), F.col("v") - F.avg("v").over(SERIES)
+    t, v = F.col("t") - F.avg("t").over(series()), F.col("v") - F.avg("v").over(series())
     centred = signal.withColumn("tc", t).withColumn("vc", v)
-    slope = F.coalesce(F.try_divide(F.sum(F.col("tc") * F.col("vc")).over(SERIES), F.sum(F.col("tc") * F.col("tc")).over(SERIES)), F.lit(0.0))
+    slope = F.coalesce(F.try_divide(F.sum(F.col("tc") * F.col("vc")).over(series()), F.sum(F.col("tc") * F.col("tc")).over(series())), F.lit(0.0))
     return _with(centred, F.col("vc") - slope * F.col("tc"))
 
 
 def clip_artefacts(signal: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Clip to threshold standard deviations about zero."""
-    limit = threshold * F.stddev_pop("v").over(SERIES)
+    limit = threshold * F.stddev_pop("v").over(series())
     return _with(signal, F.least(F.greatest(F.col("v"), -limit), limit))
 
 

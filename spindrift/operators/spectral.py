@@ -7,15 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import kernels
-from spindrift.operators.signal import IN_TIME, SERIES
+from spindrift.operators.signal import in_time, series
 
-K, FREQ, MAG = F.col("k"), F.col("freq"), F.col("mag")
 spectrum = kernels.spectrum
 
 
 def periodogram(spectrum_fft: DataFrame, n: int, dt: float) -> DataFrame:
     """One-sided 2 dt^2 / T |FFT|^2 of series of n samples."""
-    return spectrum_fft.withColumn("mag", 2 * dt * dt / (n * dt) * MAG * MAG)
+    return spectrum_fft.withColumn("mag", 2 * dt * dt / (n * dt) * F.col("mag") * F.col("mag"))
 
 
 def average(spec: DataFrame) -> DataFrame:
@@ -25,26 +24,26 @@ def average(spec: DataFrame) -> DataFrame:
 
 def _helped(spec: DataFrame) -> DataFrame:
     """With neighbours, running sum, totals and centroid; one sort of each spectrum serves all."""
-    by_bin = SERIES.orderBy("k")
+    by_bin = series().orderBy("k")
     near = spec.withColumns({"before": F.lag("mag").over(by_bin), "after": F.lead("mag").over(by_bin), "running": F.sum("mag").over(by_bin)})
-    whole = {"total": F.sum("mag").over(SERIES), "highest": F.max("mag").over(SERIES), "bins": F.count("*").over(SERIES)}
-    return near.withColumns(whole).withColumn("centre", F.coalesce(F.try_divide(F.sum(FREQ * MAG).over(SERIES), F.col("total")), F.lit(0.0)))
+    whole = {"total": F.sum("mag").over(series()), "highest": F.max("mag").over(series()), "bins": F.count("*").over(series())}
+    return near.withColumns(whole).withColumn("centre", F.coalesce(F.try_divide(F.sum(F.col("freq") * F.col("mag")).over(series()), F.col("total")), F.lit(0.0)))
 
 
 def statistics() -> dict[str, Column]:
     """Name -> aggregate over a helped spectrum."""
-    total, centre = F.sum(MAG), F.first("centre")
-    spread2 = F.coalesce(F.try_divide(F.sum(F.pow(FREQ - F.col("centre"), 2) * MAG), total), F.lit(0.0))
-    fourth = F.try_divide(F.sum(F.pow(FREQ - F.col("centre"), 4) * MAG), total)
-    products, later, earlier = F.sum(MAG * F.col("after")), F.sum(F.col("after") * F.col("after")), F.sum(F.when(F.col("after").isNotNull(), MAG * MAG))
-    peak = (K > 0) & (MAG >= 0.3 * F.col("highest")) & (MAG > F.col("before")) & (F.col("after").isNotNull()) & (MAG >= F.col("after"))
-    line = F.col("total") * K / F.greatest(F.col("bins") - 1, F.lit(1))
+    total, centre = F.sum(F.col("mag")), F.first("centre")
+    spread2 = F.coalesce(F.try_divide(F.sum(F.pow(F.col("freq") - F.col("centre"), 2) * F.col("mag")), total), F.lit(0.0))
+    fourth = F.try_divide(F.sum(F.pow(F.col("freq") - F.col("centre"), 4) * F.col("mag")), total)
+    products, later, earlier = F.sum(F.col("mag") * F.col("after")), F.sum(F.col("after") * F.col("after")), F.sum(F.when(F.col("after").isNotNull(), F.col("mag") * F.col("mag")))
+    peak = (F.col("k") > 0) & (F.col("mag") >= 0.3 * F.col("highest")) & (F.col("mag") > F.col("before")) & (F.col("after").isNotNull()) & (F.col("mag") >= F.col("after"))
+    line = F.col("total") * F.col("k") / F.greatest(F.col("bins") - 1, F.lit(1))
     return {
         "spectral_distance": F.sum(line - F.col("running")) / F.first("bins"),
-        "fundamental_frequency": F.coalesce(F.min(F.when(peak, FREQ)), F.lit(0.0)),
-        "max_frequency": F.max_by(FREQ, F.struct(MAG, -K)),
-        "max_psd": F.max(MAG),
-        "median_frequency": F.min(F.when(F.col("running") > F.col("total") / 2, FREQ)),
+        "fundamental_frequency": F.coalesce(F.min(F.when(peak, F.col("freq"))), F.lit(0.0)),
+        "max_frequency": F.max_by(F.col("freq"), F.struct(F.col("mag"), -F.col("k"))),
+        "max_psd": F.max(F.col("mag")),
+        "median_frequency": F.min(F.when(F.col("running") > F.col("total") / 2, F.col("freq"))),
         "spectral_centroid": centre,
         "spectral_kurtosis": F.when(spread2 == 0, 0.0).otherwise(F.try_divide(fourth, spread2 * spread2)),
         "spectral_variation": F.when((later == 0) | (earlier == 0), 1.0).otherwise(1 - F.try_divide(products, F.sqrt(later * earlier))),
@@ -67,22 +66,22 @@ def band_auc(spec: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
     """(trial, region, band, value): trapezoid over bins in each half-open band [lo, hi); bands without bins are left out."""
     spark = spec.sparkSession
     table = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(bands)], "band int, lo double, hi double")
-    inside = spec.join(F.broadcast(table), (FREQ >= F.col("lo")) & (FREQ < F.col("hi")))
+    inside = spec.join(F.broadcast(table), (F.col("freq") >= F.col("lo")) & (F.col("freq") < F.col("hi")))
     ahead = inside.withColumn("next", F.lead("mag").over(Window.partitionBy("trial", "region", "band").orderBy("k")))
-    return ahead.groupBy("trial", "region", "band").agg(F.coalesce(F.sum((MAG + F.col("next")) / 2), F.lit(0.0)).alias("value"))
+    return ahead.groupBy("trial", "region", "band").agg(F.coalesce(F.sum((F.col("mag") + F.col("next")) / 2), F.lit(0.0)).alias("value"))
 
 
 def moments(spec: DataFrame, orders: list[int] = (2, 3, 4, 5, 6), normalize: bool = False) -> DataFrame:
     """(trial, region, order, value): central moments of the spectrum's values."""
-    m = F.try_divide(MAG, F.max("mag").over(SERIES)) if normalize else MAG
-    x = spec.withColumn("x", m).withColumn("x", F.col("x") - F.avg("x").over(SERIES))
+    m = F.try_divide(F.col("mag"), F.max("mag").over(series())) if normalize else F.col("mag")
+    x = spec.withColumn("x", m).withColumn("x", F.col("x") - F.avg("x").over(series()))
     wide = x.groupBy("trial", "region").agg(*[F.avg(F.pow("x", F.lit(o))).alias(str(o)) for o in orders])
     return wide.unpivot(["trial", "region"], [str(o) for o in orders], "order", "value").withColumn("order", F.col("order").cast("int"))
 
 
 def nearest_bin(spec: DataFrame, freq: float) -> DataFrame:
     """(trial, region, k, freq, mag) of the bin nearest to freq, the lower one on a tie."""
-    best = F.min_by(F.struct("k", "freq", "mag"), F.struct(F.abs(FREQ - freq), K)).alias("b")
+    best = F.min_by(F.struct("k", "freq", "mag"), F.struct(F.abs(F.col("freq") - freq), F.col("k"))).alias("b")
     return spec.groupBy("trial", "region").agg(best).select("trial", "region", "b.*")
 
 
@@ -91,12 +90,12 @@ def interpolate(spec: DataFrame, step: float) -> DataFrame:
 
     Each gap between neighbouring bins fills the grid points in it, so nothing is compared with bins elsewhere.
     """
-    by_bin = SERIES.orderBy("k")
+    by_bin = series().orderBy("k")
     gaps = spec.withColumn("f2", F.lead("freq").over(by_bin)).withColumn("m2", F.lead("mag").over(by_bin))
-    first, last = F.ceil(FREQ / step - 1e-9), F.when(F.col("f2").isNull(), F.floor(FREQ / step + 1e-9)).otherwise(F.ceil(F.col("f2") / step - 1e-9) - 1)
+    first, last = F.ceil(F.col("freq") / step - 1e-9), F.when(F.col("f2").isNull(), F.floor(F.col("freq") / step + 1e-9)).otherwise(F.ceil(F.col("f2") / step - 1e-9) - 1)
     points = gaps.withColumn("g", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     at = F.col("g") * step
-    value = F.when(F.col("f2").isNull(), MAG).otherwise(MAG + (F.col("m2") - MAG) * (at - FREQ) / (F.col("f2") - FREQ))
+    value = F.when(F.col("f2").isNull(), F.col("mag")).otherwise(F.col("mag") + (F.col("m2") - F.col("mag")) * (at - F.col("freq")) / (F.col("f2") - F.col("freq")))
     return points.select("trial", "region", F.col("g").cast("int").alias("g"), at.alias("freq"), value.alias("mag"))
 
 
@@ -106,12 +105,12 @@ def psd_raw(spec: DataFrame, step: float, bands: list[tuple[float, float]], norm
         raise ValueError("normalize by the maximum or at a frequency, not both")
     fine = interpolate(spec, step)
     if normalize:
-        fine = fine.withColumn("mag", F.try_divide("mag", F.max("mag").over(SERIES)))
+        fine = fine.withColumn("mag", F.try_divide("mag", F.max("mag").over(series())))
     if at_freq is not None:
         ref = nearest_bin(fine.withColumnRenamed("g", "k"), at_freq).select("trial", "region", F.col("mag").alias("ref"))
         fine = fine.join(ref, ["trial", "region"]).withColumn("mag", F.try_divide("mag", "ref"))
     table = spec.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(bands)], "band int, lo double, hi double")
-    return fine.join(F.broadcast(table), (FREQ >= F.col("lo")) & (FREQ < F.col("hi"))).select("trial", "region", "band", "g", F.col("mag").alias("value"))
+    return fine.join(F.broadcast(table), (F.col("freq") >= F.col("lo")) & (F.col("freq") < F.col("hi"))).select("trial", "region", "band", "g", F.col("mag").alias("value"))
 
 
 def mel_weights(fs: float, nfft: int, nfilt: int) -> list[tuple[int, int, float]]:
@@ -130,7 +129,7 @@ def filterbank(signal: DataFrame, fs: float, nfft: int = 64, nfilt: int = 10, pr
     """(trial, region, m, db): mel filter energies of the pre-emphasised series, in decibels; signal in long form, of nfft samples."""
     from spindrift.operators.signal import to_recordings
 
-    first = signal.withColumn("v", F.col("v") - pre_emphasis * F.coalesce(F.lag("v").over(IN_TIME), F.lit(0.0)))
+    first = signal.withColumn("v", F.col("v") - pre_emphasis * F.coalesce(F.lag("v").over(in_time()), F.lit(0.0)))
     power = rfft_power(to_recordings(first), nfft)
     weights = signal.sparkSession.createDataFrame(mel_weights(fs, nfft, nfilt), "m int, k int, weight double")
     energy = power.join(F.broadcast(weights), "k").groupBy("trial", "region", "m").agg(F.sum(F.col("weight") * F.col("p")).alias("e"))

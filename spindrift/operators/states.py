@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.kernels import forward_backward, viterbi
-from spindrift.operators.signal import IN_TIME
+from spindrift.operators.signal import in_time
 
 
 def runs(path: DataFrame) -> DataFrame:
     """(trial, region, run, state, length): stretches of one state, numbered from 1."""
-    change = (~F.col("state").eqNullSafe(F.lag("state").over(IN_TIME))).cast("int")
-    marked = path.withColumn("c", change).withColumn("run", F.sum("c").over(IN_TIME).cast("int"))
+    change = (~F.col("state").eqNullSafe(F.lag("state").over(in_time()))).cast("int")
+    marked = path.withColumn("c", change).withColumn("run", F.sum("c").over(in_time()).cast("int"))
     return marked.groupBy("trial", "region", "run", "state").agg(F.count("*").alias("length"))
 
 
@@ -34,7 +34,7 @@ def durations(path: DataFrame, n_states: int, bins: int = 10, longest: int = 100
 
 def transitions(path: DataFrame) -> DataFrame:
     """(trial, region, source, target, p): how often a state follows another, by row share."""
-    pairs = path.withColumn("target", F.lead("state").over(IN_TIME)).filter("target is not null")
+    pairs = path.withColumn("target", F.lead("state").over(in_time())).filter("target is not null")
     counted = pairs.groupBy("trial", "region", F.col("state").alias("source"), "target").agg(F.count("*").alias("n"))
     return counted.select("trial", "region", "source", "target", (F.col("n") / F.sum("n").over(Window.partitionBy("trial", "region", "source"))).alias("p"))
 

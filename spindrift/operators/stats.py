@@ -7,58 +7,57 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators.signal import IN_TIME, SERIES, finite_trials
+from spindrift.operators.signal import in_time, series, finite_trials
 
 NAN = float("nan")
-V, T = F.col("v"), F.col("t")
 
 
 def _centroid(fs: float) -> Column:
-    top, bottom = F.sum(T / fs * V * V), F.sum(V * V)
+    top, bottom = F.sum(F.col("t") / fs * F.col("v") * F.col("v")), F.sum(F.col("v") * F.col("v"))
     return F.when((F.abs(top) < 1e-10) & (F.abs(bottom) < 1e-10), 0.0).otherwise(F.try_divide(top, bottom))
 
 
 def _burstiness() -> Column:
-    ratio = F.try_divide(F.stddev_pop(V), F.avg(V))
+    ratio = F.try_divide(F.stddev_pop(F.col("v")), F.avg(F.col("v")))
     return F.when(F.first("trial_mean") == 0, 0.0).otherwise(F.try_divide(ratio - 1, ratio + 1))
 
 
 def simple(fs: float = 1.0) -> dict[str, Column]:
     """Name -> aggregate over a series with the columns v, t, m (mean), med (median), trial_mean, d (step), s (sign change)."""
-    x = V - F.col("m")
+    x = F.col("v") - F.col("m")
     return {
-        "abs_energy": F.sum(V * V),
-        "average_power": F.try_divide(F.sum(V * V), (F.max(T) - F.min(T)) / fs),
-        "calc_mean": F.avg(V),
-        "calc_var": F.var_pop(V),
-        "calc_std": F.stddev_pop(V),
-        "calc_skewness": F.coalesce(F.skewness(V), F.lit(NAN)),
-        "calc_kurtosis": F.coalesce(F.kurtosis(V), F.lit(NAN)),
-        "calc_max": F.max(V),
-        "calc_min": F.min(V),
-        "calc_median": F.median(V),
+        "abs_energy": F.sum(F.col("v") * F.col("v")),
+        "average_power": F.try_divide(F.sum(F.col("v") * F.col("v")), (F.max(F.col("t")) - F.min(F.col("t"))) / fs),
+        "calc_mean": F.avg(F.col("v")),
+        "calc_var": F.var_pop(F.col("v")),
+        "calc_std": F.stddev_pop(F.col("v")),
+        "calc_skewness": F.coalesce(F.skewness(F.col("v")), F.lit(NAN)),
+        "calc_kurtosis": F.coalesce(F.kurtosis(F.col("v")), F.lit(NAN)),
+        "calc_max": F.max(F.col("v")),
+        "calc_min": F.min(F.col("v")),
+        "calc_median": F.median(F.col("v")),
         "mean_abs_dev": F.avg(F.abs(x)),
-        "median_abs_dev": F.median(F.abs(V - F.col("med"))),
-        "rms": F.sqrt(F.avg(V * V)),
-        "interq_range": F.percentile(V, 0.75) - F.percentile(V, 0.25),
+        "median_abs_dev": F.median(F.abs(F.col("v") - F.col("med"))),
+        "rms": F.sqrt(F.avg(F.col("v") * F.col("v"))),
+        "interq_range": F.percentile(F.col("v"), 0.75) - F.percentile(F.col("v"), 0.25),
         "burstiness": _burstiness(),
         "calc_centroid": _centroid(fs),
         "zero_crossing": F.sum(F.coalesce(F.col("s"), F.lit(0))).cast("double"),
-        "seizure_onset": F.when(F.max("d") < 0.02, 0.0).otherwise(F.max_by(T, F.struct("d", -T)).cast("double")),
-        "auc": F.coalesce(F.sum(V + F.col("d") / 2), F.lit(0.0)),
+        "seizure_onset": F.when(F.max("d") < 0.02, 0.0).otherwise(F.max_by(F.col("t"), F.struct("d", -F.col("t"))).cast("double")),
+        "auc": F.coalesce(F.sum(F.col("v") + F.col("d") / 2), F.lit(0.0)),
     }
 
 
 def _needs(names: list[str], signal: DataFrame) -> DataFrame:
     """Only the helper columns that the chosen features read; all windows share the partitioning of the aggregation."""
     if "mean_abs_dev" in names:
-        signal = signal.withColumn("m", F.avg("v").over(SERIES))
+        signal = signal.withColumn("m", F.avg("v").over(series()))
     if "median_abs_dev" in names:
-        signal = signal.withColumn("med", F.median("v").over(SERIES))
+        signal = signal.withColumn("med", F.median("v").over(series()))
     if {"seizure_onset", "auc"} & set(names):
-        signal = signal.withColumn("d", F.lead("v").over(IN_TIME) - V)
+        signal = signal.withColumn("d", F.lead("v").over(in_time()) - F.col("v"))
     if "zero_crossing" in names:
-        signal = signal.withColumn("s", (F.signum("v") != F.lag(F.signum("v")).over(IN_TIME)).cast("int"))
+        signal = signal.withColumn("s", (F.signum("v") != F.lag(F.signum("v")).over(in_time())).cast("int"))
     if "burstiness" in names:
         signal = signal.join(signal.groupBy("trial").agg(F.avg("v").alias("trial_mean")), "trial")
     return signal
@@ -85,24 +84,24 @@ def long(stats: DataFrame, names: list[str]) -> DataFrame:
 
 def moments(signal: DataFrame, orders: list[int] = (2, 3, 4, 5, 6)) -> DataFrame:
     """(trial, region, k, value): central moments."""
-    x = V - F.col("m")
-    wide = signal.withColumn("m", F.avg("v").over(SERIES)).groupBy("trial", "region").agg(*[F.avg(F.pow(x, F.lit(k))).alias(str(k)) for k in orders])
+    x = F.col("v") - F.col("m")
+    wide = signal.withColumn("m", F.avg("v").over(series())).groupBy("trial", "region").agg(*[F.avg(F.pow(x, F.lit(k))).alias(str(k)) for k in orders])
     return wide.unpivot(["trial", "region"], [str(k) for k in orders], "k", "value").withColumn("k", F.col("k").cast("int"))
 
 
 def ecdf(signal: DataFrame) -> DataFrame:
     """(trial, region, rank, v, p): sorted values with k / n; ties get increasing ranks."""
-    by_value = SERIES.orderBy("v", "t")
-    return signal.select("trial", "region", F.row_number().over(by_value).alias("rank"), "v").withColumn("p", F.col("rank") / F.count("*").over(SERIES))
+    by_value = series().orderBy("v", "t")
+    return signal.select("trial", "region", F.row_number().over(by_value).alias("rank"), "v").withColumn("p", F.col("rank") / F.count("*").over(series()))
 
 
 def auc_limits(signal: DataFrame, limits: list[tuple[float, float]]) -> DataFrame:
     """(trial, region, interval, value): trapezoid over t inside each closed interval; empty ones are left out."""
     spark = signal.sparkSession
     intervals = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(limits)], "interval int, lo double, hi double")
-    step = signal.withColumn("next_v", F.lead("v").over(IN_TIME)).withColumn("next_t", F.lead("t").over(IN_TIME))
-    inside = step.join(F.broadcast(intervals), (T >= F.col("lo")) & (T <= F.col("hi")))
-    area = F.when(F.col("next_t") <= F.col("hi"), (V + F.col("next_v")) / 2 * (F.col("next_t") - T)).otherwise(0.0)
+    step = signal.withColumn("next_v", F.lead("v").over(in_time())).withColumn("next_t", F.lead("t").over(in_time()))
+    inside = step.join(F.broadcast(intervals), (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")))
+    area = F.when(F.col("next_t") <= F.col("hi"), (F.col("v") + F.col("next_v")) / 2 * (F.col("next_t") - F.col("t"))).otherwise(0.0)
     return inside.groupBy("trial", "region", "interval").agg(F.sum(area).alias("value"))
 
 
@@ -117,8 +116,8 @@ def autocorrelation(signal: DataFrame, lags: int) -> DataFrame:
 
     Lagged values come from the sorted window, so nothing is joined.
     """
-    x = signal.withColumn("x", V - F.avg("v").over(SERIES))
-    lagged = x.select("trial", "region", "x", *[F.lag("x", k).over(IN_TIME).alias(f"x{k}") for k in range(lags + 1)])
+    x = signal.withColumn("x", F.col("v") - F.avg("v").over(series()))
+    lagged = x.select("trial", "region", "x", *[F.lag("x", k).over(in_time()).alias(f"x{k}") for k in range(lags + 1)])
     sums = lagged.groupBy("trial", "region").agg(*[F.sum(F.col("x") * F.col(f"x{k}")).alias(str(k)) for k in range(lags + 1)])
     tall = sums.withColumn("power", F.col("0")).unpivot(["trial", "region", "power"], [str(k) for k in range(lags + 1)], "lag", "value")
     return tall.select("trial", "region", F.col("lag").cast("int").alias("lag"), F.coalesce(F.try_divide("value", "power"), F.lit(0.0)).alias("value"))

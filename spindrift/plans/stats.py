@@ -115,7 +115,7 @@ RUNS = f"{PATH}, ch as (select *, case when state = lag(state) over (partition b
 
 
 def path(spark, d):
-    low, high = F.min("v").over(S.SERIES), F.max("v").over(S.SERIES)
+    low, high = F.min("v").over(S.series()), F.max("v").over(S.series())
     return sig(spark, d).select("trial", "region", "t", F.least(F.floor((F.col("v") - low) / (high - low) * 4), F.lit(3)).cast("int").alias("state"))
 
 
