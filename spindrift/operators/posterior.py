@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 
 
 
+# Boxes of the ten coefficients (recurrent weight, input, coupling, noise; each on myelin, gradient, 1),
+# one for drawing and a narrower one for checking draws.
+PRIOR_BOX = [
+    ("w_a", 0.3, 0.7), ("w_b", -0.3, -0.04), ("w_c", 0.0, 0.06), ("i_a", 0.2, 0.32), ("i_b", -0.006, 0.02), ("i_c", -0.02, -0.003), ("g", 1.0, 10.0), ("s_a", 0.004, 0.006), ("s_b", -0.001, 0.001), ("s_c", 0.0, 0.0008),
+]
+CHECK_BOX = [(n, *{"g": (5.0, 7.0), "s_b": (-0.001, 0.0001)}.get(n, (low, high))) for n, low, high in PRIOR_BOX]
+
+
+def bounds_table(spark, box: list[tuple[str, float, float]]) -> DataFrame:
+    """(param, low, high)"""
+    return spark.createDataFrame(box, "param string, low double, high double")
+
+
+def draws_at(u: DataFrame, box: list[tuple[str, float, float]]) -> DataFrame:
+    """A column for each parameter of the box, at the share ``u`` of its width, for a table with u."""
+    return u.select("*", *[(low + (high - low) * F.col("u")).alias(n) for n, low, high in box])
+
+
 def finite(*columns: str) -> Column:
     """Whether all are numbers."""
     ok = F.lit(True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -89,6 +90,10 @@ def _spread(recordings, factor: float = 1.0):
 
 
 query("cfg_add", f"{SIG} select trial, 'span' as feature, 'span_' || region as label, {q('2 * (max(v) - min(v))')} as value from sig group by trial, region")(_extracted(G.add({}, "user", "span", _spread, {"factor": 2.0})))
+HERE = os.path.dirname(__file__)
+query("cfg_add_json", f"{SIG} select trial, 'peak_to_peak' as feature, 'peak_to_peak_' || region as label, {q('0.5 * (max(v) - min(v))')} as value from sig group by trial, region union all select trial, 'energy_share', 'energy_share_' || region, {q('sum(v * v) / any_value(e)')} from (select *, sum(v * v) over (partition by trial) as e from sig) group by trial, region")(
+    _extracted(G.add_json({}, f"{HERE}/example_features.json", f"{HERE}/example_features.py"))
+)
 query("extract_features_df", f"{SIG} select trial, {', '.join(f'{q(f'avg(v) filter (region = {r})')} as calc_mean_{r}' for r in range(4))} from sig group by trial")(
     lambda s, d: rounded(G.wide(G.extract(sig(s, d), G.by_names(BASE, "calc_mean")), [f"calc_mean_{r}" for r in range(4)]), *[f"calc_mean_{r}" for r in range(4)])
 )

@@ -95,7 +95,22 @@ query("prior_moments", f"{POST}, b as (select param, min(value) as low, max(valu
     lambda s, d: rounded(B.prior_moments(B.limits(prior(s, d))), "mean", "variance", "std", "width")
 )
 query("prior_sample")(lambda s, d: B.prior_sample(s, [(r.param, r.low, r.high) for r in B.limits(prior(s, d)).orderBy("param").collect()], 1000, seed=3))
-query("param_range_check", f"select l_orderkey, l_linenumber, {IN_BOX} as ok from lineitem")(lambda s, d: theta(s, d).select("l_orderkey", "l_linenumber", B.inside(BOUNDS).alias("ok")))
+# Draws at a share u of each box's width, by the discount of a line item: which of them the narrower box takes.
+U = "cast(l_discount * 10 as double)"
+DRAWS = f"select l_orderkey, l_linenumber, {', '.join(f'({low!r} + ({high - low!r}) * {U}) as {n}' for n, low, high in B.PRIOR_BOX)} from lineitem"
+
+
+def box_draws(s, d):
+    return B.draws_at(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).cast("double").alias("u")), B.PRIOR_BOX)
+
+
+query("prior_ranges", f"with x as ({DRAWS}) " + " union all ".join(f"select '{n}' as param, {low!r}::double as low, {high!r}::double as high, {q(f'min({n})')} as least, {q(f'max({n})')} as most from x" for n, low, high in B.PRIOR_BOX))(
+    lambda s, d: rounded(
+        B.bounds_table(s, B.PRIOR_BOX).join(box_draws(s, d).unpivot(["l_orderkey"], [n for n, _, _ in B.PRIOR_BOX], "param", "value").groupBy("param").agg(F.min("value").alias("least"), F.max("value").alias("most")), "param"), "least", "most"
+    )
+)
+CHECKS = " and ".join(f"{n} between {low!r} and {high!r}" for n, low, high in B.CHECK_BOX)
+query("param_range_check", f"select l_orderkey, l_linenumber, {CHECKS} as ok from ({DRAWS})")(lambda s, d: box_draws(s, d).select("l_orderkey", "l_linenumber", B.inside(B.CHECK_BOX).alias("ok")))
 query("finite_rows", f"{POST} select cond, sample, p0 as value from cu where p0 > 0")(lambda s, d: B.finite_rows(post(s, d).filter("param = 'p0'").select("cond", "sample", F.when(F.col("value") > 0, F.col("value")).otherwise(float("nan")).alias("value")), ["value"]))
 query("drop_nonfinite_samples", f"{POST} select cond, sample, p0 as value from cu where p0 > 0")(
     lambda s, d: B.finite_rows(post(s, d).filter("param = 'p0'").select("cond", "sample", F.when(F.col("value") > 0, F.col("value")).otherwise(float("-inf")).alias("value")), ["value"])
