@@ -7,7 +7,7 @@ length, the segment's number and the substring. Lines that share a key are candi
 band as wide as the threshold, decides.
 
 In each key's group the line with the smallest digest is compared with all others first. Only lines that this leaves
-standing are compared with the rest of their groups.
+standing are compared with the rest of their groups, inside the join, which keeps near pairs only.
 """
 
 from __future__ import annotations
@@ -19,25 +19,24 @@ from spindrift.llm.common import stored
 from spindrift.llm.prefilter import maybe_in, packed
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 1) of a line of that length; the last ones are longer by one if need be."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    extra = F.greatest(longer - (parts - i), F.lit(0))
-    before = F.greatest(longer - (parts - i + 1), F.lit(0))
-    return base * (i - 1) + before + 1, base + extra - before
+def probes(max_edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, i, shift): which substrings of a line may be segment i of a line that is ``shorter`` characters shorter, and how far they are shifted."""
+    parts = max_edits + 1
+    return [
+        (shorter, i, shift)
+        for shorter in range(max_edits + 1)
+        for i in range(1, parts + 1)
+        for shift in range(max(-(i - 1), shorter - (parts - i)), min(i - 1, shorter + (parts - i)) + 1)
+    ]
 
 
-def segment_keys(line: Column, length: Column, max_edits: int) -> Column:
-    """Keys of a line against lines that are shorter by 0 to max_edits characters."""
-    parts, keys = max_edits + 1, []
-    for shorter in range(max_edits + 1):
-        target = length - shorter
-        for i in range(1, parts + 1):
-            start, size = segment(target, i, parts)
-            low = max(-(i - 1), shorter - (max_edits + 1 - i))
-            high = min(i - 1, shorter + (max_edits + 1 - i))
-            keys += [F.xxhash64(F.lit(i), target, F.substring(line, start + shift, size)) for shift in range(low, high + 1)]
-    return F.array(*keys)
+def segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(h, k0) of lines (h, line, n): a row for each probe. One small expression a row, which the compiler takes well."""
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "i", "shift"), p)]) for p in probes(max_edits)])
+    rows = lines.select("h", "line", "n", F.explode(table).alias("p")).withColumn("target", F.col("n") - F.col("p.shorter"))
+    parts = max_edits + 1
+    key = F.expr(f"xxhash64(p.i, target, substring(line, cast((p.i - 1) * target div {parts} as int) + 1 + p.shift, cast(p.i * target div {parts} - (p.i - 1) * target div {parts} as int)))")
+    return rows.select("h", key.alias("k0"))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -48,23 +47,26 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _near(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """(h): lines within max_edits of a line with a smaller digest."""
-    keys = _lines(docs, min_chars).select("h", F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k0"))
+    keys = segment_keys(_lines(docs, min_chars).select("h", "line", "n"), max_edits)
     shared = stored(keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).filter("pivot <> last").select("k0", "pivot"), "lines-keys")
     kept = maybe_in(keys, shared.select("k0")).filter("maybe")
     members = stored(kept.join(shared, "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
     wanted = members.select(F.col("h").alias("k0")).distinct()
     texts = maybe_in(_lines(docs, min_chars).select(F.col("h").alias("k0"), "line"), wanted).filter("maybe")
     texts = stored(texts.join(wanted, "k0", "left_semi").dropDuplicates(["k0"]).select(F.col("k0").alias("h"), "line"), "lines-texts")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """pairs (h, other), other < h: the h of those within the threshold."""
-        both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
-        return both.filter(F.levenshtein("line", "other_line", max_edits) >= 0).select("h").distinct()
-
-    found = stored(close(members.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct()), "lines-near")
-    standing = members.join(found, "h", "left_anti").filter("h <> pivot")
-    rest = standing.join(members.select("key", F.col("h").alias("other")), "key").filter("other < h and other <> pivot").select("h", "other").distinct()
-    return stored(found.unionByName(close(rest)).distinct(), "lines-near")
+    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
+    # As conditions of the joins, so that pairs too far apart are never made into rows.
+    close = (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & (F.levenshtein("line", "other_line", max_edits) >= 0)
+
+    stars = members.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct()
+    found = stored(stars.join(texts, "h").join(others, "other").filter(close).select("h").distinct(), "lines-near")
+    # A key of two lines is done with; so is one all of whose lines are near its first.
+    open_keys = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key")
+    standing = members.filter("h <> pivot").join(found, "h", "left_anti").join(open_keys, "key", "left_semi")
+    standing = stored(standing, "lines-standing")
+    rest = members.select("key", F.col("h").alias("other")).join(standing.select("key").distinct(), "key", "left_semi").join(others, "other")
+    met = standing.join(texts, "h").join(rest, "key").filter((F.col("other") < F.col("h")) & (F.col("other") != F.col("pivot")) & close)
+    return stored(found.unionByName(met.select("h")).distinct(), "lines-near")
 
 
 def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
