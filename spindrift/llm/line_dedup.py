@@ -39,6 +39,18 @@ def segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
     return rows.select("h", key.alias("k0"))
 
 
+#: Letters counted to rule pairs out before their distance is computed: an edit changes the counts by two at most in all.
+COUNTED = "eatinrsohdlu"
+
+
+def letter_counts(line: str) -> Column:
+    return F.array(*[(F.length(line) - F.length(F.translate(line, c, ""))).cast("smallint") for c in COUNTED])
+
+
+def may_be_close(a: str, b: str, max_edits: int) -> Column:
+    return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(COUNTED))), F.lit(0)) <= 2 * max_edits
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(k0, k1, pos, line, h, g, n): the lines that take part. k0 and k1 name a document; h and g name a line."""
     exploded = docs.select("k0", "k1", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.length("line"))
@@ -53,10 +65,10 @@ def _near(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     members = stored(kept.join(shared, "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
     wanted = members.select(F.col("h").alias("k0")).distinct()
     texts = maybe_in(_lines(docs, min_chars).select(F.col("h").alias("k0"), "line"), wanted).filter("maybe")
-    texts = stored(texts.join(wanted, "k0", "left_semi").dropDuplicates(["k0"]).select(F.col("k0").alias("h"), "line"), "lines-texts")
-    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
+    texts = stored(texts.join(wanted, "k0", "left_semi").dropDuplicates(["k0"]).select(F.col("k0").alias("h"), "line", letter_counts("line").alias("counts")), "lines-texts")
+    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"), F.col("counts").alias("other_counts"))
     # As conditions of the joins, so that pairs too far apart are never made into rows.
-    close = (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & (F.levenshtein("line", "other_line", max_edits) >= 0)
+    close = may_be_close("counts", "other_counts", max_edits) & (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & (F.levenshtein("line", "other_line", max_edits) >= 0)
 
     stars = members.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct()
     found = stored(stars.join(texts, "h").join(others, "other").filter(close).select("h").distinct(), "lines-near")
