@@ -49,8 +49,10 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows: int = 8000) -> Model:
-    """Trigram shares of each language, from at most ``rows`` rows of (text, lang), chosen by the text's hash; rows without a language or a text are left out."""
-    sample = labelled.select("text", "lang").filter("text is not null and lang is not null").orderBy(F.xxhash64("text"), "text").limit(rows)
+    """Trigram shares of each language, from about ``rows`` random rows of (text, lang), all if there are fewer; rows without a language or a text are left out."""
+    usable = labelled.select("text", "lang").filter("text is not null and lang is not null")
+    # Rows are drawn where they are read: no text is moved to choose among them.
+    sample = usable.sample(min(1.0, rows / max(1, usable.count())), seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
