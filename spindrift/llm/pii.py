@@ -18,6 +18,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of a country's account numbers, without spaces.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 DIGIT = re.compile(r"[0-9]")
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
@@ -81,9 +91,18 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
-        if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and mod97(plain):
-            yield m.span()
+    """Of each match, the words' end that mod 97 confirms: first where the country's length ends, then the last one; if none, the next start is tried."""
+    m = IBAN.search(text)
+    while m:
+        plain, end, ends = "", m.start() - 1, []
+        for word in m[0].split(" "):
+            plain, end = plain + word, end + 1 + len(word)
+            if 15 <= len(plain) <= 34:
+                ends.append((len(plain) == IBAN_LENGTHS.get(plain[:2]), end, plain))
+        found = next((e for _, e, p in sorted(ends, reverse=True) if mod97(p)), None)
+        if found:
+            yield m.start(), found
+        m = IBAN.search(text, found or m.start() + 1)
 
 
 def _score(kind: str, text: str, start: int, reach: int) -> float:

@@ -72,6 +72,22 @@ def test_pii_takes_awkward_rows(spark):
     assert pii.redact(docs(spark, [(1, text), (2, None)])).collect()[0].text == "IBAN: <IBAN> or <EMAIL>"
 
 
+@pytest.mark.parametrize(
+    "iban, after",
+    [
+        ("DE89370400440532013000", " BIC COBADEFF"),
+        ("GB82 WEST 1234 5698 7654 32", " 2024-01-01"),
+        ("DE89 3704 0044 0532 0130 00", " EUR 5"),
+        ("GB82WEST12345698765432", " I said"),
+        ("DE89 3704 0044 0532 0130 00", " GB82 WEST 1234 5698 7654 33"),
+    ],
+)
+def test_pii_finds_ibans_among_capitals_and_digits(spark, iban, after):
+    for before in ("", "to ", "AB12 CDEF GHIJ KLMN "):
+        assert pii.redact(docs(spark, [(1, before + iban + after)])).collect()[0].text == before + "<IBAN>" + after
+    assert [s for s in pii.spans_of(iban + "X" + after) if s[0] == "iban"] == []
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
