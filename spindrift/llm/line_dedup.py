@@ -44,7 +44,7 @@ COUNTED = "eatinrsohdlu"
 
 
 def letter_counts(line: str) -> Column:
-    return F.array(*[(F.length(line) - F.length(F.translate(line, c, ""))).cast("smallint") for c in COUNTED])
+    return F.array(*[F.length(line) - F.length(F.translate(line, c, "")) for c in COUNTED])
 
 
 def may_be_close(a: str, b: str, max_edits: int) -> Column:

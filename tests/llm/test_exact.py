@@ -253,6 +253,12 @@ def test_line_dedup_equals_all_pairs(spark, max_edits):
     assert rows_of(got, "doc_id", "text", "n_lines") == plain_dedup(rows, max_edits, 24)
 
 
+def test_line_dedup_takes_lines_with_more_of_a_letter_than_a_short_holds(spark):
+    line = "eeeeeeeeeee " * 3000
+    got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, [(1, line), (2, line[:20_000] + "x" + line[20_000:]), (3, line[:-40])])).collect()}
+    assert line.count("e") > 32_767 and sorted(got[i].n_near for i in (1, 2)) == [0, 1] and got[3].text == line[:-40]
+
+
 def test_line_dedup_keeps_columns_and_takes_empty_tables(spark):
     got = line_dedup.dedup(wide(spark))
     assert got.columns == [*wide(spark).columns, "n_lines", "n_exact", "n_near"] and got.count() == len(AWKWARD)
