@@ -41,8 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays; of rows with one id, one."""
-    labels = stored(ngram_join.link(docs), "pipeline-components")
+    """Of each component of near copies (four fifths of their five-word sets in common) the document with the smallest id stays; of rows with one id, one."""
+    labels = stored(ngram_join.link(docs, n=5, percent=80), "pipeline-components")
     copies = labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("k0")).distinct()
     left = without(packed(docs, F.col("doc_id")), copies)
     repeated = labels.groupBy(F.col("doc_id").alias("k0")).count().filter("count > 1 and k0 is not null").select("k0")

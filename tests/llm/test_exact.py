@@ -161,6 +161,12 @@ def test_jaccard_components_equal_all_pairs(spark, capacity):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_links(rows)
 
 
+def test_jaccard_of_five_words_at_four_fifths_equals_all_pairs(spark):
+    rows = [*near_copies(), *AWKWARD]
+    got = ngram_join.link(docs(spark, rows), n=5, percent=80)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_links(rows, 5, 80)
+
+
 def test_jaccard_takes_empty_tables_and_clashing_columns(spark):
     assert ngram_join.link(docs(spark, [])).count() == 0
     assert rows_of(ngram_join.link(wide(spark)), "doc_id", "n_shingles", "component_id") == plain_links(AWKWARD)

@@ -197,6 +197,16 @@ def test_stages_keep_the_columns_and_take_awkward_rows(spark):
         assert stage(spark, table.limit(0), SMALL).count() == 0, name
 
 
+def test_near_copies_with_spread_edits_go(spark):
+    words = [f"w{random.Random(4).randrange(5000) * i % 5003}" for i in range(1, 1001)]
+    copy = ["other" if i % 50 == 25 else w for i, w in enumerate(words)]
+    far = ["other" if i % 25 == 12 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(far))]
+    # 2 is near 1 by five-word sets, not by three-word sets at 90 %; 3 is near neither.
+    assert [c for _, _, c in plain_links(rows)] == [1, 2, 3] and [c for _, _, c in plain_links(rows, 5, 80)] == [1, 1, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), SMALL).collect()) == [1, 3]
+
+
 def test_a_random_order_changes_nothing(spark):
     rows = [(i, "\n".join(random.Random(i % 7).choices(["a line of some length here", "another line that is long", "short"], k=3))) for i in range(30)]
     one = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()}
