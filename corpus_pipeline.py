@@ -34,8 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go; documents of which nothing is left go with them."""
-    left = line_dedup.dedup(docs)
+    """Repeated and nearly repeated lines go; documents with nothing of their own left, not even a short line, go with them."""
+    left = line_dedup.dedup(docs, leave_out=True)
     emptied = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim(F.regexp_replace("text", "\\s+", " ")) == "")
     return _measured(left.filter(~F.coalesce(emptied, F.lit(False))).select(docs.columns))
 

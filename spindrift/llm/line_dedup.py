@@ -51,10 +51,11 @@ def may_be_close(a: str, b: str, max_edits: int) -> Column:
     return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(COUNTED))), F.lit(0)) <= 2 * max_edits
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(k0, k1, pos, line, h, g, n): the lines that take part. k0 and k1 name a document; h and g name a line."""
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """(k0, k1, pos, line, h, g, n): the lines that take part, or those that are too short to. k0 and k1 name a document; h and g name a line."""
     exploded = docs.select("k0", "k1", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.length("line"))
-    return exploded.filter((F.col("n") >= min_chars) & (F.trim("line") != "")).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
+    wanted = (F.col("n") < min_chars) & F.col("line").rlike(r"\S") if short else (F.col("n") >= min_chars) & (F.trim("line") != "")
+    return exploded.filter(wanted).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
 
 
 def _near(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
@@ -81,7 +82,7 @@ def _near(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     return stored(found.unionByName(met.select("h")).distinct(), "lines-near")
 
 
-def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, leave_out: bool = False) -> DataFrame:
     """The same rows and columns with repeated lines left out of ``text``, and n_lines, n_exact, n_near (long) added (in place of columns of these names).
 
     Lines are what ``\\n`` separates. Of equal lines the first stays, by document (doc_id, then the text's digest) and
@@ -102,8 +103,16 @@ def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24) -> DataFrame
     drops = gone.groupBy("k0", "k1").agg(F.collect_set("pos").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("pos")))).alias("near"))
     drops = stored(drops, "lines-gone")
     sifted = maybe_in(named, drops.select("k0", "k1"))
+    if leave_out:
+        shorts = _lines(texts, min_chars, short=True).groupBy("h", "g").agg(F.min(place).alias("first"))
+        owners = marked.filter("not near").select("first").unionByName(shorts.select("first")).select("first.k0", "first.k1")
+        owners = maybe_in(owners, drops.select("k0", "k1")).filter("maybe").select("k0", "k1").distinct().withColumn("own", F.lit(True))
+        drops = drops.join(owners, ["k0", "k1"], "left")
     nothing = sifted.filter(~F.col("maybe")).withColumn("gone", F.lit(None).cast("array<int>")).withColumn("near", F.lit(0))
-    some = sifted.filter("maybe").join(drops, ["k0", "k1"], "left").select(nothing.columns)
+    some = sifted.filter("maybe").join(drops, ["k0", "k1"], "left")
+    if leave_out:
+        some = some.filter("gone is null or own")
+    some = some.select(nothing.columns)
     both = nothing.unionByName(some).withColumn("lines", F.split("text", "\n", -1)).withColumn("left", F.expr("array_except(sequence(0, size(lines) - 1), gone)"))
     new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
