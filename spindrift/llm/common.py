@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Only in local mode, as in tests, may it be unset; then a temporary one is used."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own:
         _own[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -43,6 +46,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many of the rows of a join is heavy; so there are at most so many heavy keys.
+HEAVY = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row a key and ``n_rows``, how often left has it; n_rows is left out.
+
+    Rows of heavy keys stay where they are: their few rows of right, at most HEAVY, are broadcast. All others are
+    shuffled, so no task gets more than a small share of left. Both sides are read twice, so they should be stored.
+    """
+    total = right.agg(F.sum("n_rows")).first()[0] or 0
+    others = [c for c in right.columns if c not in (*keys, "n_rows")]
+    heavy = right.filter(F.col("n_rows") > total / HEAVY).select(*keys, F.struct(F.lit(0).alias("_"), *others).alias("_heavy"))
+    tagged = left.join(F.broadcast(heavy), keys, "left")
+    here = tagged.filter("_heavy is not null").select(*left.columns, *[F.col("_heavy")[c].alias(c) for c in others])
+    moved = tagged.filter("_heavy is null").drop("_heavy").join(right.filter(F.col("n_rows") <= total / HEAVY).drop("n_rows"), keys, how)
+    return here.unionByName(moved.select(here.columns))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
