@@ -79,7 +79,7 @@ def _pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
                 [*batch.schema.names, "heads", "tails"],
             )
 
-    seen = chunks.mapInArrow(tokenised, "doc_id bigint, key bigint, copies bigint, n int, i int, body string, heads array<bigint>, tails array<bigint>")
+    seen = chunks.mapInArrow(tokenised, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key bigint, copies bigint, n int, i int, body string, heads array<bigint>, tails array<bigint>")
     return (
         seen.withColumn("cut", F.expr("array_min(array_intersect(lag(tails) over (partition by doc_id, key, n order by i), heads))"))
         .withColumn("next", F.expr("lead(cut) over (partition by doc_id, key, n order by i)"))
@@ -103,11 +103,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 32768, overla
     short_ids = _encode_column(docs.filter(~long), "text", ranks, pattern)
     whole = docs.filter(long).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     pieces = _encode_column(_pieces(whole, pattern, chunk, overlap), "piece", ranks, pattern)
-    long_ids = (
-        pieces.groupBy("doc_id", "key", "n", "copies")
-        .agg(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))).alias("pieces"))
-        .select("doc_id", F.expr("aggregate(pieces, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"), F.expr("explode(sequence(1, copies))").alias("copy"))
-    )
+    ordered = pieces.groupBy("doc_id", "key", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))).alias("pieces"))
+    # One pass over the pieces' hex digits, and back to bytes: a fold would copy what it has for every piece.
+    long_ids = ordered.select("doc_id", F.expr("unhex(array_join(transform(pieces, x -> hex(x.ids)), ''))").alias("ids"), F.expr("explode(sequence(1, copies))").alias("copy"))
     return short_ids.unionByName(long_ids.select("doc_id", "ids"))
 
 
