@@ -1,12 +1,18 @@
 """N-gram Jaccard join.
 
-A document is its set of distinct word n-grams, kept as a sorted array of 64-bit hashes. Sets fall into size bands; two
-sets that link lie in one band, or in neighbouring ones, where the smaller also stands in the upper band. A band cuts
-the hash range into more parts than two linked sets of that band can differ in, so at least one non-empty part of them
-is equal: every set gives one key per part. Sets that share a key, directly or through others, form a tile; almost
-only near copies do. Inside a tile, hashed bitmaps bound the overlap of a pair from above by counting bits, and what
-passes is verified exactly by intersecting the sorted arrays. A tile is searched from set to set, so sets already
-linked are not compared again, and large tiles are cut into bounded ones (see ``_tiles``).
+A document is its set of distinct word n-grams, kept as a sorted array of 64-bit hashes; equal sets are one set.
+
+1. Of every set the smallest hashes, a few more than it may lack in a linked one, are counted. Two linked sets have a
+   share of these in common, so a set too few of whose smallest hashes stand in any other set links with nothing. Most
+   sets end here, and only the few hashes that were counted have been moved.
+2. The sets left fall into size bands; two that link lie in one band, or in neighbouring ones, where the smaller also
+   stands in the upper band. In each band the n-grams are ordered by the number of sets that have them. Of two linked
+   sets, each has a common n-gram among its rarest ones, one more than it may lack; so these are the set's keys, unless
+   no other set has them.
+3. Sets that share a key, directly or through others, form a tile; almost only near copies do. Inside a tile, hashed
+   bitmaps bound the overlap of a pair from above by counting bits, and what passes is verified exactly by
+   intersecting the sorted arrays. A tile is searched from set to set, so sets already linked are not compared again,
+   and large tiles are cut into bounded ones (see ``_tiles``).
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import lower_words, stored, text_or_empty
+from spindrift.llm.common import join_counted, lower_words, stored, text_or_empty
 from spindrift.llm.components import components
 from spindrift.llm.prefilter import maybe_in
 
@@ -60,66 +66,60 @@ def shingles(words: list[bytes], n: int, known: dict) -> np.ndarray:
 
 
 class Bands:
-    """Size bands for linking at 100 * |x & y| >= percent * |x | y|.
-
-    Linked sets of sizes a and b differ in at most (a + b) * (100 - percent) / (100 + percent) elements, and the
-    smaller has at least percent / 100 of the larger's size.
-    """
+    """Size bands for linking at 100 * |x & y| >= percent * |x | y|: the smaller of two linked sets has at least percent / 100 of the larger's size."""
 
     def __init__(self, percent: int, ratio: float = 1.5):
         self.percent, self.ratio = percent, ratio
-        self.first = next(a for a in range(1, 10_000) if 100 * a >= percent * (a + 1))  # below, only equal sets link
 
     def edges(self, band: int) -> tuple[int, int]:
-        return int(self.first * self.ratio**band), int(self.first * self.ratio ** (band + 1))
+        return int(self.ratio**band), int(self.ratio ** (band + 1))
 
     def of(self, n: int) -> list[int]:
-        """Bands whose keys a set of n elements gives."""
-        if n < self.first:
-            return []
+        """Bands that a set of n elements stands in."""
         band = 0
         while self.edges(band)[1] <= n:
             band += 1
-        upper = self.edges(band)[1]
-        return [band, band + 1] if 100 * n >= self.percent * upper else [band]
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """Number of parts, and how many of them a set may have empty without giving keys for empty ones."""
-        largest = self.edges(band)[1] - 1
-        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        slack = 2 + differ // 50
-        return differ + 1 + slack, slack
-
-
-def part_keys(sets: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    parts, slack = bands.parts(band)
-    part = ((sets >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    sums = np.add.reduceat(mixed(sets + np.uint64(GOLDEN)), starts)
-    label = mixed(np.uint64((band << 32) & MASK) + np.arange(parts, dtype=np.uint64))
-    keys = mixed(sums ^ label[part[starts]])
-    if parts - len(starts) > slack:
-        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-        keys = np.concatenate([keys, mixed(label[empty] + np.uint64(GOLDEN))])
-    return keys
+        return [band, band + 1] if 100 * n >= self.percent * self.edges(band)[1] else [band]
+
+
+def lacking(n: int, percent: int) -> int:
+    """How many of its n elements a set may lack in a linked one: it has at least percent / 100 of the larger one's in common."""
+    return n - -(-percent * n // 100)
+
+
+def spare(n: int) -> int:
+    """How many of its smallest hashes a set of n elements counts beyond those that it may lack in a linked one."""
+    return 1 + n // 10
+
+
+def counted(sets: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest hashes of a set. Two sets share at least the lesser one's ``spare`` of these if they link: what
+    both have in common is all that they have up to some hash, but for what either lacks."""
+    return sets[: lacking(len(sets), percent) + spare(len(sets))]
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many of its counted hashes a set of n elements shares with any set it links with, which has at least percent / 100 of its size."""
+    return spare(-(-percent * n // 100))
 
 
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, cid, keys): cid is a 64-bit digest of the whole set and stands for all documents that have it."""
+    """(doc_id, n_shingles, cid, need, keys): cid is a 64-bit digest of the whole set and stands for all documents that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bands = _Words(), Bands(percent)
+        known = _Words()
         for batch in batches:
-            sizes, cids, keys = [], [], []
+            sizes, cids, needs, keys = [], [], [], []
             for text in batch.column("text"):
                 s = shingles(lower_words(text.as_py()), n, known)
                 sizes.append(len(s))
                 cids.append(digest(s))
-                found = [part_keys(s, b, bands) for b in bands.of(len(s))]
-                keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cid", "keys"])
+                needs.append(least_shared(len(s), percent))
+                keys.append(counted(s, percent).view(np.int64))
+            columns = [pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(needs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "cid", "need", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cid bigint, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cid bigint, need bigint, keys array<bigint>")
 
 
 def digest(s: np.ndarray) -> int:
@@ -207,6 +207,44 @@ def search_tile(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], lef
     return edges
 
 
+def _keys(members: DataFrame, percent: int) -> DataFrame:
+    """members (cid, s) -> (k0, cid): in each band of a set, those of its rarest n-grams that another set has.
+
+    ``lacking`` + 1 of a set's n-grams, in the order of their number of sets and then their hash, are its rarest; those
+    that no other set has come first and need not be keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for whole in batches:
+            for batch in (whole.slice(at, 200) for at in range(0, whole.num_rows, 200)):
+                rows = [(cid, np.frombuffer(raw.as_py(), np.uint64)) for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("s"))]
+                rows = [(cid, s, band) for cid, s in rows for band in bands.of(len(s))]
+                sizes = [len(s) for _, s, _ in rows]
+                # The band is mixed into the hash: an n-gram is another one in another band.
+                k = np.concatenate([mixed(s ^ np.uint64(GOLDEN * (band + 1) & MASK)) for _, s, band in rows]).view(np.int64)
+                columns = [np.repeat(np.array(x, t), sizes) for x, t in (([c for c, *_ in rows], np.int64), ([b for *_, b in rows], np.int32), (sizes, np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, columns)], ["k0", "cid", "band", "size"])
+
+    grams = members.select("cid", "s").mapInArrow(run, "k0 bigint, cid bigint, band int, size bigint")
+    common = stored(grams.groupBy("k0").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "jaccard-common")
+    sifted = stored(maybe_in(grams, common).filter("maybe").drop("maybe"), "jaccard-grams")
+    met = join_counted(sifted, common.withColumn("sets", F.col("n_rows")), ["k0"])
+    of_set = met.groupBy("cid", "band", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "k0"))).alias("shared"))
+    rarest = F.expr(f"size - (({percent} * size + 99) div 100) + 1 - (size - size(shared))")
+    return of_set.select("cid", F.explode(F.slice("shared", F.lit(1), F.greatest(rarest, F.lit(0)).cast("int"))).alias("key")).select(F.col("key.k0").alias("k0"), "cid")
+
+
+def _stars(keys: DataFrame, fan: int = 64) -> DataFrame:
+    """(u, v): edges that connect the sets (cid) of each key (k0). The sets of a key are dealt over ``fan`` groups, each a star, and the stars' centres are joined in another one."""
+    dealt = keys.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(fan)))
+    centres = stored(dealt.groupBy("k0", "salt").agg(F.min("cid").alias("centre"), F.count("*").alias("n_rows")), "jaccard-centres")
+    first = centres.groupBy("k0").agg(F.min("centre").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    outer = join_counted(dealt.select("k0", "salt", "cid"), centres, ["k0", "salt"]).select(F.col("centre").alias("u"), F.col("cid").alias("v"))
+    inner = centres.join(first, "k0").select(F.col("first").alias("u"), F.col("centre").alias("v"))
+    return outer.unionByName(inner).filter("u <> v").distinct()
+
+
 def _tile_edges(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """members: keys, cid, label, is_left, s."""
 
@@ -261,31 +299,46 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.drop("label").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
-def link(docs: DataFrame, n: int = 3, percent: int = 90, capacity: int = 1 << 20) -> DataFrame:
+def _shared_counts(seen: DataFrame) -> DataFrame:
+    """(cid, n): how many counted hashes of the set are in other sets too, summed over its copies."""
+    keys = seen.select(F.explode("keys").alias("k0"), "cid")
+    shared = keys.groupBy("k0").agg(F.min("cid").alias("one"), F.max("cid").alias("other"), F.count("*").alias("n_rows")).filter("one <> other")
+    shared = stored(shared.select("k0", "n_rows"), "jaccard-shared")
+    sifted = stored(maybe_in(keys, shared.select("k0")).filter("maybe").select("k0", "cid"), "jaccard-sifted")
+    return join_counted(sifted, shared, ["k0"]).groupBy("cid").agg(F.count("*").alias("n"))
+
+
+def link(docs: DataFrame, n: int = 5, percent: int = 80, capacity: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs.
 
     component_id is the smallest doc_id that links reach, the row's own included. Null and empty texts, and texts
     without words, have no n-grams and link with nothing; texts of fewer than n words have one, the whole sequence. Rows that repeat are rows of one
     set; equal sets are one node however many documents have it. A null doc_id joins in but never names a component
-    that has another id. Hashes of 64 bits stand for n-grams and for sets.
+    that has another id. doc_id is of an integer type. Hashes of 64 bits stand for n-grams and for sets.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     seen = stored(_signatures(docs, n, percent), "jaccard-sets")
-    keys = seen.select(F.explode("keys").alias("k0"), "cid")
-    shared = keys.groupBy("k0").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot <> last").select("k0", "pivot")
-    shared = stored(shared, "jaccard-keys")
-    paired = maybe_in(keys, shared.select("k0")).filter("maybe").join(shared, "k0").filter("cid <> pivot")
-    stars = stored(paired.select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct(), "jaccard-stars")
-    groups = stored(components(stars), "jaccard-groups").select(F.col("node").alias("cid"), F.col("label").alias("group"))
     no_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    first = stored(seen.join(groups, "cid").groupBy("cid", "group").agg(F.min(no_id).alias("first_id"), F.first("n_shingles").alias("n")), "jaccard-first")
-    totals = first.groupBy("group").agg(F.ceil(F.sum(F.col("n") * 8) / capacity).cast("bigint").alias("tiles"))
-    wanted = first.select(F.col("first_id").alias("k0")).distinct()
+    own = seen.filter("n_shingles > 0").groupBy("cid").agg(F.min(no_id).alias("first_id"), F.min("doc_id").alias("own_id"), F.count("*").alias("n_rows"), F.first("need").alias("need"))
+    alive = stored(own.join(_shared_counts(seen), "cid").filter("n >= need * n_rows").drop("n", "need"), "jaccard-alive")
+    wanted = stored(alive.select(F.col("first_id").alias("k0")).distinct(), "jaccard-wanted")
     texts = maybe_in(docs.select(no_id.alias("k0"), "text"), wanted).filter("maybe").join(wanted, "k0", "left_semi")
-    arrays = _sets(texts, n).join(first.join(totals, "group").select("cid", "group", "tiles"), "cid").dropDuplicates(["cid"])
-    arrays = stored(arrays, "jaccard-members")
-    labels = stored(_tiles(arrays, percent, capacity), "jaccard-links").select(F.col("node").alias("cid"), F.col("label").alias("linked"))
-    rows = seen.select("doc_id", "n_shingles", "cid").join(labels, "cid", "left").withColumn("linked", F.coalesce("linked", "cid"))
-    named = rows.filter("n_shingles > 0").groupBy("linked").agg(F.min("doc_id").alias("component_id"))
-    sets = rows.filter("n_shingles > 0").join(named, "linked").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sets.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    members = stored(_sets(texts, n).join(alive.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-members")
+    stars = stored(_stars(stored(_keys(members, percent), "jaccard-keys")), "jaccard-stars")
+    groups = stored(components(stars), "jaccard-groups").select(F.col("node").alias("cid"), F.col("label").alias("group"))
+    grouped = stored(members.join(groups, "cid"), "jaccard-grouped")
+    totals = stored(grouped.groupBy("group").agg(F.ceil(F.sum(F.octet_length("s")) / capacity).cast("bigint").alias("tiles"), F.count("*").alias("n_rows")), "jaccard-totals")
+    tiled = stored(join_counted(grouped, totals, ["group"]), "jaccard-tiled")
+    labels = stored(_tiles(tiled, percent, capacity), "jaccard-links").select(F.col("node").alias("cid"), F.col("label").alias("linked"))
+    # Ids of components are found among sets, and rows then look up their set's: neither gathers a set's copies.
+    linked = stored(labels.join(alive, "cid"), "jaccard-linked")
+    named = linked.groupBy("linked").agg(F.min("own_id").alias("component_id"), F.count("*").alias("n_rows"))
+    named = join_counted(linked.select("cid", "linked", F.col("n_rows").alias("copies")), stored(named, "jaccard-names"), ["linked"]).select("cid", "component_id", F.col("copies").alias("n_rows"))
+    # Sets without links take the smallest id of their copies.
+    single = own.join(labels, "cid", "left_anti").filter("n_rows > 1").select("cid", F.col("own_id").alias("component_id"), "n_rows")
+    named = stored(named.unionByName(single), "jaccard-components")
+    rows = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("k0"))
+    sifted = stored(maybe_in(rows, named.select(F.col("cid").alias("k0"))), "jaccard-rows")
+    met = join_counted(sifted.filter("maybe").select("doc_id", "n_shingles", F.col("k0").alias("cid")), named, ["cid"], "left")
+    alone = sifted.filter("not maybe").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return met.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(alone)

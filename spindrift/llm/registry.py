@@ -16,7 +16,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(table(spark, sf_dir, "documents"))
+    return ngram_join.link(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 *
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 q as (select vec_id as query_id, unnest(v) as x, generate_subscripts(v, 1) as i from v where vec_id % 100 = 0),
 c as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from v),
-s as (select query_id, vec_id, cast(sum(q.x * c.x) as bigint) as score from q join c on q.i = c.i and c.vec_id <> q.query_id group by all),
+s as (select query_id, vec_id, cast(sum(q.x * c.x) as bigint) as score from q join c on q.i = c.i and c.vec_id is distinct from q.query_id group by all),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
 select * from r where rank <= 10
 """

@@ -9,8 +9,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, line_dedup, ngram_join, packing, pii, quality, topk
+from spindrift.llm import byte_bpe, line_dedup, ngram_join, packing, pii, prefilter, quality, topk
+from spindrift.llm.common import join_counted
 from spindrift.llm.components import components
 
 from .helpers import AWKWARD, docs, rows_of, sample, wide
@@ -157,7 +159,7 @@ def near_copies(seed=3):
 @pytest.mark.parametrize("capacity", [1 << 20, 4096])
 def test_jaccard_components_equal_all_pairs(spark, capacity):
     rows = [*near_copies(), *AWKWARD]
-    got = ngram_join.link(docs(spark, rows), capacity=capacity)
+    got = ngram_join.link(docs(spark, rows), n=3, percent=90, capacity=capacity)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_links(rows)
 
 
@@ -167,23 +169,51 @@ def test_jaccard_of_five_words_at_four_fifths_equals_all_pairs(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_links(rows, 5, 80)
 
 
+def test_join_keeps_rows_of_heavy_keys_in_place(spark):
+    left = spark.createDataFrame([(1, i) for i in range(3000)] + [(i, i) for i in range(2, 50)] + [(None, 7)], "k long, x long")
+    right = spark.createDataFrame([(1, 3000, "a"), *((i, 1, "b") for i in range(3, 60))], "k long, n_rows long, y string")
+    for how, n in (("inner", 3000 + 47), ("left", 3000 + 48 + 1)):
+        got = rows_of(join_counted(left, right, ["k"], how), "k", "x", "y")
+        assert got == rows_of(left.join(right.drop("n_rows"), ["k"], how), "k", "x", "y") and len(got) == n
+
+
+def test_bit_table_lets_all_keys_pass_and_grows(spark):
+    keys = spark.range(0, 40_000, 4).select(F.col("id").alias("k0"))
+    got = prefilter.maybe_in(spark.range(40_000).select(F.col("id").alias("k0")), keys).groupBy((F.col("k0") % 4 == 0).alias("is_key"), "maybe").count().collect()
+    found = {(r.is_key, r.maybe): r["count"] for r in got}
+    assert found[True, True] == 10_000 and (True, False) not in found and found[False, True] < 30_000 / 8
+    sizes = [prefilter.table_size(n) for n in (0, 10, 10**5, 10**7, prefilter.MOST)]
+    assert sizes == [1 << 16, 1 << 16, 1 << 21, prefilter.MOST, 0]
+    everything = prefilter.MOST
+    try:
+        prefilter.MOST = 8
+        assert prefilter.maybe_in(keys, keys).filter("maybe").count() == 10_000
+    finally:
+        prefilter.MOST = everything
+
+
 def test_jaccard_takes_empty_tables_and_clashing_columns(spark):
     assert ngram_join.link(docs(spark, [])).count() == 0
-    assert rows_of(ngram_join.link(wide(spark)), "doc_id", "n_shingles", "component_id") == plain_links(AWKWARD)
+    assert rows_of(ngram_join.link(wide(spark), 3, 90), "doc_id", "n_shingles", "component_id") == plain_links(AWKWARD)
 
 
-def test_jaccard_parts_lose_no_pair():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_the_counted_hashes_they_need(percent):
     rng = np.random.default_rng(4)
-    bands = ngram_join.Bands(90)
-    for n in (9, 10, 13, 19, 20, 28, 57, 200, 1000):
+    bands, linked = ngram_join.Bands(percent), 0
+    for n in (1, 2, 4, 9, 10, 13, 19, 20, 28, 57, 200, 1000):
         for _ in range(200):
-            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-            drop = rng.integers(0, max(1, n // 10) + 1)
-            b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, rng.integers(0, max(1, n // 10) + 1), dtype=np.uint64)]))
+            new = lambda m: rng.integers(0, 2**63, m, dtype=np.uint64)
+            a = np.unique(new(n))
+            most = n * (100 - percent) // 100 + 1
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[rng.integers(0, most + 1) :]], new(rng.integers(0, most + 1))]))
             common = len(np.intersect1d(a, b))
-            if 100 * common >= 90 * (len(a) + len(b) - common):
-                keys = [{k for band in bands.of(len(s)) for k in ngram_join.part_keys(s, band, bands).tolist()} for s in (a, b)]
-                assert keys[0] & keys[1]
+            if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
+                linked += 1
+                shared = len(np.intersect1d(ngram_join.counted(a, percent), ngram_join.counted(b, percent)))
+                assert shared >= max(ngram_join.least_shared(len(x), percent) for x in (a, b))
+                assert set(bands.of(len(a))) & set(bands.of(len(b)))
+    assert linked > 500
 
 
 def test_components_equal_union_find(spark):
@@ -279,20 +309,29 @@ def test_line_dedup_runs_no_python(spark):
 def test_topk_equals_all_pairs(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(np.float32(x)) for x in rng.integers(-2, 3, 4) / 3]) for i in range(400)]
-    rows += [(401, None), (402, [1.0, None, 0.0, 0.0]), (403, [float("nan")] * 4), (404, [float("inf")] * 4), (None, [0.5] * 4), (500, [0.25, 0.5]), (600, [0.5, 0.5]), (17, [0.1] * 4)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(401, None), (402, [1.0, None, 0.0, 0.0]), (403, [float("nan")] * 4), (404, [float("inf")] * 4), (None, [0.5] * 4), (500, [0.25, 0.5]), (600, [0.5, 0.5]), (17, [0.1] * 4), (200, [0.1] * 4)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, s string, dim int")
     vectors = topk.integer_vectors(df)
     plain = [(r.vec_id, r.v) for r in vectors.collect()]
-    assert len(plain) == 403
+    assert len(plain) == 405
     for k, block in ((10, 4096), (3, 16), (500, 64)):
         got = rows_of(topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k, block, fan_in=3), "query_id", "rank", "vec_id", "score")
         wanted = []
-        for q, v in plain:
-            if q % 100 == 0:
-                hits = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in plain if i != q and len(w) == len(v))
-                wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hits[:k])]
+        for q in sorted({i for i, _ in plain if i is not None and i % 100 == 0}):
+            v = min(w for i, w in plain if i == q)
+            hits = sorted((-sum(a * b for a, b in zip(v, w)), i is None, i or 0) for i, w in plain if i != q and len(w) == len(v))
+            wanted += [(q, n + 1, None if none else i, -s) for n, (s, none, i) in enumerate(hits[:k])]
         assert got == sorted(wanted, key=repr)
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
+    joins = [x for x in topk.search(vectors, vectors)._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [" in x]
+    assert any("s#" in x and "dim#" in x for x in joins)
+
+
+def test_topk_products_are_exact_or_refused():
+    big = np.array([[2**30, 2**30 - 1]])
+    assert topk._products(big, big).tolist() == [[2**60 + (2**30 - 1) ** 2]]
+    with pytest.raises(OverflowError):
+        topk._products(big * 4, big)
 
 
 def test_word_ids_equal_the_tokenizer(spark):
