@@ -3,11 +3,12 @@
 A line of length n is cut into max_edits + 1 segments. If another line is within max_edits edits, at least one segment
 of the shorter one stands unchanged in the longer one, shifted by no more than the edits allow; so every line gives the
 substrings that could be such a segment, for its own length and each length it may have come from, as keys of the
-length, the segment's number and the substring. Lines that share a key are candidates, and the distance, computed in a
-band as wide as the threshold, decides.
+length, the segment's number and the substring. Lines that share a key are candidates. Counts of letters rule most of
+them out; a bit-parallel edit distance in the band of the threshold decides on the others.
 
 In each key's group the line with the smallest digest is compared with all others first. Only lines that this leaves
-standing are compared with the rest of their groups, inside the join, which keeps near pairs only.
+standing are compared with the rest of their groups, inside the join, which keeps near pairs only. Large groups are
+dealt over cells, so no task has all of one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import stored
+from spindrift.llm.common import join_counted, stored
 from spindrift.llm.prefilter import maybe_in, packed
 
 
@@ -41,6 +42,8 @@ def segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
 
 #: Letters counted to rule pairs out before their distance is computed: an edit changes the counts by two at most in all.
 COUNTED = "eatinrsohdlu"
+#: Lines of a key that one cell of its group holds, about.
+CELL = 1000
 
 
 def letter_counts(line: str) -> Column:
@@ -51,68 +54,93 @@ def may_be_close(a: str, b: str, max_edits: int) -> Column:
     return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(COUNTED))), F.lit(0)) <= 2 * max_edits
 
 
-def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """(k0, k1, pos, line, h, g, n): the lines that take part, or those that are too short to. k0 and k1 name a document; h and g name a line."""
-    exploded = docs.select("k0", "k1", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.length("line"))
-    wanted = (F.col("n") < min_chars) & F.col("line").rlike(r"\S") if short else (F.col("n") >= min_chars) & (F.trim("line") != "")
-    return exploded.filter(wanted).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
+def within(a: str, b: str, max_edits: int) -> Column:
+    """Whether the edit distance of two text columns (of one character or more) is at most max_edits.
+
+    The bits of a number stand for the cells of one column of the distance table that lie in the band of 2 * max_edits + 1
+    diagonals: in ``vp`` those one more than the cell above them, in ``vn`` those one less. For each character of b,
+    ``mask`` has a bit for each of the band's characters of a that equal it, and a few bit operations make the next
+    column, whose band stands one row lower. ``score`` follows the band's lowest diagonal. Time and memory are in
+    proportion to the lengths.
+    """
+    k, width = max_edits, 2 * max_edits + 1
+    whole = (1 << width) - 1
+    equal = " | ".join(f"if(get(p.a, j - {k + 1 - r}) = get(p.b, j - 1), {1 << r}, 0)" for r in range(width))
+    masks = f"transform(sequence(1, size(p.b)), j -> {equal})"
+    # Bound in turn, as one-element arrays, so that nothing is computed twice: d0, then hp.
+    d0 = "((((mask & c.vp) + c.vp) ^ c.vp) | mask | c.vn)"
+    hp = "(c.vn | ~(d0 | c.vp))"
+    vp = f"(((d0 & c.vp) | ~(shiftright(d0, 1) | hp)) & {whole})"
+    step = f"transform(array({d0} & {whole}), d0 -> transform(array({hp} & {whole}), hp -> named_struct('vp', {vp}, 'vn', shiftright(d0, 1) & hp, 'score', c.score + 1 - shiftright(d0, {width - 1})))[0])[0]"
+    start = f"named_struct('vp', {((1 << (k + 1)) - 1) << k}, 'vn', 0, 'score', {k})"
+    # The lowest diagonal ends below the last row; what lies between is taken off.
+    below = f"({(1 << 2 * k) - 1} & ~(shiftleft(1, size(p.a) - size(p.b) + {k}) - 1))"
+    last = f"c.score - bit_count(c.vp & {below}) + bit_count(c.vn & {below})"
+    distance = f"aggregate({masks}, {start}, (c, mask) -> {step}, c -> {last})"
+    return F.expr(f"transform(array(named_struct('a', split({a}, ''), 'b', split({b}, ''))), p -> if(abs(size(p.a) - size(p.b)) > {k}, {k} + 1, {distance}))[0] <= {k}")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(k0, k1, pos, line, h, g, n): all lines but blank ones. k0 and k1 name a document; h and g name a line."""
+    exploded = docs.select("k0", "k1", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
+    return exploded.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
 
 
 def _near(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(h): lines within max_edits of a line with a smaller digest."""
-    keys = segment_keys(_lines(docs, min_chars).select("h", "line", "n"), max_edits)
-    shared = stored(keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).filter("pivot <> last").select("k0", "pivot"), "lines-keys")
-    kept = maybe_in(keys, shared.select("k0")).filter("maybe")
-    members = stored(kept.join(shared, "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
-    wanted = members.select(F.col("h").alias("k0")).distinct()
-    texts = maybe_in(_lines(docs, min_chars).select(F.col("h").alias("k0"), "line"), wanted).filter("maybe")
-    texts = stored(texts.join(wanted, "k0", "left_semi").dropDuplicates(["k0"]).select(F.col("k0").alias("h"), "line", letter_counts("line").alias("counts")), "lines-texts")
+    """(h, g): lines of min_chars characters or more within max_edits of another one with a smaller digest."""
+    lines = _lines(docs).filter(F.col("n") >= min_chars)
+    keys = segment_keys(lines.select("h", "line", "n"), max_edits)
+    shared = keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last"), F.count("*").alias("n_rows")).filter("pivot <> last")
+    shared = stored(shared.select("k0", "pivot", "n_rows"), "lines-keys")
+    kept = stored(maybe_in(keys, shared.select("k0")).filter("maybe").select("k0", "h"), "lines-kept")
+    members = stored(join_counted(kept, shared, ["k0"]).select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
+    wanted = stored(members.select(F.col("h").alias("k0")).distinct(), "lines-wanted")
+    texts = maybe_in(lines.select(F.col("h").alias("k0"), "g", "line"), wanted).filter("maybe")
+    texts = stored(texts.join(wanted, "k0", "left_semi").dropDuplicates(["k0", "g"]).select(F.col("k0").alias("h"), "g", "line", letter_counts("line").alias("counts")), "lines-texts")
     others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"), F.col("counts").alias("other_counts"))
     # As conditions of the joins, so that pairs too far apart are never made into rows.
-    close = may_be_close("counts", "other_counts", max_edits) & (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & (F.levenshtein("line", "other_line", max_edits) >= 0)
+    close = may_be_close("counts", "other_counts", max_edits) & (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & within("line", "other_line", max_edits)
 
-    stars = members.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct()
-    found = stored(stars.join(texts, "h").join(others, "other").filter(close).select("h").distinct(), "lines-near")
+    stars = stored(members.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct().join(texts, "h"), "lines-stars")
+    pivots = stored(stars.groupBy("other").agg(F.count("*").alias("n_rows")).join(others, "other"), "lines-pivots")
+    found = stored(join_counted(stars, pivots, ["other"]).filter(close).select("h", "g").distinct(), "lines-near")
     # A key of two lines is done with; so is one all of whose lines are near its first.
-    open_keys = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key")
-    standing = members.filter("h <> pivot").join(found, "h", "left_anti").join(open_keys, "key", "left_semi")
-    standing = stored(standing, "lines-standing")
-    rest = members.select("key", F.col("h").alias("other")).join(standing.select("key").distinct(), "key", "left_semi").join(others, "other")
-    met = standing.join(texts, "h").join(rest, "key").filter((F.col("other") < F.col("h")) & (F.col("other") != F.col("pivot")) & close)
-    return stored(found.unionByName(met.select("h")).distinct(), "lines-near")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    open_lines = members.filter("h <> pivot").join(found.select("h").distinct(), "h", "left_anti")
+    standing = stored(open_lines.join(sizes, "key"), "lines-standing")
+    open_keys = standing.select("key", "cells").distinct()
+    rest = members.select("key", F.col("h").alias("other")).join(open_keys, "key").withColumn("cell", F.expr("cast(pmod(xxhash64(other), cells) as int)")).drop("cells")
+    asking = standing.select("key", "pivot", "h", F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"))
+    met = asking.join(texts, "h").join(rest.join(others, "other"), ["key", "cell"]).filter((F.col("other") < F.col("h")) & (F.col("other") != F.col("pivot")) & close)
+    return stored(found.unionByName(met.select("h", "g")).distinct(), "lines-near")
 
 
-def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, leave_out: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
     """The same rows and columns with repeated lines left out of ``text``, and n_lines, n_exact, n_near (long) added (in place of columns of these names).
 
     Lines are what ``\\n`` separates. Of equal lines the first stays, by document (doc_id, then the text's digest) and
-    place; of lines within ``max_edits`` edits, one with a smaller digest drives out the others. Lines shorter than
-    ``min_chars`` characters, and those of spaces only, always stay. n_exact counts lines left out as equal to an
-    earlier one, n_near those left out as near another. A null text stays null with no lines; rows that repeat are one
-    document and all get its text; null ids come first. Digests of lines have 128 bits for equality and 64 where only candidates are meant.
+    place, whatever their length; of lines within ``max_edits`` edits, one with a smaller digest drives out the others.
+    Near are only lines of ``min_chars`` characters or more: in shorter ones, so many edits make another line. Blank lines always stay.
+    n_exact counts lines left out as equal to an earlier one, n_near those left out as near another. A null text stays
+    null with no lines; rows that repeat are one document and all get its text; null ids come first. doc_id is of an
+    integer type. Digests of lines have 128 bits for equality and 64 where only candidates are meant.
     """
     named = packed(docs, F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")).withColumn("text", F.col("row.text"))
     texts = named.select("k0", "k1", "text")
-    lines = _lines(texts, min_chars)
+    lines = _lines(texts)
     place = F.struct("k0", "k1", "pos")
-    distinct = stored(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times")), "lines-distinct")
     near = _near(texts, max_edits, min_chars)
-    marked = distinct.join(near.withColumn("near", F.lit(True)), "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    acted = marked.filter("near or times > 1").select("h", "g", "first", "near")
-    gone = lines.select("k0", "k1", "pos", "h", "g").join(acted, ["h", "g"]).filter(F.col("near") | (place != F.col("first")))
+    distinct = stored(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n_rows")), "lines-distinct")
+    marked = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    acted = stored(marked.filter("near or n_rows > 1").select(F.col("h").alias("k0"), F.col("g").alias("k1"), "first", "near", "n_rows"), "lines-acted")
+    sifted = maybe_in(lines.select(place.alias("place"), F.col("h").alias("k0"), F.col("g").alias("k1")), acted.select("k0", "k1")).filter("maybe")
+    sifted = stored(sifted.select("place", "k0", "k1"), "lines-sifted")
+    gone = join_counted(sifted, acted, ["k0", "k1"]).filter(F.col("near") | (F.col("place") != F.col("first"))).select("place.*", "near")
     drops = gone.groupBy("k0", "k1").agg(F.collect_set("pos").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("pos")))).alias("near"))
     drops = stored(drops, "lines-gone")
     sifted = maybe_in(named, drops.select("k0", "k1"))
-    if leave_out:
-        shorts = _lines(texts, min_chars, short=True).groupBy("h", "g").agg(F.min(place).alias("first"))
-        owners = marked.filter("not near").select("first").unionByName(shorts.select("first")).select("first.k0", "first.k1")
-        owners = maybe_in(owners, drops.select("k0", "k1")).filter("maybe").select("k0", "k1").distinct().withColumn("own", F.lit(True))
-        drops = drops.join(owners, ["k0", "k1"], "left")
     nothing = sifted.filter(~F.col("maybe")).withColumn("gone", F.lit(None).cast("array<int>")).withColumn("near", F.lit(0))
-    some = sifted.filter("maybe").join(drops, ["k0", "k1"], "left")
-    if leave_out:
-        some = some.filter("gone is null or own")
-    some = some.select(nothing.columns)
+    some = sifted.filter("maybe").join(drops, ["k0", "k1"], "left").select(nothing.columns)
     both = nothing.unionByName(some).withColumn("lines", F.split("text", "\n", -1)).withColumn("left", F.expr("array_except(sequence(0, size(lines) - 1), gone)"))
     new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")

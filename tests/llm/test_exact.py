@@ -251,21 +251,25 @@ def plain_dedup(rows, max_edits, min_chars):
         return h - (1 << 64) if h >= 1 << 63 else h
 
     order = sorted({(-(2**63) if d is None else d, digest(t), t) for d, t in rows if t is not None})
-    takes_part = lambda x: len(x) >= min_chars and x.strip(" ")
     first, lines = {}, set()
     for d, h, t in order:
         for pos, x in enumerate(t.split("\n")):
-            if takes_part(x):
+            if filled(x):
                 first.setdefault(x, (d, h, pos))
                 lines.add(x)
+    lines = {x for x in lines if len(x) >= min_chars}
     near = {x for x in lines if any(digest(y) < digest(x) and abs(len(x) - len(y)) <= max_edits and distance(x, y) <= max_edits for y in lines)}
     out = []
     for d, t in rows:
-        kept = None if t is None else [x for pos, x in enumerate(t.split("\n")) if not takes_part(x) or (x not in near and first[x] == (-(2**63) if d is None else d, digest(t), pos))]
+        kept = None if t is None else [x for pos, x in enumerate(t.split("\n")) if not filled(x) or (x not in near and first[x] == (-(2**63) if d is None else d, digest(t), pos))]
         out.append((d, t if t is None else "\n".join(kept), 0 if t is None else t.count("\n") + 1))
     return sorted(out, key=repr)
 
 
+def filled(line):
+    return line.strip(" \t\n\x0b\x0c\r") != ""
+
+
 def line_rows():
     rng = random.Random(8)
     bases = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (24, 25, 26, 30, 31, 47, 90)]
@@ -278,6 +282,7 @@ def line_rows():
                 at = rng.randrange(len(x))
                 x[at : at + rng.randrange(2)] = rng.choice(["", "e", "f"])
             lines.append("".join(x))
+        lines += rng.choices(["Les.", "Des.", " ", "", "\t", "a short line"], k=rng.randrange(3))
         rows.append((i % 50, "\n".join(lines)))
     return rows
 
@@ -289,9 +294,32 @@ def test_line_dedup_equals_all_pairs(spark, max_edits):
     assert rows_of(got, "doc_id", "text", "n_lines") == plain_dedup(rows, max_edits, 24)
 
 
-def test_line_dedup_takes_lines_with_more_of_a_letter_than_a_short_holds(spark):
-    line = "eeeeeeeeeee " * 3000
-    got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, [(1, line), (2, line[:20_000] + "x" + line[20_000:]), (3, line[:-40])])).collect()}
+@pytest.mark.parametrize("cell", [1, 3])
+def test_line_dedup_compares_all_cells_of_a_large_group(spark, monkeypatch, cell):
+    """Lines of one template: each shares a segment with all others, few are near."""
+    monkeypatch.setattr(line_dedup, "CELL", cell)
+    rng = random.Random(2)
+    rows = [(i, "the beginning that all of them share " + "".join(rng.choice("abc") for _ in range(5)) + " mid" + rng.choice(["", "x", "yz"])) for i in range(40)]
+    assert rows_of(line_dedup.dedup(docs(spark, rows)), "doc_id", "text", "n_lines") == plain_dedup(rows, 2, 24)
+
+
+def test_edit_distance_in_the_band_equals_the_plain_one(spark):
+    rng, rows = random.Random(1), []
+    for _ in range(3000):
+        a = [rng.choice("abé\U0001f600") for _ in range(rng.randrange(1, 14))]
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "é", "xy"])
+        rows += [("".join(a), "".join(b), distance("".join(a), "".join(b)))] if "".join(b) else []
+    pairs = spark.createDataFrame(rows, "a string, b string, d int")
+    for k in (1, 2, 3, 4):
+        assert pairs.filter(line_dedup.within("a", "b", k) != (F.col("d") <= k)).count() == 0
+
+
+def test_line_dedup_takes_lines_of_hundreds_of_thousands_of_characters(spark):
+    line = "eeeeeeeeeee " * 33_000
+    got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, [(1, line), (2, line[:200_000] + "x" + line[200_000:]), (3, line[:-40])])).collect()}
     assert line.count("e") > 32_767 and sorted(got[i].n_near for i in (1, 2)) == [0, 1] and got[3].text == line[:-40]
 
 

@@ -15,7 +15,7 @@ from spindrift.llm import brown_lm, language, line_dedup, packing, pii, toxicity
 from spindrift.llm.common import fold_of
 
 from .helpers import AWKWARD, docs, sample, wide
-from .test_exact import WORD_BPE, check_packing, distance, plain_links
+from .test_exact import WORD_BPE, check_packing, distance, filled, plain_links
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -144,13 +144,13 @@ def plain_stages(rows):
         return h - (1 << 64) if h >= 1 << 63 else h
 
     rows = [(d, t) for d, t in rows if t and t.strip()]
-    part = lambda x: len(x) >= 24 and x.strip(" ")
     first, lines = {}, {}
     for d, t in sorted(rows, key=lambda r: (r[0], digest(r[1]))):
         for pos, x in enumerate(t.split("\n")):
-            if part(x):
+            if filled(x):
                 first.setdefault(x, (d, pos))
-                lines[x] = digest(x)
+                if len(x) >= 24:
+                    lines[x] = digest(x)
     by_size = {}
     for x in lines:
         by_size.setdefault(len(x), []).append(x)
@@ -165,10 +165,10 @@ def plain_stages(rows):
                         near.add(x)
     left = []
     for d, t in rows:
-        kept = [x for pos, x in enumerate(t.split("\n")) if not part(x) or (x not in near and first[x] == (d, pos))]
+        kept = [x for pos, x in enumerate(t.split("\n")) if not filled(x) or (x not in near and first[x] == (d, pos))]
         if "\n".join(kept).strip() or len(kept) == t.count("\n") + 1:
             left.append((d, "\n".join(kept)))
-    component = {d: c for d, _, c in plain_links(left)}
+    component = {d: c for d, _, c in plain_links(left, 5, 80)}
     return [(d, pii.redact_text(t, [(s, e, k) for k, s, e, *_ in pii.spans_of(t)])) for d, t in left if component[d] == d]
 
 
@@ -199,12 +199,12 @@ def test_stages_keep_the_columns_and_take_awkward_rows(spark):
 
 def test_copies_with_a_short_line_leave_no_stub(spark):
     long, other = "a line that is long enough to take part", "another line that is long enough as well"
-    rows = [(1, f"Les.\n{long}"), (2, f"Les.\n{long}"), (3, f"Les.\n\n{long}s"), (4, f"Own.\n{long}"), (5, f"Les.\n{other}"), (6, "Les."), (7, f"Own.\n{other}\n{other}"), (8, None)]
+    rows = [(1, f"Les.\n{long}"), (2, f"Les.\n{long}"), (3, f"Les.\n\n{long}s"), (4, f"Own.\n{long}"), (5, f"Les.\n{other}"), (6, "Les."), (7, f"Own.\n{other}\n{other}"), (8, None), (9, " \n")]
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs(spark, rows), SMALL).collect()}
-    # Of the near lines of 1 and 3 one stays; 4 and 5 have a line of their own; 6 lost none.
+    # Of the near lines of 1 and 3 one stays. 2, 6 and 7 keep no line; 8 and 9 lost none.
     kept = got.pop(3, None)
-    assert kept in (None, f"Les.\n\n{long}s") and got.pop(1) == (f"Les.\n{long}" if kept is None else "Les.")
-    assert got == {4: "Own.", 5: f"Les.\n{other}", 6: "Les.", 8: None}
+    assert kept in (None, f"\n{long}s") and got.pop(1) == (f"Les.\n{long}" if kept is None else "Les.")
+    assert got == {4: "Own.", 5: other, 8: None, 9: " \n"}
 
 
 def test_near_copies_with_spread_edits_go(spark):
