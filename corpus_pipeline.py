@@ -34,18 +34,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go; documents with nothing of their own left, not even a short line, go with them."""
-    left = line_dedup.dedup(docs, leave_out=True)
+    """Repeated and nearly repeated lines go; documents that keep no line of their own go with them."""
+    left = line_dedup.dedup(docs)
     emptied = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim(F.regexp_replace("text", "\\s+", " ")) == "")
     return _measured(left.filter(~F.coalesce(emptied, F.lit(False))).select(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (four fifths of their five-word sets in common) the document with the smallest id stays; of rows with one id, one."""
-    labels = stored(ngram_join.link(docs, n=5, percent=80), "pipeline-components")
-    copies = labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("k0")).distinct()
+    labels = stored(ngram_join.link(docs), "pipeline-components")
+    copies = stored(labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("k0")).distinct(), "pipeline-copies")
     left = without(packed(docs, F.col("doc_id")), copies)
-    repeated = labels.groupBy(F.col("doc_id").alias("k0")).count().filter("count > 1 and k0 is not null").select("k0")
+    repeated = stored(labels.groupBy(F.col("doc_id").alias("k0")).count().filter("count > 1 and k0 is not null").select("k0"), "pipeline-repeated")
     sifted = maybe_in(packed(left, F.col("doc_id")), repeated)
     return sifted.filter("not maybe").select("row").unionByName(sifted.filter("maybe").dropDuplicates(["k0"]).select("row")).select("row.*")
 
