@@ -1,7 +1,7 @@
 """Quality by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of vote
-patterns estimates how often each rule is right on good and on bad documents, and the share of good ones; a document's
+patterns estimates how often each rule votes and is right on good and on bad documents, and the share of good ones; a document's
 posterior probability of being good replaces the all-rules-must-pass filter. There are at most 3 ** rules patterns,
 so what reaches the driver does not grow with the corpus.
 """
@@ -95,13 +95,33 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, least_right: float = 0.99, rounds: int = 60) -> tuple[float, np.ndarray]:
-    """Share of good documents and, per rule and class (bad, good), the log ratio table of votes -1, 0, 1.
+#: What is believed of a rule before any document is seen: worth so many votes in each class, so many of them right, and one abstention.
+BELIEF, RIGHT = 4.0, 0.75
 
-    Starts from "bad if any rule says bad". Abstaining carries no evidence; of the votes cast, each rule has a chance
-    of saying good on a good document and another on a bad one, both smoothed by one vote each way. Rules are taken to
-    call at most one good document in a hundred bad (``least_right``): without some such belief, junk that a single
-    rule sees could as well be good documents on which that rule errs.
+
+def monotone_ratios(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Log ratios of the chances of votes -1, 0, 1 on good and on bad documents, from their weights there, never falling from -1 to 1.
+
+    Neighbouring votes whose ratio falls are taken as one. As the ratios' mean over bad documents is one, a bad vote
+    then never speaks for a document and a good vote never against it: each rule is better than chance or says nothing.
+    """
+    bad, good = bad / bad.sum(), good / good.sum()
+    blocks: list[list[float]] = []
+    for b, g in zip(bad, good):
+        blocks.append([b, g, 1])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] > blocks[-1][1] * blocks[-2][0]:
+            b2, g2, n2 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + b2, blocks[-1][1] + g2, blocks[-1][2] + n2]
+    return np.array([np.log(g / b) for b, g, n in blocks for _ in range(n)])
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, most_false: float = 0.01, rounds: int = 60) -> tuple[float, np.ndarray]:
+    """Share of good documents and, per rule, the log ratios of votes -1, 0, 1 (see monotone_ratios).
+
+    Starts from "bad if any rule says bad". In turn, each document's chance of being good follows from the rules'
+    ratios, and these from how often each vote, abstentions included, falls on good and on bad documents. No rule is
+    taken to call more than ``most_false`` of the good documents bad: else the two classes might come to mean
+    something else, and junk that a single rule sees would be good documents on which it errs.
     """
     if not patterns:
         return 0.5, np.zeros((n_rules, 3))
@@ -111,10 +131,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, least_ri
         share = np.clip((weight * good).sum() / weight.sum(), 0.01, 0.99)
         ratio = np.zeros((n_rules, 3))
         for r in range(n_rules):
-            up, down = votes[:, r] > 0, votes[:, r] < 0
-            p = [((weight * m)[up].sum() + 1) / ((weight * m)[up | down].sum() + 2) for m in (1 - good, good)]
-            p[1] = max(p[1], least_right)
-            ratio[r] = np.log((1 - p[1]) / (1 - p[0])), 0.0, np.log(p[1] / p[0])
+            seen = [np.bincount(votes[:, r] + 1, weight * m, 3) for m in (1 - good, good)]
+            wrong_last = BELIEF * np.array([RIGHT, 0, 1 - RIGHT]) + np.array([0, 1, 0])
+            bad, fine = seen[0] + wrong_last, seen[1] + wrong_last[::-1]
+            fine[0] = min(fine[0], most_false * fine.sum())
+            ratio[r] = monotone_ratios(bad, fine)
         logit = np.log(share / (1 - share)) + ratio[np.arange(n_rules), votes + 1].sum(axis=1)
         good = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     return float(share), ratio
@@ -124,7 +145,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, ``p_good`` and ``kept`` for every row of docs.
 
     ``base_failed``: under 20 words, or over 30 % of the words repeated. ``kept`` is false if base_failed, else
-    whether p_good reaches the threshold. The rules are judged on documents that pass the base. Null and empty texts fail. Repeated rows get equal results; an empty table
+    whether p_good reaches the threshold: a bad vote that the other rules outweigh does not reject. The rules are
+    judged on documents that pass the base. Null and empty texts fail. Repeated rows get equal results; an empty table
     gives no rows.
     """
     votes = rules()
@@ -134,6 +156,6 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     patterns = [(tuple(r[:-1]), r[-1]) for r in seen.filter(~failed).groupBy(names).count().collect()]
     share, ratio = estimate(patterns, len(names))
     logit = F.lit(float(np.log(share / (1 - share))))
-    for name, (bad, _, good) in zip(names, ratio):
-        logit += F.when(F.col(name) < 0, float(bad)).when(F.col(name) > 0, float(good)).otherwise(0.0)
+    for name, (bad, none, good) in zip(names, ratio):
+        logit += F.when(F.col(name) < 0, float(bad)).when(F.col(name) > 0, float(good)).otherwise(float(none))
     return seen.withColumn("p_good", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
