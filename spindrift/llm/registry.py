@@ -28,7 +28,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     digests = F.sha2(pii.joined(F.col("spans"), True), 256).alias("base_sha256"), pii.joined(F.col("spans"), False).alias("spans")
-    return found.select("doc_id", *map(count, pii.BASE_KINDS), *digests)
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores")
+    return found.select("doc_id", *map(count, pii.BASE_KINDS), *digests, scores)
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators with one right answer, against plain versions."""
 
 import base64
+import math
 import random
 import re
 import zlib
@@ -64,16 +65,47 @@ def test_pii_base_spans_equal_the_plain_patterns(spark):
 
 def test_pii_takes_awkward_rows(spark):
     got = pii.detect(wide(spark))
-    assert got.count() == len(AWKWARD) and got.filter("size(spans) > 0").count() == 0
+    assert got.count() == len(AWKWARD) and got.filter("size(spans) > 0").count() == 0 and got.columns == ["doc_id", "text", "spans"]
     assert pii.detect(docs(spark, [])).count() == 0
     assert pii.redact(wide(spark)).columns == wide(spark).columns
     text = "IBAN: GB82 WEST 1234 5698 7654 32 or bob@mail.example.com"
     kinds = [(s[0], s[3]) for s in pii.spans_of(text)]
-    assert kinds == [("email", 0.7), ("iban", 0.9)]
+    assert kinds == [("email", 0.8), ("iban", 0.9)]
     assert pii.spans_of("GB82 WEST 1234 5698 7654 33") == []
     assert pii.redact(docs(spark, [(1, text), (2, None)])).collect()[0].text == "IBAN: <IBAN> or <EMAIL>"
 
 
+@pytest.mark.parametrize(
+    "before, span, after, kind",
+    [
+        ("my card is ", "3782 822463 10005", " thanks", "short_card"),
+        ("", "378282246310005", " is the amex to use", "short_card"),
+        ("please call ", "(555) 010-9999", " at noon", "local_phone"),
+        ("reach us at ", "555 010 9999", " (tel)", "local_phone"),
+    ],
+)
+def test_pii_ambiguous_spans_pass_or_fail_by_their_context_alone(spark, before, span, after, kind):
+    found = lambda text: [s[:3] for s in pii.spans_of(text) if s[3] >= 0.5]
+    assert found(before + span + after) == [(kind, len(before), len(before) + len(span))]
+    assert found("xx yy " + span + " zz") == [] and found(before + span + " invoice" + after) == []
+    # Words count only as wholes and within reach.
+    assert found("hotel recall " + span + " zz") == [] and found(before + "x" * 60 + " " + span + " " + "x" * 60 + after) == []
+    rows = docs(spark, [(1, before + span + after), (2, "xx " + span)])
+    assert [r.text for r in pii.redact(rows).orderBy("doc_id").collect()] == [f"{before}<{kind.upper()}>{after}", "xx " + span]
+    assert [len(r.spans) for r in pii.detect(rows).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_pii_words_against_a_span_lower_its_score(spark):
+    for text, kind, kept in (("host 10.2.3.4", "ip", True), ("version 10.2.3.4", "ip", False), ("x GB82 WEST 1234 5698 7654 32", "iban", True), ("article GB82 WEST 1234 5698 7654 32", "iban", False)):
+        [(found, *_, sure, base)] = pii.spans_of(text)
+        assert found == kind and (sure >= 0.5) == kept
+        # A base span is found whatever its score; what is redacted follows the score.
+        [row] = pii.detect(docs(spark, [(1, text)])).collect()
+        assert len(row.spans) == (kept or base)
+        assert ("<" in pii.redact(docs(spark, [(1, text)])).collect()[0].text) == kept
+    assert pii.spans_of("phone +49 30 1234567, 2024-01-01 or call 2024-01-01") == [("phone", 6, 20, 0.9, True)]
+
+
 @pytest.mark.parametrize(
     "iban, after",
     [
@@ -104,6 +136,46 @@ def test_quality_counts_equal_the_plain_ones(spark):
         assert quality.counts_of(t)[:5] == plain_counts(t)
 
 
+def test_quality_posteriors_equal_a_plain_em_over_documents_and_no_bad_vote_raises_them(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = [f"vote_{k}" for k in quality.rules()]
+    rows = quality.judge(table).collect()
+    votes = [tuple(r[n] for n in names) for r in rows if not r.base_failed]
+    good = [0.1 if -1 in v else 0.95 for v in votes]
+    for _ in range(60):
+        share = min(max(sum(good) / len(votes), 0.01), 0.99)
+        tables = []
+        for r in range(len(names)):
+            bad = {v: sum(1 - g for x, g in zip(votes, good) if x[r] == v) + {-1: 3, 0: 1, 1: 1}[v] for v in (-1, 0, 1)}
+            fine = {v: sum(g for x, g in zip(votes, good) if x[r] == v) + {-1: 1, 0: 1, 1: 3}[v] for v in (-1, 0, 1)}
+            fine[-1] = min(fine[-1], 0.01 * sum(fine.values()))
+            p, q = ({v: x[v] / sum(x.values()) for v in x} for x in (bad, fine))
+            # The least rising sequence of ratios: of all runs of votes through each, the largest of the least means.
+            mean = lambda i, j: sum(q[v] for v in range(i, j + 1)) / sum(p[v] for v in range(i, j + 1))
+            tables.append({v: max(min(mean(i, j) for j in range(v, 2)) for i in range(-1, v + 1)) for v in (-1, 0, 1)})
+            assert tables[-1][-1] <= 1 + 1e-12 and tables[-1][1] >= 1 - 1e-12
+        odds = [share / (1 - share) * math.prod(t[v] for t, v in zip(tables, x)) for x in votes]
+        good = [o / (1 + o) for o in odds]
+    assert [r.p_good for r in rows if not r.base_failed] == pytest.approx(good, abs=1e-9)
+    for t in tables:
+        assert t[-1] <= t[0] <= t[1]
+    # Not all rules must pass: bad votes of the weak rules are outweighed, and equal votes have equal results.
+    large = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    outvoted = large.filter("kept and (vote_dup_lines < 0 or vote_repeats < 0)")
+    assert outvoted.count() > 10 and large.filter("vote_symbols < 0 and kept").count() == 0
+    clean = large.filter(" and ".join(f"{n} >= 0" for n in names)).agg(F.max("p_good")).first()[0]
+    assert outvoted.agg(F.max("p_good")).first()[0] < clean
+    assert large.groupBy("base_failed", *names).agg(F.countDistinct("p_good").alias("n")).filter("n > 1").count() == 0
+
+
+def test_quality_of_ties_at_the_threshold_and_repeated_rows(spark):
+    rows = [(1, "a word of the text " * 4), (1, "a word of the text " * 4), (2, "Good words here, and a line that ends well. " * 1 + " ".join(f"w{i}" for i in range(40)))]
+    got = quality.judge(docs(spark, rows)).collect()
+    assert len(got) == 3 and len({tuple(r) for r in got if r.doc_id == 1}) == 1
+    [at] = {r.p_good for r in got if r.doc_id == 2}
+    assert [r.kept for r in quality.judge(docs(spark, rows), threshold=at).collect() if r.doc_id == 2] == [True]
+
+
 def test_quality_keeps_good_and_drops_junk(spark):
     got = quality.judge(wide(spark))
     assert got.count() == len(AWKWARD)

@@ -169,7 +169,7 @@ def plain_stages(rows):
         if "\n".join(kept).strip() or len(kept) == t.count("\n") + 1:
             left.append((d, "\n".join(kept)))
     component = {d: c for d, _, c in plain_links(left, 5, 80)}
-    return [(d, pii.redact_text(t, [(s, e, k) for k, s, e, *_ in pii.spans_of(t)])) for d, t in left if component[d] == d]
+    return [(d, pii.redact_text(t, [(s, e, k) for k, s, e, sure, _ in pii.spans_of(t) if sure >= 0.5])) for d, t in left if component[d] == d]
 
 
 def test_pipeline_equals_plain_stages(spark):
