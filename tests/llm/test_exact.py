@@ -473,6 +473,62 @@ def test_packing_places_every_piece_and_fills_sequences(spark):
     assert packing.pack(packing.pieces(docs(spark, []), WORD_BPE)).count() == 0
 
 
+def triplets(seed, n):
+    """Items that fill n bins exactly, three a bin, which best fit does not find."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(760, 1000)
+        b = rng.randrange(520, (2048 - a) // 2 + 1)
+        out += [a, b, 2048 - a - b]
+    return out
+
+
+def test_breeding_beats_best_fit(spark):
+    for seed in range(3):
+        lengths = triplets(seed, 20)
+        plain = packing.best_fit(packing.decreasing(list(range(60)), lengths), lengths, 2048, [])
+        elites = [packing.breed(lengths, 2048, island, [], 8, 25) for island in range(3)]
+        bred = packing.breed(lengths, 2048, 9, elites, 8, 25)
+        assert sorted(i for b in bred for i in b) == list(range(60)) and all(packing.fill(b, lengths) <= 2048 for b in bred)
+        assert len(bred) <= len(plain) - 2
+        rows = [(i, n, "x", "y") for i, n in enumerate(lengths)]
+        got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, shard string, bin string"))
+        assert got.columns == ["doc_id", "length", "shard", "bin", "sequence_id", "offset"]
+        assert check_packing(got.collect()) <= len(plain) - 2
+
+
+def test_packing_merges_what_shards_leave(spark):
+    rng = random.Random(5)
+    lengths = [min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    got = packing.pack(rows, shard_pieces=100).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    # Thirty shards would leave thirty sequences partly filled.
+    assert check_packing(got) <= -(-sum(lengths) // 2048) + 8
+
+
+def test_breeding_is_dealt_over_as_many_tasks_as_islands(spark):
+    settled = packing._settled(spark.createDataFrame([(i, triplets(i, 5)) for i in range(5)], "shard long, lengths array<long>"), 2048)
+    plan = packing._plans(settled, 5, 2048, 3, 2, 4, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and ", 15), REPARTITION_BY_NUM" in plan
+
+
+def test_word_ids_are_looked_up_for_one_kind_of_file_only(tmp_path):
+    import json
+
+    whole = json.load(open(WORD_BPE, encoding="utf-8"))
+    other = whole | {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}}
+    spaced = whole | {"pre_tokenizer": {**whole["pre_tokenizer"], "pretokenizers": [{**whole["pre_tokenizer"]["pretokenizers"][0], "pattern": {"Regex": " ?[a-z]+"}}, whole["pre_tokenizer"]["pretokenizers"][1]]}}
+    for name, model in (("other", other), ("spaced", spaced)):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(model), encoding="utf-8")
+        assert not packing.by_ranks(str(path))
+        from tokenizers import Tokenizer
+
+        text = "Some Words, and ÀÉ more's"
+        assert np.frombuffer(packing.ids_of(text, str(path), False), "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def test_crossover_keeps_whole_bins_and_all_items():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 700) for _ in range(300)]
