@@ -24,33 +24,81 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), ""]
 
 
-@pytest.mark.parametrize("hot", [0, 50, 100_000])
-def test_lm_base_scores_equal_plain_sums(spark, hot):
+def plain_score(text, model, counts):
+    """log10 probability under the class model, from the classes, a plain count of words and the pairs of classes."""
+    items = brown_lm.Items(model.frequent, model.endings)
+    total, before = 0.0, 0
+    for w in (x.encode() for x in tokens(text)):
+        k = int(model.of[items[w]])
+        total += model.transitions[before, k] + math.log10((counts[w] + 1) / (model.class_tokens[k] + model.class_words[k] + 1))
+        before = k
+    return total
+
+
+@pytest.mark.parametrize("per", [1, 200, 1_000_000])
+def test_lm_scores_equal_plain_sums(spark, per):
     rows = [*AWKWARD, *[(r.doc_id + 100, r.text) for r in sample(spark, 60).collect()]]
     train = [(d, t) for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
     df = docs(spark, rows)
-    model = brown_lm.fit(df.filter(fold_of("doc_id", 7) != 2), classes=8, frequent=40, endings=20, hot=hot)
-    counts = Counter(w for _, t in train for w in tokens(t))
+    model = brown_lm.fit(df.filter(fold_of("doc_id", 7) != 2), classes=8, per=per, seeds=40, endings=20)
+    counts = Counter(w.encode() for _, t in train for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
     assert (model.train_tokens, model.vocabulary) == (n, v)
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in brown_lm.score(df, model).collect()), key=repr)
-    wanted = sorted(((d, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t))) for d, t in rows), key=repr)
+    assert set(model.frequent) == {w for w, c in counts.items() if c >= max(2, n / per) and w}
+    # Classes, their sizes and their transitions, counted from the texts.
+    items = brown_lm.Items(model.frequent, model.endings)
+    of = lambda w: int(model.of[items[w]])
+    sizes, kinds, pairs = Counter(), Counter(of(w) for w in counts), np.zeros((8, 8))
+    for _, t in train:
+        line = [0, *(of(w.encode()) for w in tokens(t))]
+        sizes.update(line[1:])
+        for a, b in zip(line, line[1:]):
+            pairs[a, b] += 1
+    assert [sizes[k] for k in range(8)] == model.class_tokens.tolist() and [kinds[k] for k in range(8)] == model.class_words.tolist()
+    share = (pairs.sum(axis=0) + 1) / (pairs.sum() + 8)
+    assert model.transitions == pytest.approx(np.log10((pairs + 50 * share) / (pairs.sum(axis=1, keepdims=True) + 50)))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in brown_lm.score(df, model).collect()), key=lambda r: repr(r[:3]))
+    wanted = []
+    for d, t in rows:
+        seen = [counts[w.encode()] for w in tokens(t)]
+        wanted.append((d, len(seen), sum(c > 0 for c in seen), sum(math.log10((c + 1) / (n + v + 1)) for c in seen), plain_score(t, model, counts)))
+    wanted.sort(key=lambda r: repr(r[:3]))
     assert [g[:3] for g in got] == [w[:3] for w in wanted]
-    assert [g[3] for g in got] == pytest.approx([w[3] for w in wanted], rel=1e-9)
+    for at in (3, 4):
+        assert sorted(g[at] for g in got) == pytest.approx(sorted(w[at] for w in wanted), rel=1e-9)
 
 
-def test_lm_is_normalised_and_beats_single_words(spark):
+def test_lm_of_all_frequent_words_beats_that_of_few_and_single_words(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = fold_of("doc_id", 7) == 2
-    model = brown_lm.fit(df.filter(~held), classes=16, frequent=200, endings=100, hot=1000)
-    assert (10**model.transitions).sum(axis=1) == pytest.approx(np.ones(16), abs=1e-9)
+    fitted = {name: brown_lm.fit(df.filter(~held), classes=24, seeds=300, endings=100, **more) for name, more in (("few", {"per": 2000, "rounds": 0}), ("still", {"rounds": 0}), ("all", {}))}
+    model = fitted["all"]
+    assert (10**model.transitions).sum(axis=1) == pytest.approx(np.ones(24), abs=1e-9)
     # Each class's words take (c + 1) / (tokens + words + 1) each; what is left, 1 / (...), is the unknown words'.
     assert model.class_tokens.sum() == model.train_tokens and model.class_words.sum() == model.vocabulary
-    total = brown_lm.score(df.filter(held), model).agg(F.sum("score"), F.sum("base_score")).first()
+    scored = {name: brown_lm.score(df.filter(held), m) for name, m in fitted.items()}
+    found = {name: brown_lm.perplexity(x) for name, x in scored.items()}
+    assert found["all"] < found["still"] and found["all"] < found["few"]
+    total = scored["all"].agg(F.sum("score"), F.sum("base_score")).first()
     assert total[0] > total[1]
-    empty = brown_lm.fit(df.limit(0), classes=4, frequent=10, endings=5)
+    empty = brown_lm.fit(df.limit(0), classes=4, seeds=10, endings=5)
     assert brown_lm.score(df.limit(3), empty).count() == 3 and brown_lm.score(df.limit(0), model).count() == 0
-    assert brown_lm.score(wide(spark), model).count() == len(AWKWARD)
+    assert brown_lm.score(wide(spark), model).count() == len(AWKWARD) and brown_lm.perplexity(scored["all"].limit(0)) is None
+
+
+def test_gains_are_those_of_moving_a_small_item():
+    rng = np.random.default_rng(3)
+    table = rng.integers(50_000, 90_000, (5, 5)).astype(float)
+    item = rng.integers(0, 4, 10).astype(float)
+    exact = []
+    for k in range(5):
+        with_item = table.copy()
+        with_item[k] += item[:5]
+        with_item[:, k] += item[5:]
+        exact.append(brown_lm.information(with_item) - brown_lm.information(table))
+    gain = brown_lm.gains(item[None], table)[0]
+    # Up to what is the same in every class.
+    assert gain - gain.mean() == pytest.approx(np.array(exact) - np.mean(exact), abs=2e-3)
 
 
 def test_exchange_separates_two_vocabularies():
