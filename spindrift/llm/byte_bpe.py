@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import text_or_empty
+from spindrift.llm.common import slices, text_or_empty
 
 
 @lru_cache(maxsize=2)
@@ -35,19 +35,32 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
-def _encode_column(df: DataFrame, column: str, ranks: str, pattern: str) -> DataFrame:
-    """Replace a text column by ``ids``, little-endian unsigned 32-bit ids as bytes."""
+@lru_cache(maxsize=2)
+def _bytes_of(path: str) -> list[bytes]:
+    of = [b""] * (max(_ranks(path).values()) + 1)
+    for token, rank in _ranks(path).items():
+        of[rank] = token
+    return of
+
+
+def _decoded(ids: bytes, of: list[bytes]) -> bytes:
+    return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _encode_column(df: DataFrame, column: str, ranks: str, pattern: str, with_decoded: bool) -> DataFrame:
+    """Replace a text column by ``ids``, little-endian unsigned 32-bit ids as bytes, and with_decoded by their bytes too."""
     kept = [c for c in df.columns if c != column]
+    names = [*kept, "ids", *(["decoded"] if with_decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks, pattern)
-        for batch in batches:
-            texts = batch.column(column)
-            ids = pa.array([encoding.encode_to_numpy(x.as_py(), disallowed_special=()).astype("<u4").tobytes() for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
+        for batch in slices(batches, 200):
+            ids = [encoding.encode_to_numpy(x.as_py(), disallowed_special=()).astype("<u4").tobytes() for x in batch.column(column)]
+            coded = [ids, [_decoded(x, _bytes_of(ranks)) for x in ids]] if with_decoded else [ids]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, pa.binary()) for x in coded)], names)
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.mapInArrow(run, f"{schema}, ids binary")
+    return df.mapInArrow(run, f"{schema}, ids binary" + ", decoded binary" * with_decoded)
 
 
 def _cuts(body: str, at: int, chunk: int, pattern) -> tuple[list[int], list[int]]:
@@ -92,34 +105,40 @@ def _pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
     )
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 32768, overlap: int = 2048) -> DataFrame:
-    """Ids of every whole text: (doc_id, ids binary of little-endian unsigned 32-bit ids), one row per input row.
+def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 32768, overlap: int = 2048, with_decoded: bool = False) -> DataFrame:
+    """Ids of every whole text: (doc_id, ids binary of little-endian unsigned 32-bit ids[, decoded]), one row per input row.
 
     A null text is empty and has no ids. Rows that repeat are encoded and returned as often as they come. Columns
-    other than doc_id and text are left out. ``ranks`` is a file that every executor has.
+    other than doc_id and text are left out. ``ranks`` is a file that every executor has. A text without white space
+    has no safe place to cut and is one piece. With ``with_decoded``, the ids are decoded where they were made.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     long = F.length("text") > chunk + overlap
-    short_ids = _encode_column(docs.filter(~long), "text", ranks, pattern)
+    short_ids = _encode_column(docs.filter(~long), "text", ranks, pattern, with_decoded)
     whole = docs.filter(long).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    pieces = _encode_column(_pieces(whole, pattern, chunk, overlap), "piece", ranks, pattern)
-    ordered = pieces.groupBy("doc_id", "key", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))).alias("pieces"))
-    # One pass over the pieces' hex digits, and back to bytes: a fold would copy what it has for every piece.
-    long_ids = ordered.select("doc_id", F.expr("unhex(array_join(transform(pieces, x -> hex(x.ids)), ''))").alias("ids"), F.expr("explode(sequence(1, copies))").alias("copy"))
-    return short_ids.unionByName(long_ids.select("doc_id", "ids"))
+    pieces = _encode_column(_pieces(whole, pattern, chunk, overlap), "piece", ranks, pattern, with_decoded)
+    coded = [c for c in ("ids", "decoded") if c in pieces.columns]
+    ordered = pieces.groupBy("doc_id", "key", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("piece_no", *coded))).alias("pieces"))
+    parts = ordered.select("doc_id", "copies", *[F.col("pieces")[c].alias(c) for c in coded])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                yield pa.RecordBatch.from_arrays([row.column("doc_id"), row.column("copies"), *(pa.array([b"".join(row.column(c)[0].as_py())], pa.binary()) for c in coded)], ["doc_id", "copies", *coded])
+
+    joined = parts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, copies bigint, " + ", ".join(f"{c} binary" for c in coded))
+    return short_ids.unionByName(joined.withColumn("copy", F.expr("explode(sequence(1L, copies))")).select("doc_id", *coded))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """Add ``decoded``, the bytes of each row's ids one after another."""
-    names = encoded.columns
+    """Add ``decoded``, the bytes of each row's ids one after another; null ids have none."""
+    names = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = [b""] * (max(_ranks(ranks).values()) + 1)
-        for token, rank in _ranks(ranks).items():
-            of[rank] = token
-        for batch in batches:
-            raw = [b"".join(map(of.__getitem__, np.frombuffer(x.as_buffer() or b"", "<u4").tolist())) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, "decoded"])
+        for batch in slices(batches, 200):
+            raw = [_decoded(x.as_py() or b"", _bytes_of(ranks)) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")

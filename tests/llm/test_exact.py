@@ -37,9 +37,13 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark):
     for chunk, overlap in ((32768, 2048), (300, 40), (50, 7)):
         got = byte_bpe.decode(byte_bpe.encode(df, RANKS, P.PATTERN, chunk, overlap), RANKS)
         found = Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got.collect())
+        at_once = byte_bpe.encode(df, RANKS, P.PATTERN, chunk, overlap, with_decoded=True)
+        assert found == Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in at_once.collect())
         wanted = Counter((i, np.asarray(plain.encode_ordinary(t), "<u4").tobytes(), t.encode()) for i, t in texts_of(df))
         assert found == wanted
     assert byte_bpe.encode(docs(spark, []), RANKS, P.PATTERN).count() == 0
+    strings = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert rows_of(byte_bpe.encode(strings, RANKS, P.PATTERN, 300, 40), "ids") == rows_of(byte_bpe.encode(df, RANKS, P.PATTERN), "ids")
     assert byte_bpe.encode(wide(spark), RANKS, P.PATTERN).count() == len(AWKWARD)
 
 
