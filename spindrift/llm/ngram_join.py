@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import join_counted, lower_words, stored, text_or_empty
+from spindrift.llm.common import join_counted, lower_words, slices, stored, text_or_empty
 from spindrift.llm.components import components
 from spindrift.llm.prefilter import maybe_in
 
 GOLDEN = 0x9E3779B97F4A7C15
 #: Word hashes remembered by a task; the memory starts anew beyond this.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 MASK = (1 << 64) - 1
 
 
@@ -108,7 +108,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, cids, needs, keys = [], [], [], []
             for text in batch.column("text"):
                 s = shingles(lower_words(text.as_py()), n, known)
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(lower_words(t.as_py()), n, known) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cid", "s"])
 
@@ -216,15 +216,14 @@ def _keys(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for whole in batches:
-            for batch in (whole.slice(at, 200) for at in range(0, whole.num_rows, 200)):
-                rows = [(cid, np.frombuffer(raw.as_py(), np.uint64)) for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("s"))]
-                rows = [(cid, s, band) for cid, s in rows for band in bands.of(len(s))]
-                sizes = [len(s) for _, s, _ in rows]
-                # The band is mixed into the hash: an n-gram is another one in another band.
-                k = np.concatenate([mixed(s ^ np.uint64(GOLDEN * (band + 1) & MASK)) for _, s, band in rows]).view(np.int64)
-                columns = [np.repeat(np.array(x, t), sizes) for x, t in (([c for c, *_ in rows], np.int64), ([b for *_, b in rows], np.int32), (sizes, np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, columns)], ["k0", "cid", "band", "size"])
+        for batch in slices(batches):
+            rows = [(cid, np.frombuffer(raw.as_py(), np.uint64)) for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("s"))]
+            rows = [(cid, s, band) for cid, s in rows for band in bands.of(len(s))]
+            sizes = [len(s) for _, s, _ in rows]
+            # The band is mixed into the hash: an n-gram is another one in another band.
+            k = np.concatenate([mixed(s ^ np.uint64(GOLDEN * (band + 1) & MASK)) for _, s, band in rows]).view(np.int64)
+            columns = [np.repeat(np.array(x, t), sizes) for x, t in (([c for c, *_ in rows], np.int64), ([b for *_, b in rows], np.int32), (sizes, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, columns)], ["k0", "cid", "band", "size"])
 
     grams = members.select("cid", "s").mapInArrow(run, "k0 bigint, cid bigint, band int, size bigint")
     common = stored(grams.groupBy("k0").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "jaccard-common")

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import stored, text_or_empty
+from spindrift.llm.common import slices, stored, text_or_empty
 
 #: Words whose ids a task remembers; the memory starts anew beyond this.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 250_000
 #: Below this code point (dotted capital I aside), lower-casing a whole text equals lower-casing its characters.
 PLAIN_BELOW = 0x250
 #: White space to Python but not to the tokenizer, and the byte that marks the end of a word here.
@@ -107,10 +107,9 @@ class _Ids(dict):
     def __init__(self, path: str, fast: bool):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.fast = Tokenizer.from_file(path), fast
+        self.path, self.fast, self.tokenizer = path, fast, None
         if fast:
             names = _byte_names()
             raw = {}
@@ -120,8 +119,13 @@ class _Ids(dict):
             splits = _model(path)["pre_tokenizer"]["pretokenizers"]
             self.splitter = regex.compile(next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split"))
             self.ranks = tiktoken.Encoding("ranks", pat_str=r"[^\x00]*\x00", mergeable_ranks=raw, special_tokens={})
+            _model.cache_clear()  # a large table, not needed any more
 
     def whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
@@ -169,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 2000):
             rows, numbers, starts, lengths, sums, raw = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 ids = ids_of(text.as_py(), tokenizer, fast) + end
