@@ -80,23 +80,36 @@ def within(a: str, b: str, max_edits: int) -> Column:
     return F.expr(f"transform(array(named_struct('a', split({a}, ''), 'b', split({b}, ''))), p -> if(abs(size(p.a) - size(p.b)) > {k}, {k} + 1, {distance}))[0] <= {k}")
 
 
+#: Characters that make a line blank if it has no others.
+BLANK = " \t\n\x0b\f\r"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(k0, k1, pos, line, h, g, n): all lines but blank ones. k0 and k1 name a document; h and g name a line."""
-    exploded = docs.select("k0", "k1", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
-    return exploded.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
-
-
-def _near(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(h, g): lines of min_chars characters or more within max_edits of another one with a smaller digest."""
-    lines = _lines(docs).filter(F.col("n") >= min_chars)
-    keys = segment_keys(lines.select("h", "line", "n"), max_edits)
-    shared = keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last"), F.count("*").alias("n_rows")).filter("pivot <> last")
-    shared = stored(shared.select("k0", "pivot", "n_rows"), "lines-keys")
-    kept = stored(maybe_in(keys, shared.select("k0")).filter("maybe").select("k0", "h"), "lines-kept")
-    members = stored(join_counted(kept, shared, ["k0"]).select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
+    """(k0, k1, pos, line, h, g): all lines but blank ones. k0 and k1 name a document; h and g name a line."""
+    exploded = docs.select("k0", "k1", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.btrim("line", F.lit(BLANK)) != "")
+    return exploded.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
+
+
+def _once(lines: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
+    """(h, g, n, line): every line of min_chars characters or more once. Only lines that occur twice or more are moved."""
+    rows = lines.select(F.struct("k0", "k1", "pos").alias("place"), F.col("h").alias("k0"), F.col("g").alias("k1"), F.length("line").alias("n"), "line").filter(F.col("n") >= min_chars)
+    repeated = stored(distinct.filter("n_rows > 1").select(F.col("h").alias("k0"), F.col("g").alias("k1"), "first", "n_rows"), "lines-repeated")
+    sifted = maybe_in(rows, repeated.select("k0", "k1"))
+    maybe = stored(sifted.filter("maybe").drop("maybe"), "lines-maybe")
+    firsts = join_counted(maybe, repeated, ["k0", "k1"], "left").filter(F.col("first").isNull() | (F.col("first") == F.col("place")))
+    both = sifted.filter("not maybe").select("k0", "k1", "n", "line").unionByName(firsts.select("k0", "k1", "n", "line"))
+    return stored(both.withColumnsRenamed({"k0": "h", "k1": "g"}), "lines-once")
+
+
+def _near(lines: DataFrame, max_edits: int) -> DataFrame:
+    """lines (h, g, n, line) -> (h, g): those within max_edits of another one with a smaller digest."""
+    # Dealt by key once, for the counts and for the join with them.
+    keys = segment_keys(lines.select("h", "line", "n"), max_edits).repartition("k0")
+    shared = keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).filter("pivot <> last").select("k0", "pivot")
+    members = stored(keys.join(shared, "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
     wanted = stored(members.select(F.col("h").alias("k0")).distinct(), "lines-wanted")
     texts = maybe_in(lines.select(F.col("h").alias("k0"), "g", "line"), wanted).filter("maybe")
-    texts = stored(texts.join(wanted, "k0", "left_semi").dropDuplicates(["k0", "g"]).select(F.col("k0").alias("h"), "g", "line", letter_counts("line").alias("counts")), "lines-texts")
+    texts = stored(texts.join(wanted, "k0", "left_semi").select(F.col("k0").alias("h"), "g", "line", letter_counts("line").alias("counts")), "lines-texts")
     others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"), F.col("counts").alias("other_counts"))
     # As conditions of the joins, so that pairs too far apart are never made into rows.
     close = may_be_close("counts", "other_counts", max_edits) & (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & within("line", "other_line", max_edits)
@@ -129,8 +142,8 @@ def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24) -> DataFrame
     texts = named.select("k0", "k1", "text")
     lines = _lines(texts)
     place = F.struct("k0", "k1", "pos")
-    near = _near(texts, max_edits, min_chars)
     distinct = stored(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n_rows")), "lines-distinct")
+    near = _near(_once(lines, distinct, min_chars), max_edits)
     marked = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     acted = stored(marked.filter("near or n_rows > 1").select(F.col("h").alias("k0"), F.col("g").alias("k1"), "first", "near", "n_rows"), "lines-acted")
     sifted = maybe_in(lines.select(place.alias("place"), F.col("h").alias("k0"), F.col("g").alias("k1")), acted.select("k0", "k1")).filter("maybe")
