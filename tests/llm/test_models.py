@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -119,16 +120,35 @@ PAGES = [
     (5, "http://u:p@b.example.com:80/en", '<HTML data-x=1 LANG=en>the of and to'),
     (5, "http://u:p@b.example.com:80/en", '<HTML data-x=1 LANG=en>the of and to'),
     (None, "https://c.example.at", "<p>" + "und der die das nicht " * 3000),
+    (6, "https://www.shop.co.uk/my/x", "<p>caf&eacute; &amp; th&#233;"),
+    (7, "https://pub.shop.co.uk/us/", "<script " * 5),
 ]
 
 
+def test_tags_are_taken_out_in_one_pass():
+    tags = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(1)
+    parts = ["<", ">", "<script", "</script>", "<STYLE", "</style >", "<!--", "-->", "a", " ", "<b>", "</b", "scripty", "é"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert language.plain(text) == tags.sub(" ", text)
+    assert language.plain("caf&eacute; &lt;b&gt; <b>&#228;</b>") == "café <b>  ä "
+    began = time.time()
+    for piece in ("<script ", "<!--", "<style", "<", "</script ", "<script></style>"):
+        assert len(language.plain(piece * 50_000)) >= 0
+    assert time.time() - began < 5
+
+
 def test_language_evidence_is_fused_as_in_plain_sums(spark):
     model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), rows=300)
     table = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("row", F.lit("x"))
-    host, domain, hinted = language.address(F.col("url"))
+    host, domain, hinted = language.address(F.col("url"), model.languages)
     seen = [tuple(r) for r in table.select(host, domain, hinted, language.declared(F.col("html"))).collect()]
     assert seen[0] == ("a.example.de", "example.de", "de", "de") and seen[1][2] == "fr" and seen[4] == ("b.example.com", "example.com", "en", "en")
+    assert [s[1:3] for s in seen[-2:]] == [("shop.co.uk", "en")] * 2
     got = {(r.page_id, r.host): r for r in language.pages(table, model).collect()}
+    clashing = language.identify(table.select("page_id", "html", F.lit("h").alias("host"), *[F.lit(c).alias(c) for c in ("domain", "declared", "hinted", "language", "posterior", "accepted", "own", "evidence")]), model, "html")
+    assert clashing.columns == ["page_id", "own", "evidence", "host", "domain", "declared", "hinted", "language", "posterior", "text_language", "accepted"] and clashing.count() == len(PAGES)
     assert language.pages(table, model).count() == len(PAGES)
     names, n = model.languages, len(model.languages)
     rows = []
@@ -143,8 +163,8 @@ def test_language_evidence_is_fused_as_in_plain_sums(spark):
     weight = [np.exp(e - e.max()) / np.exp(e - e.max()).sum() for *_, e in rows]
     overall = sum(weight) + 1
     overall = overall / overall.sum()
-    for page, h, d, e in rows:
-        of = lambda k, x: [w for w, r in zip(weight, rows) if r[k] == x]
+    for row, (page, h, d, e) in enumerate(rows):
+        of = lambda k, x: [w for i, (w, r) in enumerate(zip(weight, rows)) if r[k] == x and i != row]
         share = (sum(of(2, d)) + 10 * overall) / (len(of(2, d)) + 10)
         prior = (sum(of(1, h)) + 10 * share) / (len(of(1, h)) + 10)
         final = e + np.log(prior)
