@@ -1,12 +1,10 @@
 """The 22 canonical time-series characteristics, and mean and deviation, of z-scored series.
 
-Most are aggregates over the long signal; those that fit curves or search whole series run as kernels per series.
+Most are aggregates over the long signal; those that fit curves, or search whole series or all lags, run as kernels per series.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,28 +28,6 @@ def histogram_mode(signal: DataFrame, bins: int) -> DataFrame:
     return _per(fullest, F.avg(F.col("low") + F.col("width") * (F.col("bin") + 0.5)))
 
 
-def _acf(signal: DataFrame, lags: int = 40) -> DataFrame:
-    by_lag = series().orderBy("lag")
-    return autocorrelation(signal, lags).withColumn("before", F.lag("value").over(by_lag)).withColumn("after", F.lead("value").over(by_lag))
-
-
-def first_1e_crossing(signal: DataFrame, lags: int = 40) -> DataFrame:
-    """Lag at which the autocorrelation first falls below 1 / e, interpolated; the number of lags if it never does."""
-    level = math.exp(-1)
-    at = F.when((F.col("value") < level) & (F.col("before") >= level), F.col("lag") - 1 + (level - F.col("before")) / (F.col("value") - F.col("before")))
-    return _per(_acf(signal, lags), F.coalesce(F.min(at), F.lit(float(lags))))
-
-
-def first_minimum(signal: DataFrame, lags: int = 40) -> DataFrame:
-    """First local minimum of the autocorrelation; the number of lags if there is none."""
-    low = (F.col("lag") > 0) & (F.col("value") < F.col("before")) & (F.col("value") < F.col("after"))
-    return _per(_acf(signal, lags), F.coalesce(F.min(F.when(low, F.col("lag"))), F.lit(lags)).cast("double"))
-
-
-def first_zero(signal: DataFrame, lags: int = 40) -> DataFrame:
-    return _per(autocorrelation(signal, lags), F.coalesce(F.min(F.when(F.col("value") <= 0, F.col("lag"))), F.lit(lags)).cast("double"))
-
-
 def gaussian_ami_minimum(signal: DataFrame, lags: int = 40) -> DataFrame:
     """First minimum over lags of -1/2 ln(1 - r^2), r the autocorrelation."""
     by_lag = series().orderBy("lag")
@@ -119,12 +95,6 @@ def mean3_stderr(signal: DataFrame) -> DataFrame:
     return _per(forecast_residual(signal, 3), F.stddev_samp("v"))
 
 
-def mean1_ratio(signal: DataFrame, lags: int = 40) -> DataFrame:
-    """First zero of the residual's autocorrelation over that of the series."""
-    both = first_zero(forecast_residual(signal, 1), lags).withColumnRenamed("value", "r").join(first_zero(signal, lags), ["trial", "region"])
-    return both.select("trial", "region", F.try_divide("r", "value").alias("value"))
-
-
 def mean(signal: DataFrame) -> DataFrame:
     return _per(signal, F.avg("v"))
 
@@ -146,8 +116,6 @@ def _kernel(fn):
 SIGNAL = {
     "DN_HistogramMode_5": lambda s: histogram_mode(s, 5),
     "DN_HistogramMode_10": lambda s: histogram_mode(s, 10),
-    "CO_f1ecac": first_1e_crossing,
-    "CO_FirstMin_ac": first_minimum,
     "CO_HistogramAMI_even_2_5": histogram_ami,
     "CO_trev_1_num": trev,
     "MD_hrv_classic_pnn40": pnn40,
@@ -155,11 +123,13 @@ SIGNAL = {
     "SB_BinaryStats_diff_longstretch0": longest_decrease,
     "SB_MotifThree_quantile_hh": motif_entropy,
     "IN_AutoMutualInfoStats_40_gaussian_fmmi": gaussian_ami_minimum,
-    "FC_LocalSimple_mean1_tauresrat": mean1_ratio,
     "FC_LocalSimple_mean3_stderr": mean3_stderr,
 }
 #: On the recordings, each series z-scored inside the kernel.
 SERIES_KERNELS = {
+    "CO_f1ecac": _kernel(kernels.first_1e_crossing),
+    "CO_FirstMin_ac": _kernel(kernels.first_minimum),
+    "FC_LocalSimple_mean1_tauresrat": _kernel(kernels.residual_ratio),
     "SB_TransitionMatrix_3ac_sumdiagcov": _kernel(kernels.transition_spread),
     "DN_OutlierInclude_p_001_mdrmd": _kernel(lambda x: kernels.outlier_timing(x)),
     "DN_OutlierInclude_n_001_mdrmd": _kernel(lambda x: kernels.outlier_timing(-x)),

@@ -7,7 +7,7 @@ Everything after that, masks, statistics, histograms, is relational.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import kernels
@@ -131,8 +131,30 @@ def mask_named(spark, n: int, name: str) -> DataFrame:
     return mask_grid(spark, n).filter(named[name])
 
 
+def _rule(name: str) -> Column:
+    """Which pairs (i, j) of n regions a named mask has; the first half of the regions is one hemisphere."""
+    same = F.expr("(i < n div 2) = (j < n div 2)")
+    named = {"full": F.lit(True), "intrah": same, "interh": ~same}
+    if name not in named:
+        raise ValueError(f"unknown mask {name}; there are {sorted(named)}")
+    return named[name]
+
+
+def mask_pairs(n: DataFrame, name: str = "full", wanted: Column | None = None) -> DataFrame:
+    """(trial, i, j): pairs of each trial's own regions, i <> j, in a named mask; n: (trial, n). ``wanted`` is a further condition on i, j and n."""
+    up = F.expr("explode(sequence(0, cast(n - 1 as int)))")
+    pairs = n.withColumn("i", up).withColumn("j", up).filter("i <> j").filter(_rule(name))
+    return (pairs if wanted is None else pairs.filter(wanted)).select("trial", "i", "j")
+
+
 def masked(matrix: DataFrame, mask: DataFrame) -> DataFrame:
-    return matrix.join(mask, ["i", "j"], "left_semi")
+    """The entries that a mask (i, j) or (trial, i, j) has."""
+    return matrix.join(mask, [c for c in ("trial", "i", "j") if c in mask.columns], "left_semi")
+
+
+def in_mask(matrix: DataFrame, n: DataFrame, name: str) -> DataFrame:
+    """The entries that a named mask of the trial's regions has, without making the mask."""
+    return matrix if name == "full" else matrix.join(n, "trial").filter(_rule(name)).drop("n")
 
 
 def fc_sum(matrix: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ the work grows with the number of pairs and the square of the series' length, ne
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,21 +83,41 @@ def lag_pairs(signal: DataFrame, lag: int) -> DataFrame:
     return signal.withColumn("past", F.lag("v", lag).over(in_time())).filter("past is not null")
 
 
-def mutual_information(recordings: DataFrame, pairs: list[tuple[int, int]], k: int = 4, lag: int = 0) -> DataFrame:
+Pairs = list[tuple[int, int]] | DataFrame
+
+
+def neighbours(recordings: DataFrame) -> DataFrame:
+    """(trial, source, target): each region of a trial with the next one."""
+    return recordings.select("trial", F.col("region").alias("source"), (F.col("region") + 1).alias("target"))
+
+
+def mutual_information(recordings: DataFrame, pairs: Pairs, k: int = 4, lag: int = 0) -> DataFrame:
     """(trial, source, target, value): mutual information in bits by nearest neighbours (second form of the estimator), floored at 0."""
     return _per_pair(recordings, pairs, lambda s, t: max(0.0, kernels.ksg_mi(s[: len(s) - lag] if lag else s, t[lag:], k)) * NAT_TO_BIT)
 
 
-def transfer_entropy(recordings: DataFrame, pairs: list[tuple[int, int]], k: int = 4, delay: int = 1) -> DataFrame:
+def transfer_entropy(recordings: DataFrame, pairs: Pairs, k: int = 4, delay: int = 1) -> DataFrame:
     """(trial, source, target, value): transfer entropy in nats by nearest neighbours."""
     return _per_pair(recordings, pairs, lambda s, t: kernels.ksg_te(s, t, k, delay))
 
 
-def _per_pair(recordings: DataFrame, pairs: list[tuple[int, int]], fn) -> DataFrame:
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        return {"source": [s for s, _ in pairs], "target": [t for _, t in pairs], "value": [fn(x[s], x[t]) for s, t in pairs]}
+def _per_pair(recordings: DataFrame, pairs: Pairs, fn) -> DataFrame:
+    """fn of both series of each pair: a list for all trials, or a table (source, target) or (trial, source, target). A pair is a row, so the pairs of a trial are dealt over tasks."""
+    if not isinstance(pairs, DataFrame):
+        # As many rows as the call names.
+        pairs = F.broadcast(recordings.sparkSession.createDataFrame([(int(s), int(t)) for s, t in pairs], "source int, target int"))
+    of_trial = ["trial"] if "trial" in pairs.columns else []
+    side = lambda name, v: recordings.select("trial", F.col("region").alias(name), F.col("v").alias(v))
+    rows = side("source", "x").join(pairs, [*of_trial, "source"]).join(side("target", "y"), ["trial", "target"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series = lambda x: np.asarray(x.values.to_numpy(zero_copy_only=False), float)
+        for batch in batches:
+            values = [float(fn(series(x), series(y))) for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("trial", "source", "target")] + [pa.array(values, pa.float64())], ["trial", "source", "target", "value"])
 
-    return kernels.per_trial(recordings, run, "source int, target int, value double")
+    rows = rows.select("trial", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), "x", "y")
+    return rows.mapInArrow(run, "trial bigint, source int, target int, value double")
 
 
 def pooled(per_pair: DataFrame) -> DataFrame:
@@ -103,7 +125,7 @@ def pooled(per_pair: DataFrame) -> DataFrame:
     return per_pair.groupBy("trial").agg(F.avg("value").alias("value"))
 
 
-def surrogate_null(recordings: DataFrame, pairs: list[tuple[int, int]], surrogates: int = 5, k: int = 4, seed: int = 0) -> DataFrame:
+def surrogate_null(recordings: DataFrame, pairs: Pairs, surrogates: int = 5, k: int = 4, seed: int = 0) -> DataFrame:
     """(trial, source, target, value): mutual information less its mean over shuffles of the source, floored at 0."""
 
     def corrected(s: np.ndarray, t: np.ndarray) -> float:

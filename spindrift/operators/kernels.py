@@ -372,6 +372,28 @@ def first_zero(x: np.ndarray) -> int:
     return int(below[0]) if len(below) else len(x)
 
 
+def first_1e_crossing(x: np.ndarray) -> float:
+    """Lag at which the autocorrelation first falls below 1 / e, interpolated; the number of samples if it never does."""
+    a, level = acf(x), np.exp(-1)
+    below = np.flatnonzero(a[1:] < level)
+    if not len(below):
+        return float(len(x))
+    k = int(below[0])
+    return float(k + (level - a[k]) / (a[k + 1] - a[k])) if a[k] >= level else 0.0
+
+
+def first_minimum(x: np.ndarray) -> float:
+    """First lag whose autocorrelation is below both its neighbours'; the number of samples if there is none."""
+    a = acf(x)
+    low = np.flatnonzero((a[1:-1] < a[:-2]) & (a[1:-1] < a[2:]))
+    return float(low[0] + 1) if len(low) else float(len(x))
+
+
+def residual_ratio(x: np.ndarray) -> float:
+    """First zero of the autocorrelation of the series' steps over that of the series."""
+    return first_zero(np.diff(x)) / first_zero(x) if len(x) > 1 else float("nan")
+
+
 def transition_spread(x: np.ndarray) -> float:
     """Summed variances of the columns of the transition matrix of three letters, sampled at the first zero of the autocorrelation."""
     y = x[:: max(1, first_zero(x))]

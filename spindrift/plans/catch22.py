@@ -12,9 +12,9 @@ LAGS = "over (partition by trial, region order by lag)"
 
 
 def acf(source: str) -> str:
-    """Autocorrelation at lags 0 to 40 of a table."""
-    return f"""c{source} as (select trial, region, t, v - avg(v) {PER} as x from {source}), a{source} as (select a.trial, a.region, l.lag, sum(a.x * b.x) / any_value(p.p) as value from c{source} a cross join (select unnest(range(0, 41)) as lag) l
-join c{source} b on b.trial = a.trial and b.region = a.region and b.t = a.t + l.lag join (select trial, region, sum(x * x) as p from c{source} group by all) p on p.trial = a.trial and p.region = a.region group by all)"""
+    """Autocorrelation at all lags of a table."""
+    return f"""c{source} as (select trial, region, t, v - avg(v) {PER} as x from {source}), a{source} as (select a.trial, a.region, l.lag, sum(a.x * b.x) / any_value(p.p) as value, any_value(p.n) as size from c{source} a cross join (select unnest(range(0, (select max(t) + 1 from sig))) as lag) l
+join c{source} b on b.trial = a.trial and b.region = a.region and b.t = a.t + l.lag join (select trial, region, sum(x * x) as p, count(*) as n from c{source} group by all) p on p.trial = a.trial and p.region = a.region group by all)"""
 
 
 ACF = f"{ZS}, {acf('z')}, n as (select *, lag(value) {LAGS} as before, lead(value) {LAGS} as after from az)"
@@ -32,19 +32,19 @@ def stretch(state: str, wanted: int) -> str:
 
 LETTERS = f"{ZS}, lt as (select trial, region, t, floor((row_number() over (partition by trial, region order by v, t) - 1) * 3 / count(*) {PER}) as letter from z), pr as (select trial, region, letter, lead(letter) {W} as next from lt), n as (select trial, region, letter, next, count(*) as n from pr where next is not null group by all), p as (select *, n / sum(n) {PER} as p from n)"
 RESIDUAL = f"{ZS}, r as (select trial, region, t, v - avg(v) over (partition by trial, region order by t rows between {{n}} preceding and 1 preceding) as v from z where true qualify count(v) over (partition by trial, region order by t rows between {{n}} preceding and 1 preceding) = {{n}})"
-ZERO = "select trial, region, coalesce(min(lag) filter (value <= 0), 40) as f from {t} group by trial, region"
+ZERO = "select trial, region, coalesce(min(lag) filter (value <= 0), any_value(size)) as f from {t} group by trial, region"
 SQL = {
     "DN_HistogramMode_5": mode(5),
     "DN_HistogramMode_10": mode(10),
-    "CO_f1ecac": f"{ACF} select trial, region, {q('coalesce(min(case when value < exp(-1) and before >= exp(-1) then lag - 1 + (exp(-1) - before) / (value - before) end), 40)')} as value from n {OUT}",
-    "CO_FirstMin_ac": f"{ACF} select trial, region, cast(coalesce(min(lag) filter (lag > 0 and value < before and value < after), 40) as double) as value from n {OUT}",
+    "CO_f1ecac": f"{ACF} select trial, region, {q('coalesce(min(case when value < exp(-1) and before >= exp(-1) then lag - 1 + (exp(-1) - before) / (value - before) end), any_value(size))')} as value from n {OUT}",
+    "CO_FirstMin_ac": f"{ACF} select trial, region, cast(coalesce(min(lag) filter (lag > 0 and value < before and value < after), any_value(size)) as double) as value from n {OUT}",
     "CO_HistogramAMI_even_2_5": f"{ZS}, b as (select trial, region, t, least(floor((v - (min(v) {PER} - 0.1)) / (max(v) {PER} - min(v) {PER} + 0.2) * 5), 4) as b from z), j as (select trial, region, b, lead(b, 2) {W} as c from b), n as (select trial, region, b, c, count(*) as n from j where c is not null group by all), m as (select *, sum(n) {PER} as total, sum(n) over (partition by trial, region, b) as nb, sum(n) over (partition by trial, region, c) as nc from n) select trial, region, {q('sum(n / total * ln(n * total / (nb * nc)))')} as value from m {OUT}",
     "CO_trev_1_num": f"{ZS}, d as (select trial, region, lead(v) {W} - v as d from z) select trial, region, {q('avg(pow(d, 3))')} as value from d {OUT}",
     "MD_hrv_classic_pnn40": f"{ZS}, d as (select trial, region, abs(lead(v) {W} - v) * 1000 as d from z) select trial, region, {q('avg(case when d > 40 then 1.0::double else 0 end)')} as value from d where d is not null {OUT}",
     "SB_BinaryStats_mean_longstretch1": stretch(f"select trial, region, t, case when v > avg(v) {PER} then 1 else 0 end as s from z", 1),
     "SB_BinaryStats_diff_longstretch0": stretch(f"select trial, region, t, case when d >= 0 then 1 else 0 end as s from (select trial, region, t, lead(v) {W} - v as d from z) where d is not null", 0),
     "SB_MotifThree_quantile_hh": f"{LETTERS} select trial, region, {q('-sum(p * ln(p))')} as value from p {OUT}",
-    "IN_AutoMutualInfoStats_40_gaussian_fmmi": f"{ZS}, {acf('z')}, m as (select trial, region, lag, -0.5 * ln(greatest(1 - value * value, 1e-300)) as m from az where lag > 0), n as (select *, lag(m) {LAGS} as before, lead(m) {LAGS} as after from m) select trial, region, cast(coalesce(min(lag) filter (m < before and m < after), 40) as double) as value from n {OUT}",
+    "IN_AutoMutualInfoStats_40_gaussian_fmmi": f"{ZS}, {acf('z')}, m as (select trial, region, lag, -0.5 * ln(greatest(1 - value * value, 1e-300)) as m from az where lag between 1 and 40), n as (select *, lag(m) {LAGS} as before, lead(m) {LAGS} as after from m) select trial, region, cast(coalesce(min(lag) filter (m < before and m < after), 40) as double) as value from n {OUT}",
     "FC_LocalSimple_mean1_tauresrat": f"{RESIDUAL.format(n=1)}, {acf('z')}, {acf('r')}, f1 as ({ZERO.format(t='ar')}), f2 as ({ZERO.format(t='az')}) select f1.trial, f1.region, {q('f1.f / f2.f')} as value from f1 join f2 using (trial, region)",
     "FC_LocalSimple_mean3_stderr": f"{RESIDUAL.format(n=3)} select trial, region, {q('stddev_samp(v)')} as value from r {OUT}",
     "DN_Mean": f"{SIG} select trial, region, {q('avg(v)')} as value from sig {OUT}",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import connectivity as C
 from spindrift.operators import costs
 from spindrift.operators import kernels
+from spindrift.operators import stats as A
 from spindrift.plans.base import SIG, q, query, recs, rounded, sig, table
 
 Z = f"{SIG}, z as (select trial, region, t, (v - avg(v) over (partition by trial, region)) / stddev_pop(v) over (partition by trial, region) as v from sig)"
@@ -34,7 +35,7 @@ query("region_pair_join", f"{SIG} select a.trial, a.region as i, b.region as j,
 )
 query("fc_matrix", f"{FC} select trial, i, j, {q('w')} as w from fc")(lambda s, d: rounded(fc(s, d), "w"))
 query("fc_cov", f"{SIG} select a.trial, a.region as i, b.region as j, {q('covar_samp(a.v, b.v)')} as w from sig a join sig b on a.trial = b.trial and a.t = b.t and a.region < b.region group by all")(lambda s, d: rounded(fc(s, d, kind="cov"), "w"))
-query("torch_corr", f"{FC} select trial, i, j, {q('w')} as w from fc where i < 10")(lambda s, d: rounded(C.fc_join(sig(s, d)).filter("i < 10"), "w"))
+query("torch_corr", f"{FC} select trial, i, j, {q('w')} as w from fc")(lambda s, d: rounded(C.fc_join(sig(s, d)), "w"))
 query("torch_corr2", f"{SIG} select a.trial, a.region as i, b.region as j, {q('corr(a.v, b.v)')} as w from sig a join sig b on a.trial = b.trial and a.t = b.t where a.region % 2 = 0 and b.region % 2 = 1 group by all")(
     lambda s, d: rounded(C.corr_between(sig(s, d).filter("region % 2 = 0"), sig(s, d).filter("region % 2 = 1")), "w")
 )
@@ -49,15 +50,21 @@ query("matrix_stat_sum", f"{FC} select trial, {q('2 * sum(abs(w))', 4)} as value
 query("matrix_stat_eig")(lambda s, d: rounded(C.matrix_kernel(recs(s, d), "eig"), *kernels.SEVEN, digits=4))
 query("matrix_stat_pca")(lambda s, d: rounded(C.matrix_kernel(recs(s, d), "pca"), *kernels.SEVEN, digits=4))
 
-HALF = "case when (i < 20) = (j < 20) then 'intrah' else 'interh' end"
-GRID = "g as (select a.i, b.j from (select unnest(range(0, 40)) as i) a, (select unnest(range(0, 40)) as j) b where a.i <> b.j)"
-query("mask_custom", f"with {GRID} select cast(i as int) as i, cast(j as int) as j from g where i in (1, 4, 7, 30) and j in (1, 4, 7, 30)")(lambda s, d: C.mask_custom(s, 40, [1, 4, 7, 30]))
+HALF = "case when (i < n // 2) = (j < n // 2) then 'intrah' else 'interh' end"
+GRID = f"{SIG}, n as (select trial, max(region) + 1 as n from sig group by trial), g as (select a.trial, a.region as i, b.region as j, n from (select distinct trial, region from sig) a join (select distinct trial, region from sig) b on a.trial = b.trial and a.region <> b.region join n on n.trial = a.trial)"
+
+
+def own(s, d):
+    return C.sizes(recs(s, d))
+
+
+query("mask_custom", f"{GRID} select trial, i, j from g where i % 3 = 0 and j % 3 = 0")(lambda s, d: C.mask_pairs(own(s, d), wanted=F.expr("i % 3 = 0 and j % 3 = 0")))
 for name in ("intrah", "interh"):
-    query(f"mask_{name}", f"with {GRID} select cast(i as int) as i, cast(j as int) as j from g where {HALF} = '{name}'")(lambda s, d, name=name: C.mask_named(s, 40, name))
-query("masks_named", f"with {GRID} select 'full' as mask, count(*) as n from g union all select {HALF}, count(*) from g group by 1")(
-    lambda s, d: C.mask_named(s, 40, "full").select(F.lit("full").alias("mask")).unionAll(C.mask_named(s, 40, "intrah").select(F.lit("intrah"))).unionAll(C.mask_named(s, 40, "interh").select(F.lit("interh"))).groupBy("mask").agg(F.count("*").alias("n"))
+    query(f"mask_{name}", f"{GRID} select trial, i, j from g where {HALF} = '{name}'")(lambda s, d, name=name: C.mask_pairs(own(s, d), name))
+query("masks_named", f"{GRID} select trial, 'full' as mask, count(*) as n from g group by 1 union all select trial, {HALF}, count(*) from g group by 1, 2")(
+    lambda s, d: A.union([C.mask_pairs(own(s, d), name).select("trial", F.lit(name).alias("mask")) for name in ("full", "intrah", "interh")]).groupBy("trial", "mask").agg(F.count("*").alias("n"))
 )
-query("mask_join", f"{FC} select trial, i, j, {q('w')} as w from fc where i < 40 and j < 40 and {HALF} = 'interh'")(lambda s, d: rounded(C.masked(fc(s, d), C.mask_named(s, 40, "interh")), "w"))
+query("mask_join", f"{FC} select trial, i, j, {q('w')} as w from fc join n using (trial) where {HALF} = 'interh'")(lambda s, d: rounded(C.masked(fc(s, d), C.mask_pairs(own(s, d), "interh")), "w"))
 query("set_k_diagonals", f"{FC} select trial, i, j, {q('case when abs(i - j) <= 2 then -1.0 else w end')} as w from fc")(lambda s, d: rounded(C.set_k_diagonals(fc(s, d), 2, -1.0), "w"))
 query("is_symmetric", f"{FULL} select trial, true as ok from f group by trial")(lambda s, d: C.is_symmetric(C.full(fc(s, d), C.sizes(recs(s, d)))))
 

@@ -18,8 +18,12 @@ from spindrift.streaming import windows as X
 
 
 def folder(spark) -> str:
-    """A new folder under the shared one (spark.checkpoint.dir), or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder under the shared one (spark.checkpoint.dir); only in local mode, as in tests, may that be unset, and a temporary one is used."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/signal-{uuid.uuid4().hex}"
 
 
@@ -78,8 +82,9 @@ query("cfg_by_tag", _union(["abs_energy"]))(_extracted(G.by_tag(BASE, "eeg")))
 query("cfg_update", f"{SIG} select trial, 'calc_moments' as feature, 'calc_moments_' || k || '_' || region as label, {q('avg(pow(v - m, k))')} as value from (select *, avg(v) over (partition by trial, region) as m from sig) cross join (select unnest([2, 3]) as k) group by trial, region, k")(
     _extracted(G.update(G.by_names(G.default_config(), "calc_moments"), "calc_moments", {"orders": [2, 3]}))
 )
-query("cfg_report", f"{SIG} select 'statistical' as domain, 'calc_mean' as feature, true as use, count(*) as rows from sig union all select 'temporal', 'abs_energy', true, count(*) from sig")(
-    lambda s, d: G.as_table(s, G.by_names(G.default_config(), ["calc_mean", "abs_energy"])).select("domain", "feature", "use").crossJoin(F.broadcast(sig(s, d).agg(F.count("*").alias("rows"))))
+REPORTED = ["calc_mean", "abs_energy"]
+query("cfg_report", f"{SIG} select 'statistical' as domain, 'calc_mean' as feature, true as use, trial, count(distinct region) as labels from sig group by trial union all select 'temporal', 'abs_energy', true, trial, count(distinct region) from sig group by trial")(
+    lambda s, d: G.as_table(s, G.by_names(BASE, REPORTED)).select("domain", "feature", "use").join(G.extract(sig(s, d), G.by_names(BASE, REPORTED)).groupBy("feature", "trial").agg(F.countDistinct("label").alias("labels")), "feature")
 )
 
 
@@ -94,8 +99,8 @@ HERE = os.path.dirname(__file__)
 query("cfg_add_json", f"{SIG} select trial, 'peak_to_peak' as feature, 'peak_to_peak_' || region as label, {q('0.5 * (max(v) - min(v))')} as value from sig group by trial, region union all select trial, 'energy_share', 'energy_share_' || region, {q('sum(v * v) / any_value(e)')} from (select *, sum(v * v) over (partition by trial) as e from sig) group by trial, region")(
     _extracted(G.add_json({}, f"{HERE}/example_features.json", f"{HERE}/example_features.py"))
 )
-query("extract_features_df", f"{SIG} select trial, {', '.join(f'{q(f'avg(v) filter (region = {r})')} as calc_mean_{r}' for r in range(4))} from sig group by trial")(
-    lambda s, d: rounded(G.wide(G.extract(sig(s, d), G.by_names(BASE, "calc_mean")), [f"calc_mean_{r}" for r in range(4)]), *[f"calc_mean_{r}" for r in range(4)])
+query("extract_features_df", f"{SIG}, x as (select trial, 'calc_mean_' || region as label, {q('avg(v)')} as value from sig group by trial, region) pivot x on label using any_value(value) group by trial")(
+    lambda s, d: G.wide(rounded(G.extract(sig(s, d), G.by_names(BASE, "calc_mean")), "value"))
 )
 query("extract_features_list", f"{SIG}, f as (select trial, 'calc_mean_' || region as label, avg(v) as value from sig group by trial, region) select trial, string_agg(label, ',' order by label) as labels, count(*) as n, {q('sum(value)', 5)} as total from f group by trial")(
     lambda s, d: rounded(G.as_lists(G.extract(sig(s, d), G.by_names(BASE, "calc_mean"))).select("trial", F.array_join("labels", ",").alias("labels"), F.size("labels").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")), "total", digits=5)

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import functions as F
 
 from spindrift.operators import infotheory as I
+from spindrift.operators import registry as G
 from spindrift.operators import posterior as B
 from spindrift.operators import stats as A
 from spindrift.plans.base import SIG, q, query, recs, rounded, sig, table
@@ -94,7 +95,7 @@ query("prior_cdf", f"{KEEP}, {q('least(greatest((l_quantity - 5) / 40, 0), 1) *
 query("prior_moments", f"{POST}, b as (select param, min(value) as low, max(value) as high from prior group by param) select param, {q('(low + high) / 2')} as mean, {q('pow(high - low, 2) / 12')} as variance, {q('(high - low) / sqrt(12)')} as std, {q('high - low')} as width from b")(
     lambda s, d: rounded(B.prior_moments(B.limits(prior(s, d))), "mean", "variance", "std", "width")
 )
-query("prior_sample")(lambda s, d: B.prior_sample(s, [(r.param, r.low, r.high) for r in B.limits(prior(s, d)).orderBy("param").collect()], 1000, seed=3))
+query("prior_sample")(lambda s, d: B.prior_sample(s, [(r.param, r.low, r.high) for r in B.limits(prior(s, d)).orderBy("param").collect()], prior(s, d).select("sample").distinct().count(), seed=3))
 # Draws at a share u of each box's width, by the discount of a line item: which of them the narrower box takes.
 U = "cast(l_discount * 10 as double)"
 DRAWS = f"select l_orderkey, l_linenumber, {', '.join(f'({low!r} + ({high - low!r}) * {U}) as {n}' for n, low, high in B.PRIOR_BOX)} from lineitem"
@@ -127,8 +128,17 @@ query("rejection_filter", f"{REJECT}, k as (select * from ok where rank <= 30),
     lambda s, d: B.padded(_kept(s, d), post(s, d).select("cond", F.lit(-1.0).alias("fallback")).distinct(), 30)
 )
 query("train_val_split")(lambda s, d: B.split(theta(s, d).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber")), "key").groupBy("held_out").agg(F.count("*").alias("n")))
-query("sweep_grid", f"select cast(i * 12 + j * 4 + k as bigint) as set_id, [0.1, 0.2][cast(i + 1 as int)] as g, [1.0, 2.0, 3.0][cast(j + 1 as int)] as w, [5.0, 6.0, 7.0, 8.0][cast(k + 1 as int)] as tau, cast(dup as int) as dup, n as rows from (select unnest(range(0, 2)) as i) cross join (select unnest(range(0, 3)) as j) cross join (select unnest(range(0, 4)) as k) cross join (select unnest(range(0, 2)) as dup) cross join (select count(*) as n from nation)")(
-    lambda s, d: B.sweep_grid(s, {"g": [0.1, 0.2], "w": [1.0, 2.0, 3.0], "tau": [5.0, 6.0, 7.0, 8.0]}, 2).crossJoin(F.broadcast(table(s, d, "nation").agg(F.count("*").alias("rows"))))
+# The axes of the grid: rates by region of the world, weights by nation, delays by size of part.
+AXES = {"g": ("region", "r_regionkey", 0.1), "w": ("nation", "n_nationkey", 1.0), "tau": ("part", "p_size", 0.5)}
+
+
+def axes(s, d):
+    return {name: [r[0] * step for r in table(s, d, t).select(F.col(c).cast("double")).distinct().orderBy(c).collect()] for name, (t, c, step) in AXES.items()}
+
+
+AXIS = ", ".join(f"{n} as (select {c} * {step}::double as {n}, row_number() over (order by {c}) - 1 as {n}_at, count(*) over () as {n}_n from (select distinct {c} from {t}))" for n, (t, c, step) in AXES.items())
+query("sweep_grid", f"with {AXIS} select cast((g_at * w_n + w_at) * tau_n + tau_at as bigint) as set_id, {q('g')} as g, {q('w')} as w, {q('tau')} as tau, cast(dup as int) as dup from g cross join w cross join tau cross join (select unnest(range(0, 2)) as dup)")(
+    lambda s, d: rounded(B.sweep_grid(s, axes(s, d), 2), "g", "w", "tau")
 )
 NODES = "nodes as (select p_partkey as region, p_size / 10.0 as myelin, p_retailprice / 1000 as gradient from part)"
 
@@ -214,9 +224,7 @@ query("slice_features", f"{FT} select trial, feature, label, {q('value')} as val
 query("feature_cols_pick", f"{FT} select trial, {q('max(value) filter (label = $$calc_mean_0$$)')} as calc_mean_0, {q('max(value) filter (label = $$calc_std_3$$)')} as calc_std_3 from ft group by trial")(
     lambda s, d: rounded(features(s, d).groupBy("trial").pivot("label", ["calc_mean_0", "calc_std_3"]).agg(F.first("value")), "calc_mean_0", "calc_std_3")
 )
-query("features_pivot", f"{FT} select trial, {', '.join(f'{q(f'max(value) filter (label = $${n}_{r}$$)')} as {n}_{r}' for n in NAMES for r in range(5))} from ft group by trial")(
-    lambda s, d: rounded(features(s, d).groupBy("trial").pivot("label", [f"{n}_{r}" for n in NAMES for r in range(5)]).agg(F.first("value")), *[f"{n}_{r}" for n in NAMES for r in range(5)])
-)
+query("features_pivot", f"{FT}, ro as (select trial, label, {q('value')} as value from ft) pivot ro on label using any_value(value) group by trial")(lambda s, d: G.wide(rounded(features(s, d), "value")))
 query("theta_features_join", f"{FT} select trial, cast(trial * 0.5 as double) as p0, label, {q('value')} as value from ft")(
     lambda s, d: rounded(B.theta_features_join(recs(s, d).select("trial").distinct().withColumn("p0", F.col("trial") * 0.5), features(s, d).drop("feature")), "value")
 )
@@ -235,15 +243,15 @@ query("calc_entropy", f"{SIG}, n as (select trial, region, least(v - lag(v) over
 )
 query("pairs_build", "select cast(a.n_nationkey as int) as source, cast(b.n_nationkey as int) as target from nation a cross join nation b where a.n_nationkey < 4 and b.n_nationkey >= 20")(lambda s, d: I.pairs_build(s, list(range(4)), [r[0] for r in table(s, d, "nation").filter("n_nationkey >= 20").select("n_nationkey").collect()]))
 query("lag_pair_join", f"{SIG} select a.trial, a.region, a.t, a.v, b.v as past from sig a join sig b on a.trial = b.trial and a.region = b.region and b.t = a.t - 3")(lambda s, d: I.lag_pairs(sig(s, d), 3))
-MI_PAIRS = [(0, 1), (1, 0), (0, 2), (3, 4)]
-KSG = f"""{SIG}, pr as (select * from (values (0, 1), (1, 0), (0, 2), (3, 4)) x(source, target)), xy as (select a.trial, source, target, a.t, a.v as x, b.v as y from pr join sig a on a.region = source join sig b on b.region = target and b.trial = a.trial and b.t = a.t),
+# Each region with the next one.
+KSG = f"""{SIG}, xy as (select a.trial, a.region as source, b.region as target, a.t, a.v as x, b.v as y from sig a join sig b on b.region = a.region + 1 and b.trial = a.trial and b.t = a.t),
 ds as (select a.trial, a.source, a.target, a.t, b.t as o, abs(a.x - b.x) as dx, abs(a.y - b.y) as dy from xy a join xy b on a.trial = b.trial and a.source = b.source and a.target = b.target and a.t <> b.t),
 nn as (select * from (select *, row_number() over (partition by trial, source, target, t order by greatest(dx, dy), o) as rk from ds) where rk <= 4), ep as (select trial, source, target, t, max(dx) as ex, max(dy) as ey from nn group by all),
 ct as (select trial, source, target, t, count(*) filter (dx <= ex) as nx, count(*) filter (dy <= ey) as ny from ds join ep using (trial, source, target, t) group by all),
 ps as (select m, coalesce(list_sum(list_transform(range(1, m), lambda i: 1.0::double / i)), 0) as psi from (select unnest(range(1, 70)) as m)),
 av as (select trial, source, target, avg(a.psi + b.psi) as s, count(*) as n from ct join ps a on a.m = nx join ps b on b.m = ny group by all)
 select trial, source, target, {q('greatest((select psi from ps where m = 4) - 0.25 - s + (select psi from ps where m = n), 0) * 1.4427', 5)} as value from av"""
-query("calc_mi", KSG)(lambda s, d: rounded(I.mutual_information(recs(s, d), MI_PAIRS), "value", digits=5))
-query("calc_te")(lambda s, d: rounded(I.transfer_entropy(recs(s, d), MI_PAIRS), "value", digits=5))
-query("surrogate_null")(lambda s, d: rounded(I.surrogate_null(recs(s, d), MI_PAIRS), "value", digits=5))
+query("calc_mi", KSG)(lambda s, d: rounded(I.mutual_information(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
+query("calc_te")(lambda s, d: rounded(I.transfer_entropy(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
+query("surrogate_null")(lambda s, d: rounded(I.surrogate_null(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
 query("nat2bit", f"{SIG} select trial, region, {q('avg(v) * 1.4427')} as value from sig group by all")(lambda s, d: rounded(I.nat2bit(A.region_stats(sig(s, d), ["calc_mean"]).withColumnRenamed("calc_mean", "value")), "value"))
