@@ -199,13 +199,16 @@ def stat_sum(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("trial").agg((2 * F.sum(F.abs("w"))).alias("value"))
 
 
-def matrix_kernel(recordings: DataFrame, what: str) -> DataFrame:
-    """Seven statistics of the eigenvalues, or of the PCA scores, of each trial's correlation matrix with a zero diagonal."""
+def matrix_kernel(recordings: DataFrame, what: str, of: str = "fc", width: int | None = None, positive: bool = False, components: int = 3) -> DataFrame:
+    """Seven statistics of the eigenvalues ("eig"), or of the PCA scores ("pca"), of each trial's correlation matrix, or that of its windows of ``width`` samples ("fcd"), with a zero diagonal."""
 
     def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        if of == "fcd":
+            x = kernels.sliding(x, width, np.arange(x.shape[1] - width + 1))
         a = kernels.correlation(x)
+        a = np.maximum(a, 0) if positive else a
         np.fill_diagonal(a, 0)
-        values = kernels.eigen_stats(a) if what == "eig" else kernels.pca_stats(a)
+        values = kernels.eigen_stats(a) if what == "eig" else kernels.pca_stats(a, components)
         return {k: [v] for k, v in zip(kernels.SEVEN, values)}
 
     return kernels.per_trial(recordings, run, ", ".join(f"{k} double" for k in kernels.SEVEN))

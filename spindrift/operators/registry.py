@@ -16,10 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators import catch22, connectivity, infotheory, kernels, spectral, stats
+from spindrift.operators import catch22, connectivity, infotheory, kernels, spectral, states, stats
 from spindrift.operators.signal import preprocess, to_recordings
 
 STATISTICS = ("calc_var", "calc_std", "calc_mean", "calc_max", "calc_min", "calc_median", "calc_skewness", "calc_kurtosis", "mean_abs_dev", "median_abs_dev", "rms", "interq_range", "burstiness")
+QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+BANDS = [[0, 4], [4, 8], [8, 12], [12, 30], [30, 70]]
+MOMENTS = [2, 3, 4, 5, 6]
+ENVELOPE = ["mean", "std", "median", "max", "min"]
 TEMPORAL = ("abs_energy", "average_power", "calc_centroid", "zero_crossing", "seizure_onset", "auc")
 SPECTRAL = ("fundamental_frequency", "max_frequency", "max_psd", "median_frequency", "spectral_centroid", "spectral_kurtosis", "spectral_variation", "spectral_distance")
 
@@ -30,13 +34,26 @@ def _entry(tag: list[str], **parameters) -> dict:
 
 def default_config() -> dict:
     """All built-in features with their usual parameters."""
+    matrix = {"positive": False, "masks": None, "eigenvalues": True, "pca_num_components": 3, "quantiles": QUANTILES}
+    pairs = {"k": 4, "source_indices": None, "target_indices": None, "mode": "pairwise"}
     return {
-        "statistical": {n: _entry(["all"]) for n in STATISTICS} | {"calc_moments": _entry(["all"], orders=[2, 3, 4, 5, 6])},
-        "temporal": {n: _entry(["all", "eeg"]) for n in TEMPORAL} | {"kop": _entry(["all", "eeg"])},
-        "spectral": {n: _entry(["eeg"], method="fft") for n in SPECTRAL} | {"spectrum_auc": _entry(["eeg"], bands=[[0, 4], [4, 8], [8, 12], [12, 30], [30, 70]])},
-        "connectivity": {"fc_sum": _entry(["fmri"]), "fc_stat": _entry(["fmri"], k=1), "fcd_stat": _entry(["fmri"], width=32)},
-        "hmm": {},
-        "information": {"calc_entropy": _entry(["all"]), "entropy_bin": _entry(["all"], digits=1)},
+        "statistical": {n: _entry(["all"]) for n in STATISTICS} | {"calc_moments": _entry(["all"], orders=MOMENTS), "calc_envelope": _entry(["all"], features=ENVELOPE)},
+        "temporal": {n: _entry(["all", "eeg"]) for n in TEMPORAL} | {"kop": _entry(["all", "eeg"], extract_phase=False), "auc_lim": _entry(["all", "eeg"], xlim=[[0, 10]])},
+        "spectral": {n: _entry(["eeg"], method="fft", nperseg=None, average=False) for n in SPECTRAL}
+        | {
+            "spectrum_stats": _entry(["eeg"], method="fft", nperseg=None, average=False, features=list(SPECTRAL)),
+            "spectrum_moments": _entry(["eeg"], method="fft", nperseg=None, average=False, moments=MOMENTS, normalize=False),
+            "spectrum_auc": _entry(["eeg"], method="fft", nperseg=None, average=False, bands=BANDS),
+            "psd_raw": _entry(["eeg"], method="fft", nperseg=None, average=False, bands=BANDS, df=1.0, normalize=False, normalize_to=None),
+        },
+        "connectivity": {
+            "fc_sum": _entry(["fmri"], positive=False, masks=None),
+            "fc_stat": _entry(["fmri"], k=1, **matrix),
+            "fc_homotopic": _entry(["fmri"], positive=True, average=False),
+            "fcd_stat": _entry(["fmri"], width=32, k=None, **{k: v for k, v in matrix.items() if k != "masks"}),
+        },
+        "hmm": {"hmm_stat": _entry(["fmri"], n_states=4, n_iter=20, tcut=100, bins=10)},
+        "information": {"calc_entropy": _entry(["all"], average=False), "entropy_bin": _entry(["all"], digits=1), "calc_mi": _entry(["all"], time_diff=1, **pairs), "calc_te": _entry(["all"], delay=1, **pairs)},
         "catch22": {n: {**_entry(["catch22"]), "use": False} for n in catch22.NAMES},
     }
 
@@ -150,41 +167,142 @@ def _wide(df: DataFrame, feature: str, columns: list[str]) -> DataFrame:
     return _labelled(df.unpivot(["trial"], columns, "what", "value"), feature, "what")
 
 
+class _Shared:
+    """What features of one call have in common: each spectrum, matrix and path of states is planned once."""
+
+    def __init__(self, signal: DataFrame, fs: float):
+        self.signal, self.recordings, self.fs = signal, to_recordings(signal), fs
+        self.found: dict[tuple, DataFrame] = {}
+
+    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.found:
+            self.found[key] = make()
+        return self.found[key]
+
+    def spectrum(self, p: dict) -> DataFrame:
+        method, nperseg, average = p.get("method", "fft"), p.get("nperseg"), bool(p.get("average", False))
+        each = self.get(("spectrum", method, nperseg), lambda: kernels.spectrum(self.recordings, self.fs, method, nperseg))
+        return self.get(("spectrum", method, nperseg, "mean"), lambda: spectral.average(each)) if average else each
+
+    def sizes(self) -> DataFrame:
+        return self.get(("sizes",), lambda: connectivity.sizes(self.recordings))
+
+    def fc(self, positive: bool = False) -> DataFrame:
+        return self.get(("fc", positive), lambda: connectivity.fc_matrix(self.recordings, positive=positive))
+
+    def fcd(self, width: int) -> DataFrame:
+        return self.get(("fcd", width), lambda: connectivity.fcd_matrix(self.recordings, width))
+
+
+def _masked(shared: _Shared, name: str, p: dict, statistic: Callable[[DataFrame], DataFrame], columns: list[str]) -> list[DataFrame]:
+    """A statistic of the matrix in each mask named by the parameters, of the whole one for none; labels carry the mask."""
+    masks = p.get("masks") or ["full"]
+    masks = [masks] if isinstance(masks, str) else masks
+    of = lambda mask: statistic(connectivity.in_mask(shared.fc(p.get("positive", False)), shared.sizes(), mask))
+    return [_wide(of(m), name, columns).withColumn("label", F.expr(f"replace(label, '{name}', '{name if m == 'full' else f'{name}_{m}'}')")) for m in masks]
+
+
+def _spread(name: str, prefix: str, df: DataFrame) -> DataFrame:
+    """Seven statistics of values that come from a matrix, labelled name_prefix_statistic."""
+    return _wide(df.withColumnsRenamed({k: f"{prefix}_{k}" for k in kernels.SEVEN}), name, [f"{prefix}_{k}" for k in kernels.SEVEN])
+
+
+def _matrix_parts(shared: _Shared, name: str, p: dict, matrix: DataFrame, n: DataFrame, what: str, width: int | None = None) -> list[DataFrame]:
+    """Eigenvalues, principal components and quantiles of a matrix, as the parameters ask."""
+    out = []
+    if p.get("eigenvalues"):
+        out.append(_spread(name, "eig", connectivity.matrix_kernel(shared.recordings, "eig", of=what, width=width, positive=p.get("positive", False))))
+    if p.get("pca_num_components"):
+        out.append(_spread(name, "pca", connectivity.matrix_kernel(shared.recordings, "pca", of=what, width=width, positive=p.get("positive", False), components=p["pca_num_components"])))
+    if p.get("quantiles"):
+        columns = [f"q{100 * q:g}".replace(".", "p") for q in p["quantiles"]]
+        out.append(_wide(connectivity.stat_quantile(matrix, n, p["quantiles"]).toDF("trial", *columns), name, columns))
+    return out
+
+
+def _pairs(shared: _Shared, p: dict) -> DataFrame:
+    """(trial, source, target) as the parameters say; without indices, each region with the next one, or in mode "all" every two regions."""
+    source, target = p.get("source_indices"), p.get("target_indices")
+    if source is not None and target is not None:
+        wanted = infotheory.pairs_build(shared.signal.sparkSession, source, target, p["mode"])
+        return shared.recordings.select("trial", F.col("region").alias("source")).join(F.broadcast(wanted), "source")
+    if p["mode"] == "all":
+        return connectivity.mask_pairs(shared.sizes()).select("trial", F.col("i").alias("source"), F.col("j").alias("target"))
+    return infotheory.neighbours(shared.recordings)
+
+
+def _statistics(shared: _Shared, names: list[str], on: dict) -> list[DataFrame]:
+    plain = stats.long(stats.region_stats(shared.signal, names, shared.fs), names)
+    return [plain.select("trial", "feature", "label", "value")]
+
+
+def _spectral(shared: _Shared, names: list[str], on: dict) -> list[DataFrame]:
+    """Statistics of spectra; those of one spectrum in one pass."""
+    groups: dict[tuple, list[str]] = {}
+    for n in names:
+        groups.setdefault(tuple(on[n].get(k) for k in ("method", "nperseg", "average")), []).append(n)
+    out = []
+    for members in groups.values():
+        found = spectral.stats(shared.spectrum(on[members[0]]), members).unpivot(["trial", "region"], members, "feature", "value")
+        out.append(found.select("trial", "feature", F.concat_ws("_", "feature", "region").alias("label"), "value"))
+    return out
+
+
+#: Other features: name -> function of (what features share, name, parameters) giving tables (trial, feature, label, value).
+FEATURES: dict[str, Callable[[_Shared, str, dict], list[DataFrame]]] = {
+    "calc_moments": lambda s, n, p: [_labelled(stats.moments(s.signal, p["orders"]), n, "k", "region")],
+    "calc_envelope": lambda s, n, p: [
+        _labelled(spectral.envelope(kernels.analytic_signal(s.recordings)).filter(F.regexp_extract("label", "([a-z]+)$", 1).isin(p["features"])).withColumnRenamed("label", "what"), n, "what", "region")
+    ],
+    "kop": lambda s, n, p: [_labelled(stats.kuramoto(kernels.analytic_signal(s.recordings).select("trial", "region", "t", F.col("phase").alias("v")) if p.get("extract_phase") else s.signal), n)],
+    "auc_lim": lambda s, n, p: [_labelled(stats.auc_limits(s.signal, p["xlim"]), n, "interval", "region")],
+    "spectrum_stats": lambda s, n, p: [
+        _labelled(spectral.stats(s.spectrum(p), p["features"]).unpivot(["trial", "region"], p["features"], "what", "value"), n, "what", "region")
+    ],
+    "spectrum_moments": lambda s, n, p: [_labelled(spectral.moments(s.spectrum(p), p["moments"], p["normalize"]), n, "order", "region")],
+    "spectrum_auc": lambda s, n, p: [_labelled(spectral.band_auc(s.spectrum(p), p["bands"]), n, "band", "region")],
+    "psd_raw": lambda s, n, p: [_labelled(spectral.psd_raw(s.spectrum(p), p["df"], p["bands"], p["normalize"], p["normalize_to"]), n, "band", "g", "region")],
+    "fc_sum": lambda s, n, p: _masked(s, n, p, lambda m: connectivity.fc_sum(m).withColumnRenamed("value", "sum"), ["sum"]) if p.get("masks") else [_labelled(connectivity.fc_sum(s.fc(p.get("positive", False))), n)],
+    "fc_stat": lambda s, n, p: _masked(s, n, p, lambda m: connectivity.stat_ut(m, p["k"], s.sizes()), list(kernels.SEVEN)) + _matrix_parts(s, n, p, s.fc(p.get("positive", False)), s.sizes(), "fc"),
+    "fc_homotopic": lambda s, n, p: [
+        _labelled(connectivity.fc_homotopic(s.fc(), s.sizes(), p["positive"], p["average"]), n, *([] if p["average"] else ["i"]))
+    ],
+    "fcd_stat": lambda s, n, p: [_wide(connectivity.stat_ut(s.fcd(p["width"]), p["width"] if p.get("k") is None else p["k"]), n, list(kernels.SEVEN))]
+    + _matrix_parts(s, n, p, s.fcd(p["width"]), s.fcd(p["width"]).groupBy("trial").agg((F.max("j") + 1).alias("n")), "fcd", p["width"]),
+    "hmm_stat": lambda s, n, p: [
+        _labelled(states.summary(s.get(("hmm", p["n_states"], p["n_iter"]), lambda: states.fit_hmm(s.recordings, p["n_states"], p["n_iter"])), p["n_states"], p["bins"], p["tcut"]).withColumnRenamed("label", "what"), n, "what", "region")
+    ],
+    "calc_entropy": lambda s, n, p: [
+        _labelled(infotheory.entropy_nearest(s.signal).groupBy("trial").agg(F.avg("value").alias("value")), n) if p.get("average") else _labelled(infotheory.entropy_nearest(s.signal), n, "region")
+    ],
+    "entropy_bin": lambda s, n, p: [_labelled(infotheory.entropy_bin(s.signal, p["digits"]), n, "region")],
+    "calc_mi": lambda s, n, p: [_labelled(infotheory.mutual_information(s.recordings, _pairs(s, p), p["k"], p["time_diff"]), n, "source", "target")],
+    "calc_te": lambda s, n, p: [_labelled(infotheory.transfer_entropy(s.recordings, _pairs(s, p), p["k"], p["delay"]), n, "source", "target")],
+}
+
+
 def extract(signal: DataFrame, config: dict, fs: float = 1.0, steps: dict | None = None) -> DataFrame:
-    """(trial, feature, label, value) of every enabled feature. ``fs`` of the call wins over the configuration."""
+    """(trial, feature, label, value) of every enabled feature. ``fs`` of the call wins over the configuration.
+
+    Statistics of series are one pass over the signal, those of one spectrum one pass over it; matrices, spectra and
+    state paths are planned once for all features that read them.
+    """
     if steps:
         signal = preprocess(signal, steps, fs)
-    recordings = to_recordings(signal)
+    shared = _Shared(signal, fs)
     on = {f: v["parameters"] for fs_ in config.values() for f, v in fs_.items() if v.get("use", True)}
     out: list[DataFrame] = []
-    simple = [f for f in on if f in STATISTICS + TEMPORAL]
-    if simple:
-        out.append(stats.long(stats.region_stats(signal, simple, fs), simple).select("trial", "feature", "label", "value"))
-    for method in sorted({on[f].get("method", "fft") for f in on if f in SPECTRAL}):
-        names = [f for f in on if f in SPECTRAL and on[f].get("method", "fft") == method]
-        found = spectral.stats(spectral.spectrum(recordings, fs, method), names).unpivot(["trial", "region"], names, "feature", "value")
-        out.append(found.select("trial", "feature", F.concat_ws("_", "feature", "region").alias("label"), "value"))
+    for family, run in ((STATISTICS + TEMPORAL, _statistics), (SPECTRAL, _spectral)):
+        names = [f for f in on if f in family]
+        out += run(shared, names, on) if names else []
     for name, p in on.items():
         if name in CUSTOM:
-            out.append(CUSTOM[name](recordings, **p).select("trial", F.lit(name).alias("feature"), "label", "value"))
-        elif name == "calc_moments":
-            out.append(_labelled(stats.moments(signal, p["orders"]), name, "k", "region"))
-        elif name == "kop":
-            out.append(_labelled(stats.kuramoto(signal), name))
-        elif name == "spectrum_auc":
-            out.append(_labelled(spectral.band_auc(spectral.spectrum(recordings, fs), p["bands"]), name, "band", "region"))
-        elif name == "fc_sum":
-            out.append(_labelled(connectivity.fc_sum(connectivity.fc_matrix(recordings)), name))
-        elif name == "fc_stat":
-            out.append(_wide(connectivity.stat_ut(connectivity.fc_matrix(recordings), p["k"]), name, list(kernels.SEVEN)))
-        elif name == "fcd_stat":
-            out.append(_wide(connectivity.stat_ut(connectivity.fcd_matrix(recordings, p["width"]), p["width"]), name, list(kernels.SEVEN)))
-        elif name == "calc_entropy":
-            out.append(_labelled(infotheory.entropy_nearest(signal), name, "region"))
-        elif name == "entropy_bin":
-            out.append(_labelled(infotheory.entropy_bin(signal, p["digits"]), name, "region"))
+            out.append(CUSTOM[name](shared.recordings, **p).select("trial", F.lit(name).alias("feature"), "label", "value"))
+        elif name in FEATURES:
+            defaults = next(v[name]["parameters"] for v in default_config().values() if name in v)
+            out += FEATURES[name](shared, name, defaults | p)
         elif name in catch22.NAMES:
-            out.append(_labelled(catch22.feature(name, signal, recordings), name, "region"))
+            out.append(_labelled(catch22.feature(name, signal, shared.recordings), name, "region"))
         elif name not in STATISTICS + TEMPORAL + SPECTRAL:
             raise ValueError(f"unknown feature {name}")
     return stats.union(out)

@@ -76,6 +76,8 @@ def _extracted(config):
 
 
 query("extract_features", _union(HELD))(_extracted(BASE))
+# Every built-in feature: no SQL of reasonable size; tests compare it with the operators one by one.
+query("extract_features_all")(_extracted(G.update(G.default_config(), "auc_lim", {"xlim": [[0, 10], [5, 40]]})))
 query("cfg_by_domain", _union(["abs_energy"]))(_extracted(G.by_domain(BASE, "temporal")))
 query("cfg_by_names", _union(["calc_mean", "rms"]))(_extracted(G.by_names(BASE, ["CALC_MEAN", "rms"])))
 query("cfg_by_tag", _union(["abs_energy"]))(_extracted(G.by_tag(BASE, "eeg")))

@@ -193,7 +193,9 @@ def test_configuration(spark, tmp_path):
     got = {r.label: r.value for r in G.extract(signal(spark, P3), mine).collect()}
     assert got == {"span_0": 4.0, "span_1": 4.0}
     every = G.extract(signal(spark, np.random.default_rng(7).normal(size=(4, 80)).tolist()), config)
-    assert every.filter("value is null").count() == 0 and every.select("feature").distinct().count() >= 30
+    assert every.filter("value is null").count() == 0
+    enabled = {f for features in config.values() for f, v in features.items() if v["use"]}
+    assert {r.feature for r in every.select("feature").distinct().collect()} == enabled and len(enabled) >= 40
     assert G.spans(every).count() >= 30 and len(G.wide(every).columns) == every.select("label").distinct().count() + 1
 
 
@@ -212,11 +214,21 @@ def test_entry_module_works_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
     held = {k: sys.modules.pop(k) for k in list(sys.modules) if k == "corpus_pipeline" or k.startswith("spindrift.llm")}
-    sys.modules["corpus_pipeline"] = None
     try:
-        assert not [q for q in importlib.reload(entry).queries() if q.startswith("op")]
+        for missing in ("corpus_pipeline", "spindrift.llm"):
+            sys.modules[missing] = None
+            assert not [q for q in importlib.reload(entry).queries() if q.startswith("op")]
+            del sys.modules[missing]
+        if held:
+            # A library that is missing is no reason to leave the corpus queries out silently.
+            held_library = sys.modules.pop("public_tokenizers")
+            sys.modules["public_tokenizers"] = None
+            with pytest.raises(ModuleNotFoundError):
+                importlib.reload(entry)
+            sys.modules["public_tokenizers"] = held_library
     finally:
-        del sys.modules["corpus_pipeline"]
+        for k in [k for k in sys.modules if k == "corpus_pipeline" or k.startswith("spindrift.llm")]:
+            del sys.modules[k]
         sys.modules.update(held)
         importlib.reload(entry)
     assert set(entry.oracle_sql()) <= set(entry.queries())
