@@ -6,12 +6,13 @@ Long tables: theta(trial, param, value), posterior(cond, sample, param, value),
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 # Boxes of the ten coefficients (recurrent weight, input, coupling, noise; each on myelin, gradient, 1),
 # one for drawing and a narrower one for checking draws.
 PRIOR_BOX = [
@@ -154,19 +155,33 @@ def limits(*tables: DataFrame, pad: float = 0.0) -> DataFrame:
     return found.select("param", (F.col("low") - by).alias("low"), (F.col("high") + by).alias("high"))
 
 
-def kde(posterior: DataFrame, points: int = 100, rule: str = "scott") -> DataFrame:
-    """(cond, param, g, x, density) on a grid of ``points`` between the extremes; bandwidth n ** -0.2 (Scott) or (3n/4) ** -0.2 (Silverman) deviations.
+def _grid_sums(rows: DataFrame, keys: list[str], cells: int, of: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """(keys, cell, e): ``of`` turns rows of one key into a sum for each of a fixed number of cells. Sums are made where the rows are, a batch at a time, and added up."""
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, part in frame.groupby(keys, sort=False, dropna=False):
+                sums = sum(of(part.iloc[at : at + 2000]) for at in range(0, len(part), 2000))
+                yield pd.DataFrame(dict(zip(keys, [[k] * cells for k in key])) | {"cell": np.arange(cells, dtype=np.int32), "e": sums})
 
-    Each sample meets every grid point where it is and only sums move: the group key has points values per parameter,
-    and partial sums come before the shuffle.
-    """
+    return rows.mapInPandas(run, f"{types}, cell int, e double").groupBy(*keys, "cell").agg(F.sum("e").alias("e"))
+
+
+def kde(posterior: DataFrame, points: int = 100, rule: str = "scott") -> DataFrame:
+    """(cond, param, g, x, density) on a grid of ``points`` between the extremes; bandwidth n ** -0.2 (Scott) or (3n/4) ** -0.2 (Silverman) deviations."""
     factor = F.pow(F.col("n") * (1.0 if rule == "scott" else 0.75), F.lit(-0.2))
     base = posterior.groupBy("cond", "param").agg(F.count("*").alias("n"), F.stddev_samp("value").alias("s"), F.min("value").alias("low"), F.max("value").alias("high")).filter("n >= 2 and s > 0")
-    base = base.withColumn("h", F.col("s") * factor)
-    grid = posterior.join(base, ["cond", "param"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    base = base.select("cond", "param", "n", "low", "high", (F.col("s") * factor).alias("h"))
+
+    def sums(part: pd.DataFrame) -> np.ndarray:
+        low, high, h = part[["low", "high", "h"]].iloc[0]
+        x = low + (high - low) * np.arange(points) / (points - 1)
+        return np.exp(-0.5 * ((x[:, None] - part["value"].to_numpy()) / h) ** 2).sum(axis=1)
+
+    summed = _grid_sums(posterior.join(base, ["cond", "param"]).select("cond", "param", F.col("value").cast("double").alias("value"), "low", "high", "h"), ["cond", "param"], points, sums)
     x = F.col("low") + (F.col("high") - F.col("low")) * F.col("g") / (points - 1)
-    summed = grid.withColumn("x", x).withColumn("z", (F.col("x") - F.col("value")) / F.col("h")).groupBy("cond", "param", "g").agg(F.first("x").alias("x"), F.sum(F.exp(-0.5 * F.col("z") * F.col("z"))).alias("e"), F.first("n").alias("n"), F.first("h").alias("h"))
-    return summed.select("cond", "param", "g", "x", (F.col("e") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    return summed.withColumnRenamed("cell", "g").join(base, ["cond", "param"]).select("cond", "param", "g", x.alias("x"), (F.col("e") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def peaks(density: DataFrame) -> DataFrame:
@@ -204,11 +219,17 @@ def kde_2d(posterior: DataFrame, points: int = 20) -> DataFrame:
     both = pairs(posterior)
     base = both.groupBy("cond", "p", "q").agg(F.count("*").alias("n"), *[f("x").alias(f"{k}x") for k, f in (("lo", F.min), ("hi", F.max), ("v", F.var_samp))], *[f("y").alias(f"{k}y") for k, f in (("lo", F.min), ("hi", F.max), ("v", F.var_samp))], F.covar_samp("x", "y").alias("c"))
     base = base.withColumn("f", F.pow("n", F.lit(-1 / 3))).withColumn("det", (F.col("vx") * F.col("vy") - F.col("c") * F.col("c")) * F.col("f")).filter("det > 0")
-    axis = F.sequence(F.lit(0), F.lit(points - 1))
-    at = lambda a, g: F.col(f"lo{a}") + (F.col(f"hi{a}") - F.col(f"lo{a}")) * F.col(g) / (points - 1)
-    cells = both.join(base, ["cond", "p", "q"]).withColumn("gx", F.explode(axis)).withColumn("gy", F.explode(axis)).withColumn("dx", at("x", "gx") - F.col("x")).withColumn("dy", at("y", "gy") - F.col("y"))
-    form = (F.col("vy") * F.col("dx") * F.col("dx") - 2 * F.col("c") * F.col("dx") * F.col("dy") + F.col("vx") * F.col("dy") * F.col("dy")) / F.col("det")
-    raw = cells.groupBy("cond", "p", "q", "gx", "gy").agg(F.sum(F.exp(-0.5 * form)).alias("e"))
+
+    def sums(part: pd.DataFrame) -> np.ndarray:
+        one = part.iloc[0]
+        gx, gy = (one[f"lo{a}"] + (one[f"hi{a}"] - one[f"lo{a}"]) * np.arange(points) / (points - 1) for a in "xy")
+        dx, dy = np.repeat(gx, points)[:, None] - part["x"].to_numpy(), np.tile(gy, points)[:, None] - part["y"].to_numpy()
+        return np.exp(-0.5 * (one["vy"] * dx * dx - 2 * one["c"] * dx * dy + one["vx"] * dy * dy) / one["det"]).sum(axis=1)
+
+    keys = ["cond", "p", "q"]
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x", "y", "lox", "hix", "loy", "hiy", "vx", "vy", "c", "det")]
+    summed = _grid_sums(both.join(base, keys).select(*keys, *numbers), keys, points * points, sums)
+    raw = summed.select(*keys, F.floor(F.col("cell") / points).cast("int").alias("gx"), (F.col("cell") % points).alias("gy"), "e")
     per = Window.partitionBy("cond", "p", "q")
     low, high = F.min("e").over(per), F.max("e").over(per)
     return raw.select("cond", "p", "q", "gx", "gy", F.coalesce(F.try_divide(F.col("e") - low, high - low), F.lit(0.0)).alias("density"))
@@ -268,8 +289,6 @@ def mixture_fit(joint: DataFrame, theta: list[str], x: list[str], k: int = 3, se
 
 def conditional(mixture, n_theta: int) -> list[dict]:
     """What p(theta | x) needs of each component: slope, residual covariance, the marginal of x."""
-    import numpy as np
-
     out = []
     for w, mean, cov in mixture:
         a, b = slice(0, n_theta), slice(n_theta, None)
@@ -290,8 +309,6 @@ def _component_logits(parts: list[dict], x: list[str]) -> list[Column]:
 
 def cond_log_prob(df: DataFrame, mixture, theta: list[str], x: list[str]) -> DataFrame:
     """Add ``log_prob`` of theta given x, by log-sum-exp over the components."""
-    import numpy as np
-
     parts = conditional(mixture, len(theta))
     logits, joint = _component_logits(parts, x), []
     for p, logit in zip(parts, logits):
@@ -309,8 +326,6 @@ def cond_log_prob(df: DataFrame, mixture, theta: list[str], x: list[str]) -> Dat
 
 def cond_sample(conditions: DataFrame, mixture, theta: list[str], x: list[str], n: int, seed: int = 0) -> DataFrame:
     """(cond, sample, one column a parameter): component by the largest Gumbel-shifted log weight, then a Gaussian draw."""
-    import numpy as np
-
     parts = conditional(mixture, len(theta))
     rows = conditions.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     gumbel = [logit - F.log(-F.log(F.rand(seed + i) * (1 - 2e-12) + 1e-12)) for i, logit in enumerate(_component_logits(parts, x))]
