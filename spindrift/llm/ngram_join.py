@@ -5,10 +5,10 @@ A document is its set of distinct word n-grams, kept as a sorted array of 64-bit
 1. Of every set the smallest hashes, a few more than it may lack in a linked one, are counted. Two linked sets have a
    share of these in common, so a set too few of whose smallest hashes stand in any other set links with nothing. Most
    sets end here, and only the few hashes that were counted have been moved.
-2. The sets left fall into size bands; two that link lie in one band, or in neighbouring ones, where the smaller also
-   stands in the upper band. In each band the n-grams are ordered by the number of sets that have them. Of two linked
-   sets, each has a common n-gram among its rarest ones, one more than it may lack; so these are the set's keys, unless
-   no other set has them.
+2. Of the sets left, the n-grams are ordered by the number of sets that have them. Of two linked sets, each has a common
+   n-gram among its rarest ones, one more than it may lack; so these are the set's keys, unless no other set has them.
+   Sets fall into size bands, and a key is one of its band: two sets that link lie in one band, or in neighbouring ones,
+   where the smaller also stands in the upper band.
 3. Sets that share a key, directly or through others, form a tile; almost only near copies do. Inside a tile, hashed
    bitmaps bound the overlap of a pair from above by counting bits, and what passes is verified exactly by
    intersecting the sorted arrays. A tile is searched from set to set, so sets already linked are not compared again,
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import join_counted, lower_words, slices, stored, text_or_empty
 from spindrift.llm.components import components
-from spindrift.llm.prefilter import maybe_in
+from spindrift.llm.prefilter import maybe_in, table_size
 
 GOLDEN = 0x9E3779B97F4A7C15
 #: Word hashes remembered by a task; the memory starts anew beyond this.
@@ -128,16 +128,17 @@ def digest(s: np.ndarray) -> int:
         return int(mixed(np.array([total + np.uint64(len(s)) * np.uint64(GOLDEN)], np.uint64)).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cid, s): the sorted array of each text as bytes."""
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cid, s, size, bands): the sorted array of each text as bytes, its length and the size bands that it stands in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, bands = _Words(), Bands(percent)
         for batch in slices(batches):
             found = [shingles(lower_words(t.as_py()), n, known) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cid", "s"])
+            columns = ([digest(s) for s in found], pa.int64()), ([s.tobytes() for s in found], pa.binary()), ([len(s) for s in found], pa.int64()), ([bands.of(len(s)) for s in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["cid", "s", "size", "bands"])
 
-    return docs.select("text").mapInArrow(run, "cid bigint, s binary")
+    return docs.select("text").mapInArrow(run, "cid bigint, s binary, size bigint, bands array<int>")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -208,30 +209,25 @@ def search_tile(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], lef
 
 
 def _keys(members: DataFrame, percent: int) -> DataFrame:
-    """members (cid, s) -> (k0, cid): in each band of a set, those of its rarest n-grams that another set has.
+    """members (cid, s, size, bands) -> (k0, cid): for each band of a set, those of its rarest n-grams that another set has.
 
     ``lacking`` + 1 of a set's n-grams, in the order of their number of sets and then their hash, are its rarest; those
     that no other set has come first and need not be keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in slices(batches):
-            rows = [(cid, np.frombuffer(raw.as_py(), np.uint64)) for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("s"))]
-            rows = [(cid, s, band) for cid, s in rows for band in bands.of(len(s))]
-            sizes = [len(s) for _, s, _ in rows]
-            # The band is mixed into the hash: an n-gram is another one in another band.
-            k = np.concatenate([mixed(s ^ np.uint64(GOLDEN * (band + 1) & MASK)) for _, s, band in rows]).view(np.int64)
-            columns = [np.repeat(np.array(x, t), sizes) for x, t in (([c for c, *_ in rows], np.int64), ([b for *_, b in rows], np.int32), (sizes, np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, columns)], ["k0", "cid", "band", "size"])
-
-    grams = members.select("cid", "s").mapInArrow(run, "k0 bigint, cid bigint, band int, size bigint")
+            sets = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column("s")]
+            cid = np.repeat(batch.column("cid").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(cid)], ["k0", "cid"])
+
+    grams = members.select("cid", "s").mapInArrow(run, "k0 bigint, cid bigint")
     common = stored(grams.groupBy("k0").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "jaccard-common")
-    sifted = stored(maybe_in(grams, common).filter("maybe").drop("maybe"), "jaccard-grams")
-    met = join_counted(sifted, common.withColumn("sets", F.col("n_rows")), ["k0"])
-    of_set = met.groupBy("cid", "band", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "k0"))).alias("shared"))
+    met = join_counted(grams, common.withColumn("sets", F.col("n_rows")), ["k0"])
+    of_set = met.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("sets", "k0"))).alias("shared")).join(members.select("cid", "size", "bands"), "cid")
     rarest = F.expr(f"size - (({percent} * size + 99) div 100) + 1 - (size - size(shared))")
-    return of_set.select("cid", F.explode(F.slice("shared", F.lit(1), F.greatest(rarest, F.lit(0)).cast("int"))).alias("key")).select(F.col("key.k0").alias("k0"), "cid")
+    keys = of_set.select("cid", "bands", F.explode(F.slice("shared", F.lit(1), F.greatest(rarest, F.lit(0)).cast("int"))).alias("key"))
+    return keys.select("cid", "key", F.explode("bands").alias("band")).select(F.xxhash64("key.k0", "band").alias("k0"), "cid")
 
 
 def _stars(keys: DataFrame, fan: int = 64) -> DataFrame:
@@ -299,12 +295,19 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shared_counts(seen: DataFrame) -> DataFrame:
-    """(cid, n): how many counted hashes of the set are in other sets too, summed over its copies."""
+    """(cid, n): how many counted hashes of the set are in other sets too, summed over its copies.
+
+    Read off the bit table of the shared hashes where there is one, which may count a few too many but moves nothing;
+    where the table would be too large, by a join.
+    """
     keys = seen.select(F.explode("keys").alias("k0"), "cid")
-    shared = keys.groupBy("k0").agg(F.min("cid").alias("one"), F.max("cid").alias("other"), F.count("*").alias("n_rows")).filter("one <> other")
-    shared = stored(shared.select("k0", "n_rows"), "jaccard-shared")
-    sifted = stored(maybe_in(keys, shared.select("k0")).filter("maybe").select("k0", "cid"), "jaccard-sifted")
-    return join_counted(sifted, shared, ["k0"]).groupBy("cid").agg(F.count("*").alias("n"))
+    shared = keys.groupBy("k0").agg(F.min("cid").alias("one"), F.max("cid").alias("other")).filter("one <> other")
+    shared = stored(shared.select("k0"), "jaccard-shared")
+    sifted = maybe_in(keys, shared).filter("maybe")
+    if not table_size(shared.count()):
+        sifted = stored(sifted.select("k0", "cid"), "jaccard-sifted")
+        sifted = join_counted(sifted, sifted.groupBy("k0").agg(F.count("*").alias("n_rows")).join(shared, "k0"), ["k0"])
+    return sifted.groupBy("cid").agg(F.count("*").alias("n"))
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, capacity: int = 1 << 20) -> DataFrame:
@@ -322,10 +325,10 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, capacity: int = 1 << 20
     alive = stored(own.join(_shared_counts(seen), "cid").filter("n >= need * n_rows").drop("n", "need"), "jaccard-alive")
     wanted = stored(alive.select(F.col("first_id").alias("k0")).distinct(), "jaccard-wanted")
     texts = maybe_in(docs.select(no_id.alias("k0"), "text"), wanted).filter("maybe").join(wanted, "k0", "left_semi")
-    members = stored(_sets(texts, n).join(alive.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-members")
+    members = stored(_sets(texts, n, percent).join(alive.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-members")
     stars = stored(_stars(stored(_keys(members, percent), "jaccard-keys")), "jaccard-stars")
     groups = stored(components(stars), "jaccard-groups").select(F.col("node").alias("cid"), F.col("label").alias("group"))
-    grouped = stored(members.join(groups, "cid"), "jaccard-grouped")
+    grouped = stored(members.select("cid", "s").join(groups, "cid"), "jaccard-grouped")
     totals = stored(grouped.groupBy("group").agg(F.ceil(F.sum(F.octet_length("s")) / capacity).cast("bigint").alias("tiles"), F.count("*").alias("n_rows")), "jaccard-totals")
     tiled = stored(join_counted(grouped, totals, ["group"]), "jaccard-tiled")
     labels = stored(_tiles(tiled, percent, capacity), "jaccard-links").select(F.col("node").alias("cid"), F.col("label").alias("linked"))

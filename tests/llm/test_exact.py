@@ -268,6 +268,13 @@ def test_bit_table_lets_all_keys_pass_and_grows(spark):
         prefilter.MOST = everything
 
 
+def test_jaccard_needs_no_bit_table(spark, monkeypatch):
+    monkeypatch.setattr(prefilter, "MOST", 8)
+    rows = near_copies(seed=7)[::2]
+    got = ngram_join.link(docs(spark, rows), n=5, percent=80)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_links(rows, 5, 80)
+
+
 def test_jaccard_takes_empty_tables_and_clashing_columns(spark):
     assert ngram_join.link(docs(spark, [])).count() == 0
     assert rows_of(ngram_join.link(wide(spark), 3, 90), "doc_id", "n_shingles", "component_id") == plain_links(AWKWARD)
