@@ -67,3 +67,10 @@ sig as (select cast(0 as bigint) as trial, cast(region as int) as region, cast(d
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.from_events(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+
+
+def hilbert(source: str) -> str:
+    """Tables hb (trial, region, t, v, y: the transform's value) and an (with amp and the unwrapped phase) of a table (trial, region, t, v) of 64 samples a series, by the kernel 2 / n / tan(pi m / n) at odd distances m."""
+    return f"""hb as (select a.trial, a.region, a.t, a.v, b.y from {source} a join (select o.trial, o.region, g.t, sum(o.v * case when (g.t - o.t) % 2 <> 0 then 2.0 / 64 / tan(pi() * (g.t - o.t) / 64) else 0 end) as y from {source} o cross join (select unnest(range(0, 64)) as t) g group by all) b on b.trial = a.trial and b.region = a.region and b.t = a.t),
+ph as (select *, sqrt(v * v + y * y) as amp, atan2(y, v) as angle from hb), st as (select *, angle - lag(angle) over (partition by trial, region order by t) as d from ph),
+an as (select trial, region, t, amp, angle, sum(coalesce(d - 2 * pi() * floor((d + pi()) / (2 * pi())), angle)) over (partition by trial, region order by t) as phase from st)"""

@@ -33,6 +33,9 @@ def stretch(state: str, wanted: int) -> str:
 LETTERS = f"{ZS}, lt as (select trial, region, t, floor((row_number() over (partition by trial, region order by v, t) - 1) * 3 / count(*) {PER}) as letter from z), pr as (select trial, region, letter, lead(letter) {W} as next from lt), n as (select trial, region, letter, next, count(*) as n from pr where next is not null group by all), p as (select *, n / sum(n) {PER} as p from n)"
 RESIDUAL = f"{ZS}, r as (select trial, region, t, v - avg(v) over (partition by trial, region order by t rows between {{n}} preceding and 1 preceding) as v from z where true qualify count(v) over (partition by trial, region order by t rows between {{n}} preceding and 1 preceding) = {{n}})"
 ZERO = "select trial, region, coalesce(min(lag) filter (value <= 0), any_value(size)) as f from {t} group by trial, region"
+#: One-sided power at angular frequencies 2 pi k / n, whole series as one segment.
+POWER = f"""{ZS}, sz as (select trial, region, count(*) as n from z group by all), ft as (select trial, region, k, n, n // 2 + 1 as bins, pow(sum(v * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((k * t) % n) / n)), 2) as m from z join sz using (trial, region) cross join (select unnest(range(0, (select max(t) // 2 + 2 from sig))) as k) group by all),
+p as (select trial, region, k, n, bins, m / n * case when k = 0 or 2 * k = n then 1 else 2 end / (2 * pi()) as p from ft where k < bins)"""
 SQL = {
     "DN_HistogramMode_5": mode(5),
     "DN_HistogramMode_10": mode(10),
@@ -47,6 +50,8 @@ SQL = {
     "IN_AutoMutualInfoStats_40_gaussian_fmmi": f"{ZS}, {acf('z')}, m as (select trial, region, lag, -0.5 * ln(greatest(1 - value * value, 1e-300)) as m from az where lag between 1 and 40), n as (select *, lag(m) {LAGS} as before, lead(m) {LAGS} as after from m) select trial, region, cast(coalesce(min(lag) filter (m < before and m < after), 40) as double) as value from n {OUT}",
     "FC_LocalSimple_mean1_tauresrat": f"{RESIDUAL.format(n=1)}, {acf('z')}, {acf('r')}, f1 as ({ZERO.format(t='ar')}), f2 as ({ZERO.format(t='az')}) select f1.trial, f1.region, {q('f1.f / f2.f')} as value from f1 join f2 using (trial, region)",
     "FC_LocalSimple_mean3_stderr": f"{RESIDUAL.format(n=3)} select trial, region, {q('stddev_samp(v)')} as value from r {OUT}",
+    "SP_Summaries_welch_rect_area_5_1": f"{POWER} select trial, region, {q('sum(p) filter (k < bins // 5) * 2 * pi() / any_value(n)')} as value from p {OUT}",
+    "SP_Summaries_welch_rect_centroid": f"{POWER} select trial, region, {q('min(2 * pi() * k / n) filter (running > total / 2)')} as value from (select *, sum(p) over (partition by trial, region order by k) as running, sum(p) {PER} as total from p) {OUT}",
     "DN_Mean": f"{SIG} select trial, region, {q('avg(v)')} as value from sig {OUT}",
     "DN_Spread_Std": f"{SIG} select trial, region, {q('stddev_samp(v)')} as value from sig {OUT}",
 }

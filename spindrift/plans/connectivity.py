@@ -8,7 +8,7 @@ from spindrift.operators import connectivity as C
 from spindrift.operators import costs
 from spindrift.operators import kernels
 from spindrift.operators import stats as A
-from spindrift.plans.base import SIG, q, query, recs, rounded, sig, table
+from spindrift.plans.base import hilbert, q, query, recs, rounded, SIG, sig, table
 
 Z = f"{SIG}, z as (select trial, region, t, (v - avg(v) over (partition by trial, region)) / stddev_pop(v) over (partition by trial, region) as v from sig)"
 FC = f"{Z}, fc as (select a.trial, a.region as i, b.region as j, avg(a.v * b.v) as w from z a join z b on a.trial = b.trial and a.t = b.t and a.region < b.region group by all), n as (select trial, max(region) + 1 as n from sig group by trial)"
@@ -99,10 +99,12 @@ query("fcd_strided", f"{STRIDED} select a.trial, cast(a.w0 // 8 as int) as i, ca
 query("fcd_matrix", f"{FCD} select trial, i, j, {q('w', 5)} as w from fcd")(lambda s, d: rounded(C.fcd_matrix(recs(s, d), 32), "w", digits=5))
 query("fcd_stat", f"{FCD} {seven('fcd', 'j >= i + 16', 3)}")(lambda s, d: even(C.stat_ut(C.fcd_matrix(recs(s, d), 32), 16), 3))
 query("fluidity", f"{FCD} select trial, {q('var_pop(w)', 5)} as value from fcd where j >= i + 16 group by trial")(lambda s, d: rounded(C.fluidity(C.fcd_matrix(recs(s, d), 32), 16), "value", digits=5))
-query("plv_matrix")(lambda s, d: rounded(C.plv_matrix(recs(s, d)), "w"))
-query("analytic_signal")(lambda s, d: rounded(kernels.analytic_signal(recs(s, d)), "amp", "phase"))
+PHASES = f"{SIG}, {hilbert('sig')}"
+query("plv_matrix", f"{PHASES} select a.trial, a.region as i, b.region as j, {q('sqrt(pow(avg(cos(a.angle - b.angle)), 2) + pow(avg(sin(a.angle - b.angle)), 2))')} as w from an a join an b on a.trial = b.trial and a.t = b.t and a.region < b.region group by all")(lambda s, d: rounded(C.plv_matrix(recs(s, d)), "w"))
+query("analytic_signal", f"{PHASES} select trial, region, t, {q('amp')} as amp, {q('phase')} as phase from an")(lambda s, d: rounded(kernels.analytic_signal(recs(s, d)), "amp", "phase"))
 query("coactivation_degree", f"{Z}, s as (select trial, t, sum(v) as total, count(*) as n from z group by all) select z.trial, z.region, z.t, {q('v * (total - v) / (n - 1)')} as value from z join s on s.trial = z.trial and s.t = z.t")(lambda s, d: rounded(C.coactivation_degree(sig(s, d)), "value"))
-query("coactivation_phase")(lambda s, d: rounded(C.coactivation_phase(recs(s, d)), "value"))
+WHOLE = f"{SIG}, gl as (select trial, region, t, v from sig union all select trial, -1, t, avg(v) from sig group by trial, t), {hilbert('gl')}"
+query("coactivation_phase", f"{WHOLE}, df as (select b.trial, b.region, a.angle - b.angle as d from an a join an b on a.trial = b.trial and a.t = b.t where a.region = -1 and b.region >= 0) select trial, region, {q('avg(d - 2 * pi() * floor((d + pi()) / (2 * pi())))')} as value from df group by all")(lambda s, d: rounded(C.coactivation_phase(recs(s, d)), "value"))
 
 # Comparison costs: trial 0 is the empirical recording; the others are three sets of three duplicates.
 SIM = "select trial, (trial - 1) // 3 as set_id, i, j, w from fc where trial > 0"

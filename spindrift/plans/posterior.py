@@ -252,6 +252,12 @@ ps as (select m, coalesce(list_sum(list_transform(range(1, m), lambda i: 1.0::do
 av as (select trial, source, target, avg(a.psi + b.psi) as s, count(*) as n from ct join ps a on a.m = nx join ps b on b.m = ny group by all)
 select trial, source, target, {q('greatest((select psi from ps where m = 4) - 0.25 - s + (select psi from ps where m = n), 0) * 1.4427', 5)} as value from av"""
 query("calc_mi", KSG)(lambda s, d: rounded(I.mutual_information(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
-query("calc_te")(lambda s, d: rounded(I.transfer_entropy(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
+KTE = f"""{SIG}, xy as (select a.trial, a.region as source, b.region as target, a.t, a.v as s, b.v as p, c.v as x from sig a join sig b on b.region = a.region + 1 and b.trial = a.trial and b.t = a.t join sig c on c.trial = b.trial and c.region = b.region and c.t = b.t + 1),
+ds as (select a.trial, a.source, a.target, a.t, abs(a.x - b.x) as dx, abs(a.p - b.p) as dp, abs(a.s - b.s) as dc from xy a join xy b on a.trial = b.trial and a.source = b.source and a.target = b.target and a.t <> b.t),
+rk as (select *, row_number() over (partition by trial, source, target, t order by greatest(dx, dp, dc)) as rk from ds), ep as (select trial, source, target, t, greatest(dx, dp, dc) as e from rk where rk = 4),
+ct as (select trial, source, target, t, count(*) filter (dp < e) + 1 as nz, count(*) filter (greatest(dx, dp) < e) + 1 as nxz, count(*) filter (greatest(dc, dp) < e) + 1 as nyz from ds join ep using (trial, source, target, t) group by all),
+ps as (select m, coalesce(list_sum(list_transform(range(1, m), lambda i: 1.0::double / i)), 0) as psi from (select unnest(range(1, 70)) as m))
+select trial, source, target, {q('(select psi from ps where m = 4) + avg(a.psi - b.psi - c.psi)', 5)} as value from ct join ps a on a.m = nz join ps b on b.m = nxz join ps c on c.m = nyz group by all"""
+query("calc_te", KTE)(lambda s, d: rounded(I.transfer_entropy(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
 query("surrogate_null")(lambda s, d: rounded(I.surrogate_null(recs(s, d), I.neighbours(recs(s, d))), "value", digits=5))
 query("nat2bit", f"{SIG} select trial, region, {q('avg(v) * 1.4427')} as value from sig group by all")(lambda s, d: rounded(I.nat2bit(A.region_stats(sig(s, d), ["calc_mean"]).withColumnRenamed("calc_mean", "value")), "value"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import kernels
 from spindrift.operators import spectral as P
-from spindrift.plans.base import SIG, q, query, recs, rounded, sig
+from spindrift.plans.base import hilbert, q, query, recs, rounded, SIG, sig
 
 FS = 100.0
 # The transform as sums over samples: 64 samples, bins 0 to 32.
@@ -67,7 +67,8 @@ pw as (select trial, region, k, (pow(sum(x * cos(2 * pi() * ((k * t) % 64) / 64)
 w as (select * from (values {MEL}) x(m, k, weight)) select trial, region, m, {q('20 * log10(greatest(sum(weight * p), 2.220446049250313e-16))', 4)} as db from pw join w using (k) group by trial, region, m""",
 )(lambda s, d: rounded(P.filterbank(sig(s, d), FS), "db", digits=4))
 query("lpc")(lambda s, d: kernels.per_series(recs(s, d), kernels.lpc).select("trial", "region", F.posexplode("v").alias("k", "value")))
-query("calc_envelope")(lambda s, d: rounded(P.envelope(kernels.analytic_signal(recs(s, d))), "value"))
+ENVELOPE = " union all ".join(f"select trial, region, 'env_{short}_{k}' as label, {q(f'{f}({c})')} as value from an group by trial, region" for short, c in (("amp", "amp"), ("ph", "phase")) for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("median", "median"), ("max", "max"), ("min", "min")))
+query("calc_envelope", f"{SIG}, {hilbert('sig')} {ENVELOPE}")(lambda s, d: rounded(P.envelope(kernels.analytic_signal(recs(s, d))), "value"))
 query("band_pass")(lambda s, d: rounded(kernels.band_pass(recs(s, d)).select("trial", "region", F.posexplode("v").alias("t", "v")), "v"))
 query("iir_filter")(lambda s, d: rounded(kernels.iir_filter(recs(s, d), FS, 5.0, 20.0, order=4).select("trial", "region", F.posexplode("v").alias("t", "v")), "v"))
 
