@@ -107,7 +107,8 @@ def test_pii_words_against_a_span_lower_its_score(spark):
         [row] = pii.detect(docs(spark, [(1, text)])).collect()
         assert len(row.spans) == (kept or base)
         assert ("<" in pii.redact(docs(spark, [(1, text)])).collect()[0].text) == kept
-    assert pii.spans_of("phone +49 30 1234567, 2024-01-01 or call 2024-01-01") == [("phone", 6, 20, 0.9, True)]
+    assert pii.spans_of("phone +49 30 1234567, 2024-01-01 or call 2024-01-01") == [("phone", 6, 20, 1.0, True)]
+    assert [s[3] for s in pii.spans_of("invoice 4111 1111 1111 1111")] == [0.5]
 
 
 @pytest.mark.parametrize(
