@@ -106,7 +106,8 @@ def _near(lines: DataFrame, max_edits: int) -> DataFrame:
     # Dealt by key once, for the counts and for the join with them.
     keys = segment_keys(lines.select("h", "line", "n"), max_edits).repartition("k0")
     shared = keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).filter("pivot <> last").select("k0", "pivot")
-    members = stored(keys.join(shared, "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
+    # The few shared keys of a partition are looked up; its many keys need no sort.
+    members = stored(keys.join(shared.hint("shuffle_hash"), "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
     wanted = stored(members.select(F.col("h").alias("k0")).distinct(), "lines-wanted")
     texts = maybe_in(lines.select(F.col("h").alias("k0"), "g", "line"), wanted).filter("maybe")
     texts = stored(texts.join(wanted, "k0", "left_semi").select(F.col("k0").alias("h"), "g", "line", letter_counts("line").alias("counts")), "lines-texts")
