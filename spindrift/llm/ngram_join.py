@@ -241,12 +241,13 @@ def _stars(keys: DataFrame, fan: int = 64) -> DataFrame:
 
 
 def _tile_edges(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """members: keys, cid, label, is_left, s."""
+    """members: keys, cid, label, is_left, s -> (u, v): labels of sets that link."""
 
     def run(_, frame):
         frame = frame.sort_values("cid", kind="stable")
         sets = [np.frombuffer(s, np.uint64) for s in frame["s"]]
-        edges = search_tile(frame["cid"].to_numpy(), frame["label"].to_numpy(), sets, frame["is_left"].to_numpy(), percent)
+        label = frame["label"].to_numpy()
+        edges = search_tile(label, label, sets, frame["is_left"].to_numpy(), percent)
         return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
 
     return members.groupBy(*keys).applyInPandas(run, "u bigint, v bigint")
@@ -263,13 +264,14 @@ def _tiles(members: DataFrame, percent: int, capacity: int) -> DataFrame:
     members = members.withColumn("label", F.col("cid")).withColumn("is_left", F.lit(True))
     block = lambda of: F.pmod(F.xxhash64("cid"), F.col(of))
     found = stored(_tile_edges(members.withColumn("block", block("tiles")), ["group", "block"], percent), "jaccard-edges")
+    labels = stored(components(found), "jaccard-labels")
     large = members.filter("tiles > 1")
     if not large.take(1):
-        return components(found)
+        return labels
     in_tiles = lambda f: F.ceil(F.sum(F.octet_length(f)) / capacity).cast("bigint")
     left = None
     while True:
-        now = stored(_labelled(large, components(found)), "jaccard-labels")
+        now = stored(_labelled(large, labels), "jaccard-labelled")
         heads = now.filter("cid = label")
         several = heads.groupBy("group").agg(in_tiles("s").alias("tiles"), F.count("*").alias("heads")).filter("heads > 1")
         count = several.agg(F.sum("heads")).first()[0] or 0
@@ -277,7 +279,7 @@ def _tiles(members: DataFrame, percent: int, capacity: int) -> DataFrame:
             break
         left = count
         heads = heads.drop("tiles").join(several, "group").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(left)), F.col("tiles")))
-        found = stored(found.unionByName(_tile_edges(heads, ["group", "block"], percent)), "jaccard-edges")
+        labels = _merged(labels, _tile_edges(heads, ["group", "block"], percent))
     if count:
         sizes = now.groupBy("group", "label").count()
         giant = sizes.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("giant"), F.count("*").alias("labels")).filter("labels > 1")
@@ -286,8 +288,17 @@ def _tiles(members: DataFrame, percent: int, capacity: int) -> DataFrame:
         outer = rest.filter("is_left").withColumn("block", F.explode(F.expr("sequence(0L, tiles - 1)")))
         inner = rest.withColumn("is_left", F.lit(False)).withColumn("cell", F.explode(F.expr("sequence(0L, cells - 1)")))
         both = outer.unionByName(inner).groupBy("group", "block", "cell", "cid", "label").agg(F.max("is_left").alias("is_left"), F.first("s").alias("s"))
-        found = stored(found.unionByName(_tile_edges(both, ["group", "block", "cell"], percent)), "jaccard-edges")
-    return components(found)
+        labels = _merged(labels, _tile_edges(both, ["group", "block", "cell"], percent))
+    return labels
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) after edges between labels: components are sought among the labels alone, of which there are far fewer than nodes."""
+    more = stored(components(stored(edges, "jaccard-edges")), "jaccard-merged")
+    counts = labels.groupBy("label").agg(F.count("*").alias("n_rows"))
+    above = stored(counts.join(more.select(F.col("node").alias("label"), F.col("label").alias("above")), "label"), "jaccard-above")
+    moved = join_counted(labels, above, ["label"], "left").select("node", F.coalesce("above", "label").alias("label"))
+    return stored(moved.unionByName(more.join(labels, "node", "left_anti").select("node", "label")), "jaccard-labels")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
