@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import brown_lm, byte_bpe, language, line_dedup, ngram_join, packing, pii, quality, topk, toxicity
+from spindrift.llm import brown_lm, byte_bpe, imatch, language, line_dedup, ngram_join, packing, pii, quality, topk, toxicity
 from spindrift.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
@@ -94,9 +98,31 @@ select * from r where rank <= 10
 """
 
 
+OP11_SQL = r"""
+with docs as (select coalesce(doc_id, -9223372036854775807 - 1) as k0, doc_id, coalesce(text, '') as text from documents),
+ordered as (select *, row_number() over (order by k0, md5(text)) as r, count(*) over () as total from docs),
+pairs as (select a.k0, a.r, a.doc_id, a.text, length(a.text) as n_chars, b.r as next_r,
+          substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) as edited from ordered a join ordered b on b.r = a.r % a.total + 1),
+texts as (select r, 0 as edited, text from pairs union all select r, 1, edited from pairs),
+found as (select r, edited, list_transform(list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')),
+          lambda w: cast('0x' || substr(md5(w), 1, 15) as bigint)) as terms from texts),
+each_term as (select r, edited, unnest(terms) as term from found),
+lexicon as (select term from each_term where edited = 0 group by term having count(*) * 2000 >= (select count(*) from docs) and count(*) * 4 <= (select count(*) from docs)),
+in_band as (select r, edited, list(term) as terms from each_term semi join lexicon using (term) group by all),
+kept as (select f.r, f.edited, list_sort(coalesce(b.terms, f.terms)) as k from found f left join in_band b on b.r = f.r and b.edited = f.edited),
+subsets as (select r, edited, [k] || flatten(list_transform(range(64), lambda g: [list_filter(k, lambda t: t >> 54 = g), list_filter(k, lambda t: t >> 54 = g and (t >> 52) & 3 = 0), list_filter(k, lambda t: t >> 54 = g and (t >> 50) & 15 = 0)])) as s from kept),
+marks as (select r, edited, list_transform(s, lambda x: case when len(x) = 0 then '' else substr(md5(array_to_string(x, ',')), 1, 8) end) as m from subsets),
+three as (select p.doc_id, p.n_chars, p.edited, own.m as a, cut.m as b, nxt.m as c from pairs p join marks own on own.r = p.r and own.edited = 0 join marks cut on cut.r = p.r and cut.edited = 1 join marks nxt on nxt.r = p.next_r and nxt.edited = 0),
+sums as (select *, len(list_filter(range(1, 194), lambda i: a[i] <> '' or b[i] <> '')) as ab, len(list_filter(range(1, 194), lambda i: a[i] <> '' and a[i] = b[i])) as ab_same,
+         len(list_filter(range(1, 194), lambda i: a[i] <> '' or c[i] <> '')) as ac, len(list_filter(range(1, 194), lambda i: a[i] <> '' and a[i] = c[i])) as ac_same from three)
+select doc_id, cast(n_chars as bigint) as n_chars, sha256(edited) as edited_sha256, array_to_string(a, ',') as fingerprint, array_to_string(b, ',') as edited_fingerprint,
+       case when ab = 0 then 1.0::double else ab_same::double / ab end as near_edited, case when ac = 0 then 1.0::double else ac_same::double / ac end as near_next from sums
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op9_line_dedup, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op9_line_dedup, op10_topk, op11_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op10_topk": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op10_topk": OP10_SQL, "op11_imatch": OP11_SQL}
