@@ -52,18 +52,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 HEAVY = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", heavy: int = HEAVY) -> DataFrame:
     """left joined (inner or left) with right, which has one row a key and ``n_rows``, how often left has it; n_rows is left out.
 
-    Rows of heavy keys stay where they are: their few rows of right, at most HEAVY, are broadcast. All others are
+    Rows of heavy keys, which have more than one in ``heavy`` rows, stay where they are: their few rows of right, at most ``heavy``, are broadcast. All others are
     shuffled, so no task gets more than a small share of left. Both sides are read twice, so they should be stored.
     """
     total = right.agg(F.sum("n_rows")).first()[0] or 0
     others = [c for c in right.columns if c not in (*keys, "n_rows")]
-    heavy = right.filter(F.col("n_rows") > total / HEAVY).select(*keys, F.struct(F.lit(0).alias("_"), *others).alias("_heavy"))
-    tagged = left.join(F.broadcast(heavy), keys, "left")
+    few = right.filter(F.col("n_rows") > total / heavy).select(*keys, F.struct(F.lit(0).alias("_"), *others).alias("_heavy"))
+    tagged = left.join(F.broadcast(few), keys, "left")
     here = tagged.filter("_heavy is not null").select(*left.columns, *[F.col("_heavy")[c].alias(c) for c in others])
-    moved = tagged.filter("_heavy is null").drop("_heavy").join(right.filter(F.col("n_rows") <= total / HEAVY).drop("n_rows"), keys, how)
+    moved = tagged.filter("_heavy is null").drop("_heavy").join(right.filter(F.col("n_rows") <= total / heavy).drop("n_rows"), keys, how)
     return here.unionByName(moved.select(here.columns))
 
 

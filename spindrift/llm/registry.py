@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import brown_lm, byte_bpe, imatch, language, line_dedup, ngram_join, packing, pii, quality, topk, toxicity
+from spindrift.llm import alignment, brown_lm, byte_bpe, filter_audit, imatch, language, line_dedup, ngram_join, packing, pii, quality, topk, toxicity
 from spindrift.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -74,6 +76,14 @@ def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 OP1_SQL = r"""
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
@@ -120,9 +130,28 @@ select doc_id, cast(n_chars as bigint) as n_chars, sha256(edited) as edited_sha2
 """
 
 
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+f as (select doc_id, part, cast(len(w) < 100 as int) + 2 * cast(100 * len(list_distinct(w)) < 80 * len(w) as int) + 4 * cast(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) as int)
+      + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(coalesce(min(doc_id) over (partition by t) < doc_id, false) as int) as mask from w),
+l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+m as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join l using (doc_id) group by all),
+x as (select unnest([0, 1, 2, 3, 4]) as f),
+p as (select [a.f, b.f, c.f, d.f, e.f] as o from x a, x b, x c, x d, x e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select o, list_reduce(list_transform(o, lambda i: substr('ABCDE', i + 1, 1)), lambda a, b: a || b) as filter_order, unnest([1, 2, 3, 4, 5]) as step from p),
+b as (select *, 1 << o[step] as bit, list_sum(list_transform(o[1:step - 1], lambda i: 1 << i)) as b from s),
+before as (select filter_order, step, bit, cast(coalesce(b, 0) as bigint) as b from b),
+r as (select part, filter_order, step, bit, cast(sum(case when mask & (b | bit) = 0 then n else 0 end) as bigint) as kept, cast(sum(case when mask & b = 0 and mask & bit <> 0 then n else 0 end) as bigint) as removed,
+      cast(sum(case when mask & b <> 0 and mask & bit <> 0 then n else 0 end) as bigint) as redundant, cast(sum(case when mask = bit then n else 0 end) as bigint) as unique_fails,
+      cast(sum(case when mask & b = 0 and mask & bit <> 0 then good else 0 end) as bigint) as good_lost, cast(sum(case when mask & b = 0 and mask & bit <> 0 then toxic else 0 end) as bigint) as toxic_lost from m, before group by all)
+select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley from r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op9_line_dedup, op10_topk, op11_imatch)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_pii, op4_brown_lm, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_byte_bpe, op9_line_dedup, op10_topk, op11_imatch, op12_filter_audit, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op10_topk": OP10_SQL, "op11_imatch": OP11_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op10_topk": OP10_SQL, "op11_imatch": OP11_SQL, "op12_filter_audit": OP12_SQL}
