@@ -180,7 +180,7 @@ def test_alignment_equals_all_pairs_of_tokens(spark, monkeypatch, frequent):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, None)]
     got = alignment.align(docs(spark, rows), A, B)
     wanted = plain_alignment([t or "" for _, t in rows])
-    assert rows_of(got) == sorted(((i, *w) for (i, _), w in zip(rows, wanted)), key=repr)
+    assert rows_of(got, *got.columns) == sorted(((i, *w) for (i, _), w in zip(rows, wanted)), key=repr)
 
 
 def test_alignment_takes_awkward_rows(spark):
