@@ -8,7 +8,9 @@ them out; a bit-parallel edit distance in the band of the threshold decides on t
 
 In each key's group the line with the smallest digest is compared with all others first. Only lines that this leaves
 standing are compared with the rest of their groups, inside the join, which keeps near pairs only. Large groups are
-dealt over cells, so no task has all of one.
+dealt over cells, so no task has all of one. Of the near pairs, the line with the smallest digest stays and those near it
+go, then the smallest of what is left, and so on: a line that goes is always near one that stays. Lines near a first line
+that went itself are compared again with what is left.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import join_counted, stored
+from spindrift.llm.common import HEAVY, join_counted, stored
 from spindrift.llm.prefilter import maybe_in, packed
 
 
@@ -42,6 +44,8 @@ def segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
 
 #: Letters counted to rule pairs out before their distance is computed: an edit changes the counts by two at most in all.
 COUNTED = "eatinrsohdlu"
+#: Lines that are looked at, about, to find out which keys are hot.
+SEEN = 100_000
 #: Lines of a key that one cell of its group holds, about.
 CELL = 1000
 
@@ -101,39 +105,105 @@ def _once(lines: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     return stored(both.withColumnsRenamed({"k0": "h", "k1": "g"}), "lines-once")
 
 
+def _hot_keys(lines: DataFrame, max_edits: int) -> DataFrame | None:
+    """(k0) of keys that seem to have more than one in HEAVY of the rows, told from some lines; None if there are none.
+
+    It decides only how rows are dealt. Keys that it misses are shuffled like all others.
+    """
+    some = segment_keys(lines.select("h", "line", "n").sample(min(1.0, SEEN / max(1, lines.count())), 5), max_edits)
+    counts = stored(some.groupBy("k0").agg(F.count("*").alias("n")).filter("n > 20"), "lines-some")
+    hot = counts.filter(F.col("n") > SEEN * len(probes(max_edits)) / HEAVY).select("k0")
+    return hot if hot.take(1) else None
+
+
+def _members(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(key, pivot, h): the lines of each key that several have, and the smallest of them."""
+    keys, hot = segment_keys(lines.select("h", "line", "n"), max_edits), _hot_keys(lines, max_edits)
+    # Dealt by key once, for the counts and for the join with them; the few shared keys of a partition are looked up, its many keys need no sort.
+    light = (keys if hot is None else keys.join(F.broadcast(hot), "k0", "left_anti")).repartition("k0")
+    ends = F.min("h").alias("pivot"), F.max("h").alias("last")
+    shared = light.groupBy("k0").agg(*ends).filter("pivot <> last").select("k0", "pivot")
+    members = light.join(shared.hint("shuffle_hash"), "k0")
+    if hot is not None:
+        # Rows of hot keys stay where they are: at most HEAVY pivots are found by partial sums and sent to them.
+        heavy = keys.join(F.broadcast(hot), "k0", "left_semi")
+        pivots = stored(heavy.groupBy("k0").agg(*ends).filter("pivot <> last").select("k0", "pivot"), "lines-hot")
+        members = members.unionByName(heavy.join(F.broadcast(pivots), "k0"))
+    return stored(members.select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
+
+
+def decided(edges: DataFrame, asking: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(h) of lines that go, and the edges and asking lines still undecided, of edges (h, other) with other < h and asking (h), whose edges are not all known.
+
+    A line stays once all its edges are known and none leads to a line that may stay; lines with an edge to it go. A line with edges from
+    many others is met through ``join_counted``; digests are random, so the rounds grow with the logarithm of the lines.
+    """
+    gone = None
+    while edges.take(1):
+        blocked = edges.select(F.col("h").alias("other")).unionByName(asking.select(F.col("h").alias("other"))).distinct().withColumn("blocked", F.lit(True))
+        others = stored(edges.groupBy("other").agg(F.count("*").alias("n_rows")).join(blocked, "other", "left"), "lines-others")
+        free = others.filter("blocked is null").drop("blocked")
+        if not free.take(1):
+            break
+        now = stored(join_counted(edges, free, ["other"]).select("h").distinct(), "lines-gone-now")
+        gone = now if gone is None else gone.unionByName(now)
+        asking = stored(asking.join(now, "h", "left_anti"), "lines-asking")
+        left = stored(edges.join(now, "h", "left_anti"), "lines-edges")
+        # A line that went drives out no other.
+        staying = left.groupBy("other").agg(F.count("*").alias("n_rows")).join(now.withColumnRenamed("h", "other"), "other", "left_anti")
+        edges = stored(join_counted(left, stored(staying, "lines-others"), ["other"]), "lines-edges")
+    return gone, edges, asking
+
+
 def _near(lines: DataFrame, max_edits: int) -> DataFrame:
-    """lines (h, g, n, line) -> (h, g): those within max_edits of another one with a smaller digest."""
-    # Dealt by key once, for the counts and for the join with them.
-    keys = segment_keys(lines.select("h", "line", "n"), max_edits).repartition("k0")
-    shared = keys.groupBy("k0").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).filter("pivot <> last").select("k0", "pivot")
-    # The few shared keys of a partition are looked up; its many keys need no sort.
-    members = stored(keys.join(shared.hint("shuffle_hash"), "k0").select(F.col("k0").alias("key"), "pivot", "h").distinct(), "lines-members")
+    """lines (h, g, n, line) -> (h, g): those that go, each within max_edits of one that stays and has a smaller digest."""
+    members = _members(lines, max_edits)
     wanted = stored(members.select(F.col("h").alias("k0")).distinct(), "lines-wanted")
     texts = maybe_in(lines.select(F.col("h").alias("k0"), "g", "line"), wanted).filter("maybe")
     texts = stored(texts.join(wanted, "k0", "left_semi").select(F.col("k0").alias("h"), "g", "line", letter_counts("line").alias("counts")), "lines-texts")
     others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"), F.col("counts").alias("other_counts"))
     # As conditions of the joins, so that pairs too far apart are never made into rows.
     close = may_be_close("counts", "other_counts", max_edits) & (F.abs(F.length("line") - F.length("other_line")) <= max_edits) & within("line", "other_line", max_edits)
-
-    stars = stored(members.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct().join(texts, "h"), "lines-stars")
-    pivots = stored(stars.groupBy("other").agg(F.count("*").alias("n_rows")).join(others, "other"), "lines-pivots")
-    found = stored(join_counted(stars, pivots, ["other"]).filter(close).select("h", "g").distinct(), "lines-near")
-    # A key of two lines is done with; so is one all of whose lines are near its first.
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    open_lines = members.filter("h <> pivot").join(found.select("h").distinct(), "h", "left_anti")
-    standing = stored(open_lines.join(sizes, "key"), "lines-standing")
-    open_keys = standing.select("key", "cells").distinct()
-    rest = members.select("key", F.col("h").alias("other")).join(open_keys, "key").withColumn("cell", F.expr("cast(pmod(xxhash64(other), cells) as int)")).drop("cells")
-    asking = standing.select("key", "pivot", "h", F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"))
-    met = asking.join(texts, "h").join(rest.join(others, "other"), ["key", "cell"]).filter((F.col("other") < F.col("h")) & (F.col("other") != F.col("pivot")) & close)
-    return stored(found.unionByName(met.select("h", "g")).distinct(), "lines-near")
+    asking, gone, edges, unknown = members, None, None, None
+    while True:
+        stars = stored(asking.filter("h <> pivot").select("h", F.col("pivot").alias("other")).distinct().join(texts, "h"), "lines-stars")
+        pivots = stored(stars.groupBy("other").agg(F.count("*").alias("n_rows")).join(others, "other"), "lines-pivots")
+        near = stored(join_counted(stars, pivots, ["other"]).filter(close).select("h", "other"), "lines-near")
+        met = near.select("h").distinct()
+        # A key of two lines is done with; so is one all of whose lines are near its first.
+        sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"), F.col("size").alias("n_rows"))
+        sizes = stored(sizes, "lines-sizes")
+        standing = stored(join_counted(asking.filter("h <> pivot").join(met, "h", "left_anti"), sizes, ["key"]), "lines-standing")
+        open_keys = stored(sizes.join(standing.select("key").distinct(), "key", "left_semi"), "lines-open")
+        rest = join_counted(members.select("key", F.col("h").alias("other")), open_keys, ["key"]).withColumn("cell", F.expr("cast(pmod(xxhash64(other), cells) as int)")).drop("cells")
+        dealt = standing.select("key", "pivot", "h", F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"))
+        both = dealt.join(texts, "h").join(rest.join(others, "other"), ["key", "cell"]).filter((F.col("other") < F.col("h")) & (F.col("other") != F.col("pivot")) & close)
+        found = near.unionByName(both.select("h", "other")).distinct()
+        edges = stored(found if edges is None else edges.unionByName(found).distinct(), "lines-edges")
+        # Lines near a first line are not compared with others before that line is known to go.
+        unknown = stored(met if unknown is None else unknown.join(asking.select("h"), "h", "left_anti").unionByName(met), "lines-unknown")
+        now, edges, unknown = decided(edges, unknown)
+        gone = gone if now is None else now if gone is None else gone.unionByName(now)
+        again = stored(unknown.join(edges, "h", "left_anti"), "lines-again")
+        if not again.take(1):
+            break
+        left = members.drop("pivot") if now is None else members.drop("pivot").join(now, "h", "left_anti")
+        left = stored(left, "lines-left")
+        heads = stored(left.groupBy("key").agg(F.min("h").alias("pivot"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "lines-heads")
+        members = stored(join_counted(left, heads, ["key"]), "lines-members")
+        asking = stored(again.join(members, "h", "left").filter("key is not null"), "lines-asking")
+        unknown = stored(unknown.join(again, "h", "left_anti"), "lines-unknown")
+    if gone is None:
+        return texts.select("h", "g").filter("false")
+    return stored(texts.select("h", "g").join(gone.distinct(), "h", "left_semi"), "lines-near")
 
 
 def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
     """The same rows and columns with repeated lines left out of ``text``, and n_lines, n_exact, n_near (long) added (in place of columns of these names).
 
     Lines are what ``\\n`` separates. Of equal lines the first stays, by document (doc_id, then the text's digest) and
-    place, whatever their length; of lines within ``max_edits`` edits, one with a smaller digest drives out the others.
+    place, whatever their length; of lines within ``max_edits`` edits, one with a smaller digest drives out the others if it stays itself, so every line left out has one
+    that stays within max_edits (or an equal one).
     Near are only lines of ``min_chars`` characters or more: in shorter ones, so many edits make another line. Blank lines always stay.
     n_exact counts lines left out as equal to an earlier one, n_near those left out as near another. A null text stays
     null with no lines; rows that repeat are one document and all get its text; null ids come first. doc_id is of an

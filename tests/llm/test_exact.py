@@ -342,7 +342,12 @@ def plain_dedup(rows, max_edits, min_chars):
                 first.setdefault(x, (d, h, pos))
                 lines.add(x)
     lines = {x for x in lines if len(x) >= min_chars}
-    near = {x for x in lines if any(digest(y) < digest(x) and abs(len(x) - len(y)) <= max_edits and distance(x, y) <= max_edits for y in lines)}
+    stay, near = [], set()
+    for x in sorted(lines, key=digest):
+        if any(abs(len(x) - len(y)) <= max_edits and distance(x, y) <= max_edits for y in stay):
+            near.add(x)
+        else:
+            stay.append(x)
     out = []
     for d, t in rows:
         kept = None if t is None else [x for pos, x in enumerate(t.split("\n")) if not filled(x) or (x not in near and first[x] == (-(2**63) if d is None else d, digest(t), pos))]
@@ -387,6 +392,24 @@ def test_line_dedup_compares_all_cells_of_a_large_group(spark, monkeypatch, cell
     assert rows_of(line_dedup.dedup(docs(spark, rows)), "doc_id", "text", "n_lines") == plain_dedup(rows, 2, 24)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup_leaves_a_near_line_for_every_line_of_a_chain(spark, monkeypatch, hot):
+    """Each line two edits from the next, in one chain and in several that share segments; with every key dealt as a hot one too."""
+    if hot:
+        monkeypatch.setattr(line_dedup, "HEAVY", 1_000_000_000)
+    rng, rows = random.Random(3), []
+    for chain in range(6):
+        line = list("".join(rng.choice("abcdefgh ") for _ in range(30)) + " and then something that all chains share")
+        for step in range(12):
+            rows.append((len(rows), "".join(line)))
+            for at in rng.sample(range(30), 2):
+                line[at] = rng.choice("ijklmnop")
+    got = line_dedup.dedup(docs(spark, rows))
+    assert rows_of(got, "doc_id", "text", "n_lines") == plain_dedup(rows, 2, 24)
+    kept = [r.text for r in got.collect() if r.text]
+    assert all(any(distance(t, k) <= 2 for k in kept) for _, t in rows) and not any(distance(a, b) <= 2 for a in kept for b in kept if a < b)
+
+
 def test_edit_distance_in_the_band_equals_the_plain_one(spark):
     rng, rows = random.Random(1), []
     for _ in range(3000):
