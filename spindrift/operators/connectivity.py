@@ -1,29 +1,31 @@
 """Functional connectivity: matrices as edge lists with i < j, and what is derived from them.
 
-Dense products over a recording run as one matrix product per trial (``kernels``); only a trial's own series move.
-Everything after that, masks, statistics, histograms, is relational.
+Dense products run tile by tile (``tiles``): a trial's regions fall into blocks, and every two blocks are multiplied in a
+group of their own. Everything after that, masks, statistics, histograms, is relational.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators import kernels
-from spindrift.operators.signal import zscore
+from spindrift.operators import kernels, tiles
+from spindrift.operators.signal import to_recordings, to_signal, zscore
 
 EDGES = "i int, j int, w double"
 
 
-def fc_matrix(recordings: DataFrame, kind: str = "corr", positive: bool = False) -> DataFrame:
-    """(trial, i, j, w) for i < j: Pearson correlation or covariance (over n - 1) of the regions' series."""
-
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        return kernels.edges(kernels.correlation(x) if kind == "corr" else np.atleast_2d(np.cov(x)))
-
-    found = kernels.per_trial(recordings, run, EDGES)
-    return found.withColumn("w", F.greatest("w", F.lit(0.0))) if positive else found
+def fc_matrix(recordings: DataFrame, kind: str = "corr", positive: bool = False, block: int = tiles.BLOCK) -> DataFrame:
+    """(trial, i, j, w) for i < j: Pearson correlation or covariance (over n - 1) of the regions' series, NaN where one is constant (correlation) or not finite. Blocks of regions meet tile by tile."""
+    if kind == "corr":
+        found = tiles.products(recordings, tiles.unit, block)
+    else:
+        found = tiles.products(recordings, lambda x: (x - x.mean()) / np.sqrt(len(x) - 1) if len(x) > 1 else np.full(len(x), np.nan), block)
+    return found.withColumn("w", F.when(F.isnan("w"), F.col("w")).otherwise(F.greatest("w", F.lit(0.0)))) if positive else found
 
 
 def fc_join(signal: DataFrame) -> DataFrame:
@@ -57,50 +59,47 @@ def sliding_fc_strided(recordings: DataFrame, width: int, overlap: float, most:
 
 
 def _windows(recordings: DataFrame, windows) -> DataFrame:
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        width, starts = windows(x.shape[1])
-        i, j = np.triu_indices(len(x), 1)
-        w = kernels.sliding(x, width, starts)
-        return {"w0": np.repeat(starts, len(i)).astype(np.int32), "i": np.tile(i, len(starts)).astype(np.int32), "j": np.tile(j, len(starts)).astype(np.int32), "w": w.ravel()}
-
-    return kernels.per_trial(recordings, run, f"w0 int, {EDGES}")
+    regions, samples = tiles.shape(recordings)
+    width, starts = windows(samples)
+    hop = int(starts[1] - starts[0]) if len(starts) > 1 else 1
+    found = tiles.window_vectors(recordings, width, starts, regions)
+    each = found.select("trial", "i", "j", "first", F.posexplode("f").alias("k", "w"))
+    return each.select("trial", ((F.col("first") + F.col("k")) * hop).cast("int").alias("w0"), "i", "j", "w")
 
 
 def fcd_matrix(recordings: DataFrame, width: int, mask: DataFrame | None = None) -> DataFrame:
-    """(trial, i, j, w) for windows i < j: correlation of the windows' vectors of pair correlations.
+    """(trial, i, j, w) for windows i < j, one sample apart: correlation of the windows' vectors of pair correlations.
 
-    A mask (i, j) of bounded size restricts the pairs. A recording of under two widths is an error.
+    A mask (i, j) or (trial, i, j) restricts the pairs. NaN where a region is constant or not finite in a window. Recordings of
+    under two widths have no rows; it is an error if all are as short.
     """
-    pairs = None if mask is None else {(r.i, r.j) for r in mask.collect()}
+    long = recordings.filter(F.size("v") >= 2 * width)
+    regions, samples = tiles.shape(long)
+    if not samples:
+        raise ValueError(f"no recording has two windows of {width} samples")
+    return _fcd(long, regions, width, np.arange(samples - width + 1), mask)
 
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        if x.shape[1] < 2 * width:
-            raise ValueError(f"{x.shape[1]} samples are under two windows of {width}")
-        vectors = kernels.sliding(x, width, np.arange(x.shape[1] - width + 1))
-        if pairs is not None:
-            vectors = vectors[:, [(a, b) in pairs for a, b in zip(*np.triu_indices(len(x), 1))]]
-        return kernels.edges(kernels.correlation(vectors))
 
-    return kernels.per_trial(recordings, run, EDGES)
+def fcd_strided(recordings: DataFrame, width: int, overlap: float, most: int = 200, mask: DataFrame | None = None) -> DataFrame:
+    regions, samples = tiles.shape(recordings)
+    return _fcd(recordings, regions, *kernels.strided(samples, width, overlap, most), mask)
 
 
-def fcd_strided(recordings: DataFrame, width: int, overlap: float, most: int = 200) -> DataFrame:
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        w, starts = kernels.strided(x.shape[1], width, overlap, most)
-        return kernels.edges(kernels.correlation(kernels.sliding(x, w, starts)))
-
-    return kernels.per_trial(recordings, run, EDGES)
+def _fcd(recordings: DataFrame, regions: int, width: int, starts: np.ndarray, mask: DataFrame | None) -> DataFrame:
+    vectors = tiles.window_vectors(recordings, width, starts, regions)
+    return tiles.window_products(vectors if mask is None else masked(vectors, mask))
 
 
-def plv_matrix(recordings: DataFrame) -> DataFrame:
-    """(trial, i, j, w): phase-locking value of each pair."""
+def plv_matrix(recordings: DataFrame, block: int = tiles.BLOCK) -> DataFrame:
+    """(trial, i, j, w): phase-locking value of each pair, tile by tile."""
 
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        z = kernels.analytic(x)
-        u = z / np.abs(z)
-        return kernels.edges(np.abs(u @ u.conj().T) / x.shape[1])
+    def phases(x: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z = kernels.analytic(x) if len(x) else np.zeros(0, complex)
+            return z / np.abs(z) / np.sqrt(len(x))
 
-    return kernels.per_trial(recordings, run, EDGES)
+    found = tiles.complex_products(recordings, phases, block)
+    return found.select("trial", "i", "j", F.hypot("re", "im").alias("w"))
 
 
 def plv_of_phases(phases: DataFrame) -> DataFrame:
@@ -200,15 +199,20 @@ def stat_sum(matrix: DataFrame) -> DataFrame:
 
 
 def matrix_kernel(recordings: DataFrame, what: str, of: str = "fc", width: int | None = None, positive: bool = False, components: int = 3) -> DataFrame:
-    """Seven statistics of the eigenvalues ("eig"), or of the PCA scores ("pca"), of each trial's correlation matrix, or that of its windows of ``width`` samples ("fcd"), with a zero diagonal."""
+    """Seven statistics of the eigenvalues ("eig"), or of the PCA scores ("pca"), of each trial's correlation matrix, or that of its windows of ``width`` samples ("fcd"), with a zero diagonal; NaN where an entry is not finite. A decomposition needs the whole matrix of a trial in one task."""
 
     def run(x: np.ndarray) -> dict[str, np.ndarray]:
         if of == "fcd":
-            x = kernels.sliding(x, width, np.arange(x.shape[1] - width + 1))
-        a = kernels.correlation(x)
-        a = np.maximum(a, 0) if positive else a
-        np.fill_diagonal(a, 0)
-        values = kernels.eigen_stats(a) if what == "eig" else kernels.pca_stats(a, components)
+            i, j = np.triu_indices(len(x), 1)
+            x = tiles.sliding_pairs(x, x, width, np.arange(max(0, x.shape[1] - width + 1)), i, j).T
+        values = np.full(len(kernels.SEVEN), np.nan)
+        if len(x) > 1 and x.shape[1]:
+            a = kernels.correlation(x)
+            a = np.maximum(a, 0) if positive else a
+            np.fill_diagonal(a, 0)
+            # A matrix with an entry that is not finite has no decomposition.
+            if np.isfinite(a).all():
+                values = kernels.eigen_stats(a) if what == "eig" else kernels.pca_stats(a, components)
         return {k: [v] for k, v in zip(kernels.SEVEN, values)}
 
     return kernels.per_trial(recordings, run, ", ".join(f"{k} double" for k in kernels.SEVEN))
@@ -245,14 +249,22 @@ def coactivation_degree(signal: DataFrame) -> DataFrame:
 
 
 def coactivation_phase(recordings: DataFrame) -> DataFrame:
-    """(trial, region, value): mean wrapped difference between the phase of the global signal and the region's."""
+    """(trial, region, value): mean wrapped difference between the phase of the global signal and the region's.
 
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        glob = np.angle(kernels.analytic(x.mean(axis=0)))
-        d = glob - np.angle(kernels.analytic(x))
-        wrapped = (d + np.pi) % (2 * np.pi) - np.pi
-        return {"region": np.arange(len(x), dtype=np.int32), "value": wrapped.mean(axis=1)}
+    The global signal is a mean by trial and sample, combined before it moves; each series then meets its trial's one.
+    """
+    moments = to_signal(recordings).groupBy("trial", "t").agg(F.avg("v").alias("v")).withColumn("region", F.lit(-1))
+    whole = to_recordings(moments).select("trial", F.col("v").alias("whole"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        angle = lambda x: np.angle(kernels.analytic(np.asarray(x.values.to_numpy(zero_copy_only=False), float)))
+        for batch in batches:
+            values = [_mean_wrapped(angle(g), angle(v)) if len(v) else float("nan") for g, v in zip(batch.column("whole"), batch.column("v"))]
+            yield pa.RecordBatch.from_arrays([batch.column("trial"), batch.column("region"), pa.array(values, pa.float64())], ["trial", "region", "value"])
 
-    return kernels.per_trial(recordings, run, "region int, value double")
+    return recordings.join(whole, "trial").select("trial", "region", "v", "whole").mapInArrow(run, "trial bigint, region int, value double")
 
 
+def _mean_wrapped(one: np.ndarray, other: np.ndarray) -> float:
+    n = min(len(one), len(other))
+    return float(((one[:n] - other[:n] + np.pi) % (2 * np.pi) - np.pi).mean())

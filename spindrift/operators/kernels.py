@@ -9,21 +9,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def per_trial(recordings: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """fn maps the matrix of a trial, rows by region, to columns; the trial is put in front."""
+KINDS = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
-    def run(key, frame):
-        x = np.stack(frame.sort_values("region")["v"].to_numpy()).astype(float)
-        out = pd.DataFrame(fn(x))
-        out.insert(0, "trial", key[0])
-        return out
 
-    return recordings.groupBy("trial").applyInPandas(run, f"trial bigint, {schema}")
+def per_trial(recordings: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """fn maps the matrix of a trial, rows by region, to columns; the trial is put in front. NaN stays NaN."""
+    fields = [f.split() for f in schema.split(",")]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("region").to_numpy(), kind="stable")
+        v = table.column("v").combine_chunks()
+        series = [np.asarray(v[int(k)].values.to_numpy(zero_copy_only=False), float) for k in order]
+        longest = max(map(len, series))
+        # A series that is shorter than the others is not a valid one.
+        x = np.stack([s if len(s) == longest else np.full(longest, np.nan) for s in series])
+        found = fn(x)
+        columns = [pa.array(found[n], KINDS[k]) for n, k in fields]
+        return pa.table([pa.array([key[0].as_py()] * len(columns[0]), pa.int64()), *columns], names=["trial", *(n for n, _ in fields)])
+
+    return recordings.select("trial", "region", "v").groupBy("trial").applyInArrow(run, f"trial bigint, {schema}")
 
 
 def per_series(recordings: DataFrame, fn: Callable[[np.ndarray], np.ndarray], name: str = "v") -> DataFrame:
