@@ -183,6 +183,20 @@ def test_alignment_equals_all_pairs_of_tokens(spark, monkeypatch, frequent):
     assert rows_of(got, *got.columns) == sorted(((i, *w) for (i, _), w in zip(rows, wanted)), key=repr)
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    plain, coder = Tokenizer.from_file(A), alignment.Coder(A)
+    plain.encode_special_tokens = True
+    rng = random.Random(3)
+    texts = ["".join(f"a{chr(k)}1{chr(k)}.{chr(k)} {chr(k)}{chr(k)}\n" for k in range(alignment.SURE))]
+    texts += ["".join(rng.choice(["'s", "'ll", "'", " ", "  ", "\n", "ab", "é", "7", "...", "\u0301", "漢", "<|endoftext|>", "\u2028"]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    for at in range(0, len(texts), 50):
+        got = coder.encode(texts[at : at + 50])
+        assert [g.tolist() for g in got] == [plain.encode(" " + t, add_special_tokens=False).ids for t in texts[at : at + 50]]
+
+
 def test_alignment_takes_awkward_rows(spark):
     got = alignment.align(wide(spark), A, B)
     assert got.count() == len(AWKWARD) and got.filter("n_a = 0 and groups_sha256 <> ''").count() == 0 and got.filter("n_a > 0").count() > 5
