@@ -13,7 +13,6 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -112,28 +111,54 @@ def _byte_alphabet() -> dict[str, int]:
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points from here on may be letters for one Unicode version and not for another; texts with one are left to the tokenizer. A test compares all below.
 SURE = 0x530
-#: Words whose ids a task remembers; the memory starts anew beyond this.
-REMEMBERED = 200_000
 
 
-class Words:
-    """Ids by words: a text is cut by the pattern, and the tokenizer sees each word once, as its merges never cross words."""
+def by_ranks(vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> bool:
+    """Whether merging the neighbours whose union comes first in the vocabulary gives the same ids as the merge list.
 
-    def __init__(self, tokenizer):
-        import regex
-
-        self.tokenizer, self.cut, self.known = tokenizer, regex.compile(WORDS).findall, {}
-        self.sure = regex.compile(f"[\x00-{chr(SURE - 1)}]*").fullmatch
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.cut(t) if self.sure(t) else None for t in texts]
-        new = list(set(chain.from_iterable(w for w in words if w)) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(chain.from_iterable(w for w in words if w)))
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, words) if w is None], add_special_tokens=False))
-        return [np.array(next(whole).ids if w is None else list(chain.from_iterable(map(self.known.__getitem__, w))), np.int64) for w in words]
+    It does if the merges before each one, applied to its union alone, leave just its two halves. This is tried for all of them.
+    """
+    rank, first = {pair: i for i, pair in enumerate(merges)}, len(vocabulary) - len(merges)
+    for i, (left, right) in enumerate(merges):
+        if vocabulary.get(left + right) != first + i:
+            return False
+        parts = list(left + right)
+        while len(parts) > 1:
+            least = min(rank.get(pair, i) for pair in zip(parts, parts[1:]))
+            if least >= i:
+                break
+            joined: list[str] = []
+            for part in parts:
+                if joined and rank.get((joined[-1], part)) == least:
+                    joined[-1] += part
+                else:
+                    joined.append(part)
+            parts = joined
+        if parts != [left, right]:
+            return False
+    return True
+
+
+def _encoder(form: dict, tokenizer, token_bytes: list[bytes]):
+    """Texts -> arrays of ids. Where ranks are proven to give the file's ids, texts of sure characters are merged by rank; all others go through the file's own tokenizer."""
+    model, cut = form["model"], form["pre_tokenizer"]
+    plainly = lambda texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    known = form["normalizer"] is None and (cut["type"], cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+    if not known or model.get("ignore_merges") or model.get("dropout") or not by_ranks(model["vocab"], merges):
+        return plainly
+    import regex
+    import tiktoken
+
+    ranks = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={token_bytes[i]: i for i in model["vocab"].values()}, special_tokens={})
+    sure = regex.compile(f"[\\x00-{chr(SURE - 1)}]*").fullmatch
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        fits = [sure(t) is not None for t in texts]
+        rest = iter(plainly([t for t, f in zip(texts, fits) if not f]))
+        return [ranks.encode_to_numpy(t, disallowed_special=()).astype(np.int64) if f else next(rest) for t, f in zip(texts, fits)]
+
+    return encode
 
 
 class Coder:
@@ -151,12 +176,7 @@ class Coder:
             for token, i in vocabulary.items():
                 self.bytes[i] = bytes(alphabet[c] for c in token)
             with open(path, encoding="utf-8") as f:
-                form = json.load(f)
-            cut = form["pre_tokenizer"]
-            if form["normalizer"] is None and (cut["type"], cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True):
-                encode = Words(tokenizer).encode
-            else:
-                encode = lambda texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                encode = _encoder(json.load(f), tokenizer, self.bytes)
             self.encode = lambda texts: encode([" " + t for t in texts])
         else:
             import sentencepiece

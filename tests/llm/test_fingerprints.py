@@ -183,10 +183,11 @@ def test_alignment_equals_all_pairs_of_tokens(spark, monkeypatch, frequent):
     assert rows_of(got, *got.columns) == sorted(((i, *w) for (i, _), w in zip(rows, wanted)), key=repr)
 
 
-def test_words_are_cut_as_the_tokenizer_cuts_them(monkeypatch):
+def test_ranks_give_the_ids_of_the_tokenizer():
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    vocabulary = {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4, "abc": 5}
+    assert alignment.by_ranks(vocabulary, [("a", "b"), ("b", "c"), ("ab", "c")]) and not alignment.by_ranks(vocabulary, [("a", "b"), ("b", "c"), ("a", "bc")])
     plain, coder = Tokenizer.from_file(A), alignment.Coder(A)
     plain.encode_special_tokens = True
     rng = random.Random(3)
