@@ -158,7 +158,7 @@ def in_mask(matrix: DataFrame, n: DataFrame, name: str) -> DataFrame:
 
 def fc_sum(matrix: DataFrame) -> DataFrame:
     """(trial, value): sum of absolute entries off the diagonal."""
-    return matrix.groupBy("trial").agg((2 * F.sum(F.abs("w"))).alias("value"))
+    return matrix.groupBy("trial").agg(unless_nan("w", 2 * F.sum(F.abs("w"))).alias("value"))
 
 
 def fc_homotopic(matrix: DataFrame, sizes: DataFrame, positive: bool = True, average: bool = True) -> DataFrame:
@@ -178,9 +178,15 @@ def full(matrix: DataFrame, n: DataFrame) -> DataFrame:
     return matrix.select("trial", "i", "j", "w").unionByName(lower).unionByName(diagonal)
 
 
+def unless_nan(w: str, aggregate: Column) -> Column:
+    """An aggregate that is NaN if a value is NaN or null, as Spark leaves nulls out and takes NaN for the largest number."""
+    return F.when(F.max(F.isnan(w) | F.isnull(w)), F.lit(float("nan"))).otherwise(aggregate)
+
+
 def _seven(w: str = "w") -> list:
     nan = F.lit(float("nan"))
-    return [F.sum(w).alias("sum"), F.max(w).alias("max"), F.min(w).alias("min"), F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.coalesce(F.skewness(w), nan).alias("skewness"), F.coalesce(F.kurtosis(w), nan).alias("kurtosis")]
+    found = {"sum": F.sum(w), "max": F.max(w), "min": F.min(w), "mean": F.avg(w), "std": F.stddev_pop(w), "skewness": F.coalesce(F.skewness(w), nan), "kurtosis": F.coalesce(F.kurtosis(w), nan)}
+    return [unless_nan(w, v).alias(k) for k, v in found.items()]
 
 
 def stat_ut(matrix: DataFrame, k: int, n: DataFrame | None = None) -> DataFrame:
@@ -191,25 +197,29 @@ def stat_ut(matrix: DataFrame, k: int, n: DataFrame | None = None) -> DataFrame:
 
 def stat_quantile(matrix: DataFrame, n: DataFrame, quantiles: list[float]) -> DataFrame:
     """Quantiles of all n * n entries, the zero diagonal included."""
-    return full(matrix, n).groupBy("trial").agg(*[F.percentile("w", q).alias(f"q{q}") for q in quantiles])
+    return full(matrix, n).groupBy("trial").agg(*[unless_nan("w", F.percentile("w", q)).alias(f"q{q}") for q in quantiles])
 
 
 def stat_sum(matrix: DataFrame) -> DataFrame:
-    return matrix.groupBy("trial").agg((2 * F.sum(F.abs("w"))).alias("value"))
+    return matrix.groupBy("trial").agg(unless_nan("w", 2 * F.sum(F.abs("w"))).alias("value"))
 
 
-def matrix_kernel(recordings: DataFrame, what: str, of: str = "fc", width: int | None = None, positive: bool = False, components: int = 3) -> DataFrame:
+def matrix_kernel(recordings: DataFrame, what: str, of: str = "fc", width: int | None = None, positive: bool = False, components: int = 3, mask: str = "full", kind: str = "corrcoef") -> DataFrame:
     """Seven statistics of the eigenvalues ("eig"), or of the PCA scores ("pca"), of each trial's correlation matrix, or that of its windows of ``width`` samples ("fcd"), with a zero diagonal; NaN where an entry is not finite. A decomposition needs the whole matrix of a trial in one task."""
 
     def run(x: np.ndarray) -> dict[str, np.ndarray]:
         if of == "fcd":
             i, j = np.triu_indices(len(x), 1)
+            kept = _pairs_of(mask, i, j, len(x))
+            i, j = i[kept], j[kept]
             x = tiles.sliding_pairs(x, x, width, np.arange(max(0, x.shape[1] - width + 1)), i, j).T
         values = np.full(len(kernels.SEVEN), np.nan)
         if len(x) > 1 and x.shape[1]:
-            a = kernels.correlation(x)
+            a = kernels.correlation(x) if kind == "corrcoef" or of == "fcd" else np.cov(x)
             a = np.maximum(a, 0) if positive else a
             np.fill_diagonal(a, 0)
+            if of == "fc":
+                a = np.where(_pairs_of(mask, *np.indices(a.shape), len(a)), a, 0)
             # A matrix with an entry that is not finite has no decomposition.
             if np.isfinite(a).all():
                 values = kernels.eigen_stats(a) if what == "eig" else kernels.pca_stats(a, components)
@@ -218,6 +228,12 @@ def matrix_kernel(recordings: DataFrame, what: str, of: str = "fc", width: int |
     return kernels.per_trial(recordings, run, ", ".join(f"{k} double" for k in kernels.SEVEN))
 
 
+def _pairs_of(mask: str, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The same rule as ``_rule`` for arrays."""
+    same = (i < n // 2) == (j < n // 2)
+    return {"full": np.ones(i.shape, bool), "intrah": same, "interh": ~same}[mask]
+
+
 def fluidity(fcd: DataFrame, k: int) -> DataFrame:
     return fcd.filter(F.col("j") >= F.col("i") + k).groupBy("trial").agg(F.var_pop("w").alias("value"))
 

@@ -100,6 +100,9 @@ def spectrum(recordings: DataFrame, fs: float = 1.0, method: str = "fft", nperse
             found = []
             for x in batch.column("v"):
                 x = np.asarray(x.values.to_numpy(zero_copy_only=False), float)
+                if not len(x):
+                    found.append((np.zeros(0), np.zeros(0)))
+                    continue
                 found.append((np.fft.rfftfreq(len(x), 1 / fs), np.abs(np.fft.rfft(x - x.mean()))) if method == "fft" else welch(x, fs, nperseg or len(x) // 2))
             sizes = [len(f) for f, _ in found]
             rows = pa.array(np.repeat(np.arange(len(found)), sizes))
@@ -250,7 +253,9 @@ def pca_stats(a: np.ndarray, components: int = 3) -> np.ndarray:
 
 
 def lpc(x: np.ndarray, order: int = 12) -> np.ndarray:
-    """1 and the negative prediction coefficients by the Yule-Walker equations; zeros for a constant series."""
+    """1 and the negative prediction coefficients by the Yule-Walker equations; zeros for a constant series, NaN for one that is not finite or not longer than the order."""
+    if len(x) <= order or not np.isfinite(x).all():
+        return np.full(order, np.nan)
     x = x - x.mean()
     acf = np.array([(x[: len(x) - k] * x[k:]).sum() for k in range(order)])
     if acf[0] == 0:
@@ -322,28 +327,90 @@ def _harmonic(n: int) -> np.ndarray:
     return np.concatenate([[0.0, 0.0], np.cumsum(1.0 / np.arange(1, max(2, n)))])[: n + 1]
 
 
-def _blocks(n: int, size: int = 512) -> Iterator[slice]:
-    return (slice(lo, min(n, lo + size)) for lo in range(0, n, size))
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ...: places of many stretches, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
-def _apart(x: np.ndarray, rows: slice) -> np.ndarray:
-    d = np.abs(x[rows, None] - x[None, :])
-    d[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop)] = np.inf
-    return d
+def _parts(size: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
+    """Slices of stretches with about ``most`` places in all, at least one stretch each."""
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + most, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _within(values: np.ndarray, of: np.ndarray, reach: np.ndarray, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-but-one place in sorted values of those at most (strict: less than) reach apart from of, by the difference as computed, not by a rounded bound."""
+    near = (lambda d: d < reach) if strict else (lambda d: d <= reach)
+    n = len(values)
+    lo, hi = np.searchsorted(values, of - reach, "left"), np.searchsorted(values, of + reach, "right")
+    while True:  # by whole groups of equal values, to where the difference decides
+        wider = (lo > 0) & near(np.abs(values[np.maximum(lo - 1, 0)] - of))
+        closer = ~wider & (lo < n) & (values[np.minimum(lo, n - 1)] < of) & ~near(np.abs(values[np.minimum(lo, n - 1)] - of))
+        if not (wider.any() or closer.any()):
+            break
+        lo = np.where(wider, np.searchsorted(values, values[np.maximum(lo - 1, 0)], "left"), np.where(closer, np.searchsorted(values, values[np.minimum(lo, n - 1)], "right"), lo))
+    while True:
+        wider = (hi < n) & near(np.abs(values[np.minimum(hi, n - 1)] - of))
+        closer = ~wider & (hi > 0) & (values[np.maximum(hi - 1, 0)] > of) & ~near(np.abs(values[np.maximum(hi - 1, 0)] - of))
+        if not (wider.any() or closer.any()):
+            break
+        hi = np.where(wider, np.searchsorted(values, values[np.minimum(hi, n - 1)], "right"), np.where(closer, np.searchsorted(values, values[np.maximum(hi - 1, 0)], "left"), hi))
+    return lo, hi
+
+
+def nearest(axes: list[np.ndarray], k: int) -> np.ndarray:
+    """[samples x k]: the k nearest other samples in the maximum norm, of equally far ones those that come first.
+
+    Samples stand in the order of the first axis, and each looks at a stretch around it that doubles until all that lies
+    outside is farther away than its k-th neighbour: with few dimensions far fewer than all samples.
+    """
+    n = len(axes[0])
+    order = np.argsort(axes[0], kind="stable")
+    sorted_axes = [a[order] for a in axes]
+    first, found, open_, reach = sorted_axes[0], np.empty((n, k), np.int64), np.arange(n), 4 * k
+    while len(open_):
+        undone = []
+        lo, hi = np.maximum(open_ - reach, 0), np.minimum(open_ + reach + 1, n)
+        width = min(n, 2 * reach + 1)
+        start = np.minimum(lo, n - width)
+        for part in (slice(p, p + max(1, (1 << 21) // width)) for p in range(0, len(open_), max(1, (1 << 21) // width))):
+            me, s = open_[part], start[part]
+            places = s[:, None] + np.arange(width)
+            d = np.zeros(places.shape)
+            for a in sorted_axes:
+                np.maximum(d, np.abs(a[places] - a[me][:, None]), out=d)
+            d[places == me[:, None]] = np.inf
+            e = np.partition(d, k - 1, axis=1)[:, k - 1]
+            # Beyond the stretch's ends the first axis alone is farther away.
+            safe = ((s == 0) | (first[me] - first[np.maximum(s - 1, 0)] > e)) & ((s + width == n) | (first[np.minimum(s + width, n - 1)] - first[me] > e))
+            undone.append(me[~safe])
+            d, places, me, e = d[safe], places[safe], me[safe], e[safe]
+            # The k of least distance, then of least original place.
+            kept = d <= e[:, None]
+            rows = np.repeat(np.arange(len(me)), kept.sum(axis=1))
+            who, far = order[places[kept]], d[kept]
+            by = np.lexsort((who, far, rows))
+            begin = np.concatenate([[0], np.cumsum(kept.sum(axis=1))[:-1]]).astype(int)
+            found[order[me]] = who[by][begin[:, None] + np.arange(k)] if len(me) else found[:0]
+        open_, reach = np.concatenate(undone), 2 * reach
+    return found
 
 
 def ksg_mi(x: np.ndarray, y: np.ndarray, k: int = 4) -> float:
-    """Mutual information in nats by the second nearest-neighbour form, in blocks of rows."""
+    """Mutual information in nats by the second nearest-neighbour form."""
     n = min(len(x), len(y))
-    x, y, psi, total = x[:n], y[:n], _harmonic(n + 1), 0.0
     if n <= k:
         return float("nan")
-    for rows in _blocks(n):
-        dx, dy = _apart(x, rows), _apart(y, rows)
-        near = np.argpartition(np.maximum(dx, dy), k - 1, axis=1)[:, :k]
-        ex, ey = np.take_along_axis(dx, near, 1).max(axis=1), np.take_along_axis(dy, near, 1).max(axis=1)
-        nx, ny = (dx <= ex[:, None]).sum(axis=1), (dy <= ey[:, None]).sum(axis=1)
-        total += (psi[nx] + psi[ny]).sum()
+    x, y, psi = x[:n], y[:n], _harmonic(n + 1)
+    near = nearest([x, y], k)
+    total = 0.0
+    for a in (x, y):
+        lo, hi = _within(np.sort(a), a, np.abs(a[near] - a[:, None]).max(axis=1), False)
+        total += psi[hi - lo - 1].sum()
     return float(psi[k] - 1 / k - total / n + psi[n])
 
 
@@ -351,15 +418,23 @@ def ksg_te(source: np.ndarray, target: np.ndarray, k: int = 4, delay: int = 1) -
     """Transfer entropy in nats: information of the delayed source on the next target value, given the target's last one."""
     first = max(1, delay)
     nxt, past, src = target[first:], target[first - 1 : -1], source[first - delay : len(source) - delay]
-    n, psi, total = len(nxt), _harmonic(len(nxt) + 2), 0.0
+    n = min(map(len, (nxt, past, src)))
     if n <= k:
         return float("nan")
-    for rows in _blocks(n):
-        a, b, c = _apart(nxt, rows), _apart(past, rows), _apart(src, rows)
-        e = np.partition(np.maximum(np.maximum(a, b), c), k - 1, axis=1)[:, k - 1][:, None]
-        nz, nxz, nyz = (b < e).sum(axis=1), (np.maximum(a, b) < e).sum(axis=1), (np.maximum(c, b) < e).sum(axis=1)
-        total += (psi[nz + 1] - psi[nxz + 1] - psi[nyz + 1]).sum()
-    return float(psi[k] + total / n)
+    nxt, past, src, psi = nxt[:n], past[:n], src[:n], _harmonic(n + 2)
+    last = nearest([past, nxt, src], k)[:, -1]
+    e = np.max([np.abs(a[last] - a) for a in (nxt, past, src)], axis=0)
+    order = np.argsort(past, kind="stable")
+    lo, hi = _within(past[order], past, e, True)
+    # A sample itself is never less than 0 apart: with e = 0 the stretch is empty.
+    size = np.where(e > 0, hi - lo, 0)
+    nz, both = size - (e > 0), np.zeros((2, n), np.int64)
+    for part in _parts(size):
+        places = order[_runs(lo[part], size[part])]
+        me = np.repeat(np.arange(n)[part], size[part])
+        for row, a in enumerate((nxt, src)):
+            both[row] += np.bincount(me[np.abs(a[places] - a[me]) < e[me]], minlength=n)
+    return float(psi[k] + (psi[nz + 1] - psi[both[0] - (e > 0) + 1] - psi[both[1] - (e > 0) + 1]).mean())
 
 
 def standard(x: np.ndarray) -> np.ndarray:
@@ -399,7 +474,7 @@ def first_minimum(x: np.ndarray) -> float:
 
 def residual_ratio(x: np.ndarray) -> float:
     """First zero of the autocorrelation of the series' steps over that of the series."""
-    return first_zero(np.diff(x)) / first_zero(x) if len(x) > 1 else float("nan")
+    return first_zero(np.diff(x)) / first_zero(x) if len(x) > 1 and first_zero(x) else float("nan")
 
 
 def transition_spread(x: np.ndarray) -> float:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators import catch22, connectivity, infotheory, kernels, spectral, states, stats
+from spindrift.operators import signal as signal_model
 from spindrift.operators.signal import preprocess, to_recordings
 
 STATISTICS = ("calc_var", "calc_std", "calc_mean", "calc_max", "calc_min", "calc_median", "calc_skewness", "calc_kurtosis", "mean_abs_dev", "median_abs_dev", "rms", "interq_range", "burstiness")
@@ -25,6 +26,7 @@ BANDS = [[0, 4], [4, 8], [8, 12], [12, 30], [30, 70]]
 MOMENTS = [2, 3, 4, 5, 6]
 ENVELOPE = ["mean", "std", "median", "max", "min"]
 TEMPORAL = ("abs_energy", "average_power", "calc_centroid", "zero_crossing", "seizure_onset", "auc")
+WAVELETS = ("wavelet_abs_mean", "wavelet_std", "wavelet_energy")
 SPECTRAL = ("fundamental_frequency", "max_frequency", "max_psd", "median_frequency", "spectral_centroid", "spectral_kurtosis", "spectral_variation", "spectral_distance")
 
 
@@ -34,27 +36,40 @@ def _entry(tag: list[str], **parameters) -> dict:
 
 def default_config() -> dict:
     """All built-in features with their usual parameters."""
-    matrix = {"positive": False, "masks": None, "eigenvalues": True, "pca_num_components": 3, "quantiles": QUANTILES}
+    matrix = {"positive": False, "masks": None, "eigenvalues": True, "pca_num_components": 3, "quantiles": QUANTILES, "features": list(kernels.SEVEN)}
     pairs = {"k": 4, "source_indices": None, "target_indices": None, "mode": "pairwise"}
+    own = {"seizure_onset": {"threshold": 0.02}, "auc": {"dx": None, "x": None}, "average_power": {"fs": None}, "calc_centroid": {"fs": None}}
+    spectrum = {"fs": None, "method": "fft", "nperseg": None, "average": False, "indices": None}
+    off = lambda entry: {**entry, "use": False}
     return {
-        "statistical": {n: _entry(["all"]) for n in STATISTICS} | {"calc_moments": _entry(["all"], orders=MOMENTS), "calc_envelope": _entry(["all"], features=ENVELOPE)},
-        "temporal": {n: _entry(["all", "eeg"]) for n in TEMPORAL} | {"kop": _entry(["all", "eeg"], extract_phase=False), "auc_lim": _entry(["all", "eeg"], xlim=[[0, 10]])},
-        "spectral": {n: _entry(["eeg"], method="fft", nperseg=None, average=False) for n in SPECTRAL}
+        "statistical": {n: _entry(["all"], indices=None) for n in STATISTICS} | {"calc_moments": _entry(["all"], orders=MOMENTS, indices=None), "calc_envelope": _entry(["all"], features=ENVELOPE, indices=None)},
+        "temporal": {n: _entry(["all", "eeg"], indices=None, **own.get(n, {})) for n in TEMPORAL}
+        | {"kop": _entry(["all", "eeg"], indices=None, extract_phase=False), "auc_lim": _entry(["all", "eeg"], xlim=[[0, 10]], indices=None)}
+        | {n: off(_entry(["eeg"], indices=None, widths=list(range(1, 10)))) for n in WAVELETS},
+        "spectral": {n: _entry(["eeg"], **spectrum) for n in SPECTRAL}
         | {
-            "spectrum_stats": _entry(["eeg"], method="fft", nperseg=None, average=False, features=list(SPECTRAL)),
-            "spectrum_moments": _entry(["eeg"], method="fft", nperseg=None, average=False, moments=MOMENTS, normalize=False),
-            "spectrum_auc": _entry(["eeg"], method="fft", nperseg=None, average=False, bands=BANDS),
-            "psd_raw": _entry(["eeg"], method="fft", nperseg=None, average=False, bands=BANDS, df=1.0, normalize=False, normalize_to=None),
+            "spectral_spread": off(_entry(["eeg"], **spectrum)),
+            "spectrum_stats": _entry(["eeg"], **spectrum, features=list(SPECTRAL)),
+            "spectrum_moments": _entry(["eeg"], **spectrum, moments=MOMENTS, normalize=False),
+            "spectrum_auc": _entry(["eeg"], **spectrum, bands=BANDS),
+            "psd_raw": _entry(["eeg"], **spectrum, bands=BANDS, df=1.0, normalize=False, normalize_to=None),
         },
         "connectivity": {
             "fc_sum": _entry(["fmri"], positive=False, masks=None),
-            "fc_stat": _entry(["fmri"], k=1, **matrix),
-            "fc_homotopic": _entry(["fmri"], positive=True, average=False),
-            "fcd_stat": _entry(["fmri"], width=32, k=None, **{k: v for k, v in matrix.items() if k != "masks"}),
+            "fc_stat": _entry(["fmri"], k=1, fc_function="corrcoef", **matrix),
+            "fc_homotopic": _entry(["fmri"], positive=True, average=False, fc_function="corrcoef"),
+            "fcd_stat": _entry(["fmri"], width=32, TR=1.0, win_len=None, k=None, **matrix),
+            "coactivation_degree": off(_entry(["fmri"], indices=None)),
+            "coactivation_phase": off(_entry(["fmri"], indices=None)),
         },
-        "hmm": {"hmm_stat": _entry(["fmri"], n_states=4, n_iter=20, tcut=100, bins=10)},
-        "information": {"calc_entropy": _entry(["all"], average=False), "entropy_bin": _entry(["all"], digits=1), "calc_mi": _entry(["all"], time_diff=1, **pairs), "calc_te": _entry(["all"], delay=1, **pairs)},
-        "catch22": {n: {**_entry(["catch22"]), "use": False} for n in catch22.NAMES},
+        "hmm": {"hmm_stat": _entry(["fmri"], n_states=4, n_iter=20, tcut=100, bins=10, node_indices=None, starts=3, seed=0, of="trial")},
+        "information": {
+            "calc_entropy": _entry(["all"], average=False),
+            "entropy_bin": _entry(["all"], digits=1, prob="standard", average=False, indices=None),
+            "calc_mi": _entry(["all"], time_diff=1, num_surrogates=0, seed=0, average=False, **pairs),
+            "calc_te": _entry(["all"], delay=1, average=False, **pairs),
+        },
+        "catch22": {n: off(_entry(["catch22"], indices=None)) for n in catch22.NAMES} | {"catch22": off(_entry(["catch22"], indices=None, catch24=False, features=None))},
     }
 
 
@@ -173,6 +188,22 @@ class _Shared:
     def __init__(self, signal: DataFrame, fs: float):
         self.signal, self.recordings, self.fs = signal, to_recordings(signal), fs
         self.found: dict[tuple, DataFrame] = {}
+        self.parts: dict[tuple, _Shared] = {}
+
+    def at(self, p: dict, name: str = "indices") -> _Shared:
+        """What belongs to the regions that the parameters name, all for none."""
+        wanted = p.get(name)
+        if wanted is None:
+            return self
+        key = tuple(sorted(wanted))
+        if key not in self.parts:
+            self.parts[key] = _Shared(self.signal.filter(F.col("region").isin(list(key))), self.fs)
+        return self.parts[key]
+
+    def every_trial(self, found: DataFrame, columns: list[str]) -> DataFrame:
+        """found with a row of NaN for trials without one."""
+        trials = self.get(("trials",), lambda: self.signal.select("trial").distinct())
+        return trials.join(found, "trial", "left").select("trial", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
 
     def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         if key not in self.found:
@@ -181,25 +212,57 @@ class _Shared:
 
     def spectrum(self, p: dict) -> DataFrame:
         method, nperseg, average = p.get("method", "fft"), p.get("nperseg"), bool(p.get("average", False))
-        each = self.get(("spectrum", method, nperseg), lambda: kernels.spectrum(self.recordings, self.fs, method, nperseg))
-        return self.get(("spectrum", method, nperseg, "mean"), lambda: spectral.average(each)) if average else each
+        fs = p.get("fs") or self.fs
+        each = self.get(("spectrum", fs, method, nperseg), lambda: kernels.spectrum(self.recordings, fs, method, nperseg))
+        return self.get(("spectrum", fs, method, nperseg, "mean"), lambda: spectral.average(each)) if average else each
 
     def sizes(self) -> DataFrame:
         return self.get(("sizes",), lambda: connectivity.sizes(self.recordings))
 
-    def fc(self, positive: bool = False) -> DataFrame:
-        return self.get(("fc", positive), lambda: connectivity.fc_matrix(self.recordings, positive=positive))
+    def fc(self, p: dict) -> DataFrame:
+        positive, function = bool(p.get("positive", False)), p.get("fc_function", "corrcoef")
+        if function not in ("corrcoef", "cov"):
+            raise ValueError(f"unknown fc_function {function}")
+        return self.get(("fc", positive, function), lambda: connectivity.fc_matrix(self.recordings, "corr" if function == "corrcoef" else "cov", positive))
 
-    def fcd(self, width: int) -> DataFrame:
-        return self.get(("fcd", width), lambda: connectivity.fcd_matrix(self.recordings, width))
+    def fcd(self, width: int, mask: str = "full") -> DataFrame:
+        pairs = None if mask == "full" else connectivity.mask_pairs(self.sizes(), mask)
+        return self.get(("fcd", width, mask), lambda: connectivity.fcd_matrix(self.recordings, width, pairs))
 
 
-def _masked(shared: _Shared, name: str, p: dict, statistic: Callable[[DataFrame], DataFrame], columns: list[str]) -> list[DataFrame]:
-    """A statistic of the matrix in each mask named by the parameters, of the whole one for none; labels carry the mask."""
+def _names(p: dict) -> list[str]:
+    """The mask names of the parameters, "full" for none."""
     masks = p.get("masks") or ["full"]
-    masks = [masks] if isinstance(masks, str) else masks
-    of = lambda mask: statistic(connectivity.in_mask(shared.fc(p.get("positive", False)), shared.sizes(), mask))
-    return [_wide(of(m), name, columns).withColumn("label", F.expr(f"replace(label, '{name}', '{name if m == 'full' else f'{name}_{m}'}')")) for m in masks]
+    return [masks] if isinstance(masks, str) else masks
+
+
+def _masked(name: str, p: dict, statistic: Callable[[str], DataFrame], columns: list[str]) -> list[DataFrame]:
+    """A statistic in each mask named by the parameters; labels carry the mask."""
+    return [_wide(statistic(m), name, columns).withColumn("label", F.expr(f"replace(label, '{name}', '{name if m == 'full' else f'{name}_{m}'}')")) for m in _names(p)]
+
+
+def _fc_stat(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    """Statistics of the matrix in each mask: of its entries, and of the eigenvalues, components and quantiles of the matrix with zeros outside the mask."""
+    wanted = [f for f in kernels.SEVEN if f in p["features"]]
+    of = lambda m: connectivity.in_mask(shared.fc(p), shared.sizes(), m)
+    out = _masked(name, p, lambda m: connectivity.stat_ut(of(m), p["k"], shared.sizes()), wanted)
+    for m in _names(p):
+        out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, of(m), shared.sizes(), lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, positive=p["positive"], components=p["pca_num_components"], mask=m, kind=p["fc_function"]), name)
+    return out
+
+
+def _fcd_stat(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    """The same of the windows' matrix over the pairs of each mask. Trials of under two windows get NaN."""
+    width = p["width"] if p.get("win_len") is None else int(p["win_len"] / p["TR"])
+    k = width if p.get("k") is None else p["k"]
+    above = lambda w: F.when(F.isnan(w), w).otherwise(F.greatest(w, F.lit(0.0))) if p["positive"] else w
+    of = lambda m: shared.fcd(width, m).withColumn("w", above(F.col("w")))
+    wanted = [f for f in kernels.SEVEN if f in p["features"]]
+    out = _masked(name, p, lambda m: shared.every_trial(connectivity.stat_ut(of(m), k), wanted), wanted)
+    for m in _names(p):
+        sizes = of(m).groupBy("trial").agg((F.max("j") + 1).alias("n"))
+        out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, of(m), sizes, lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, "fcd", width, p["positive"], p["pca_num_components"], mask=m), name)
+    return out
 
 
 def _spread(name: str, prefix: str, df: DataFrame) -> DataFrame:
@@ -207,17 +270,17 @@ def _spread(name: str, prefix: str, df: DataFrame) -> DataFrame:
     return _wide(df.withColumnsRenamed({k: f"{prefix}_{k}" for k in kernels.SEVEN}), name, [f"{prefix}_{k}" for k in kernels.SEVEN])
 
 
-def _matrix_parts(shared: _Shared, name: str, p: dict, matrix: DataFrame, n: DataFrame, what: str, width: int | None = None) -> list[DataFrame]:
+def _matrix_parts(shared: _Shared, label: str, p: dict, matrix: DataFrame, n: DataFrame, decomposed: Callable[[str], DataFrame], name: str) -> list[DataFrame]:
     """Eigenvalues, principal components and quantiles of a matrix, as the parameters ask."""
     out = []
     if p.get("eigenvalues"):
-        out.append(_spread(name, "eig", connectivity.matrix_kernel(shared.recordings, "eig", of=what, width=width, positive=p.get("positive", False))))
+        out.append(_spread(label, "eig", decomposed("eig")))
     if p.get("pca_num_components"):
-        out.append(_spread(name, "pca", connectivity.matrix_kernel(shared.recordings, "pca", of=what, width=width, positive=p.get("positive", False), components=p["pca_num_components"])))
+        out.append(_spread(label, "pca", decomposed("pca")))
     if p.get("quantiles"):
         columns = [f"q{100 * q:g}".replace(".", "p") for q in p["quantiles"]]
-        out.append(_wide(connectivity.stat_quantile(matrix, n, p["quantiles"]).toDF("trial", *columns), name, columns))
-    return out
+        out.append(_wide(shared.every_trial(connectivity.stat_quantile(matrix, n, p["quantiles"]).toDF("trial", *columns), columns), label, columns))
+    return [df.withColumn("feature", F.lit(name)) for df in out]
 
 
 def _pairs(shared: _Shared, p: dict) -> DataFrame:
@@ -232,67 +295,126 @@ def _pairs(shared: _Shared, p: dict) -> DataFrame:
 
 
 def _statistics(shared: _Shared, names: list[str], on: dict) -> list[DataFrame]:
-    plain = stats.long(stats.region_stats(shared.signal, names, shared.fs), names)
-    return [plain.select("trial", "feature", "label", "value")]
+    """Plain statistics of series; those of the same regions and options in one pass."""
+    groups: dict[str, list[str]] = {}
+    for n in names:
+        groups.setdefault(json.dumps([on[n].get(k) for k in ("indices", "fs", "threshold", "dx", "x")]), []).append(n)
+    # Options that no member of the common group has do not split it.
+    plain = [n for n in names if not any(on[n].get(k) is not None for k in ("indices", "fs", "dx", "x")) and on[n].get("threshold", 0.02) == 0.02]
+    members = [plain, *([n for n in g if n not in plain] for g in groups.values())]
+    out = []
+    for group in (g for g in members if g):
+        p = on[group[0]]
+        options = {k: p[k] for k in ("threshold", "dx", "x") if p.get(k) is not None}
+        found = stats.region_stats(shared.at(p).signal, group, p.get("fs") or shared.fs, gated=False, **options)
+        out.append(stats.long(found, group).select("trial", "feature", "label", "value"))
+    return out
 
 
 def _spectral(shared: _Shared, names: list[str], on: dict) -> list[DataFrame]:
     """Statistics of spectra; those of one spectrum in one pass."""
     groups: dict[tuple, list[str]] = {}
     for n in names:
-        groups.setdefault(tuple(on[n].get(k) for k in ("method", "nperseg", "average")), []).append(n)
+        groups.setdefault(json.dumps([on[n].get(k) for k in ("fs", "method", "nperseg", "average", "indices")]), []).append(n)
     out = []
     for members in groups.values():
-        found = spectral.stats(shared.spectrum(on[members[0]]), members).unpivot(["trial", "region"], members, "feature", "value")
+        found = spectral.stats(shared.at(on[members[0]]).spectrum(on[members[0]]), members).unpivot(["trial", "region"], members, "feature", "value")
         out.append(found.select("trial", "feature", F.concat_ws("_", "feature", "region").alias("label"), "value"))
     return out
 
 
+def _hmm(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    """Durations and transitions of one path a trial (of="trial"), or of a path a series under one model for all (of="series")."""
+    s = shared.at(p, "node_indices")
+    if p["of"] == "series":
+        path = s.get(("hmm", p["n_states"], p["n_iter"]), lambda: states.fit_hmm(s.recordings, p["n_states"], p["n_iter"]))
+    else:
+        path = s.get(("hmm", p["n_states"], p["n_iter"], p["starts"], p["seed"]), lambda: states.fit_trials(s.recordings, p["n_states"], p["n_iter"], p["starts"], p["seed"]).withColumn("region", F.lit(0)))
+    return [_labelled(states.summary(path, p["n_states"], p["bins"], p["tcut"]).withColumnRenamed("label", "what"), name, "what", "region")]
+
+
+def _entropy(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    s = shared.at(p)
+    kinds = {"standard": lambda: infotheory.entropy_bin(s.signal, p["digits"]), "gauss": lambda: infotheory.entropy_gauss(s.signal), "kde": lambda: infotheory.entropy_kde(s.signal)}
+    if p["prob"] not in kinds:
+        raise ValueError(f"unknown prob {p['prob']}; there are {sorted(kinds)}")
+    found = kinds[p["prob"]]()
+    return [_labelled(found.groupBy("trial").agg(F.avg("value").alias("value")), name) if p["average"] else _labelled(found, name, "region")]
+
+
+def _of_pairs(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    """An estimate for each pair, less that of shuffled sources where surrogates are asked for, or the mean over the pairs."""
+    pairs = _pairs(shared, p)
+    if name == "calc_te":
+        found = infotheory.transfer_entropy(shared.recordings, pairs, p["k"], p["delay"])
+    elif p["num_surrogates"]:
+        found = infotheory.surrogate_null(shared.recordings, pairs, p["num_surrogates"], p["k"], p["seed"], p["time_diff"])
+    else:
+        found = infotheory.mutual_information(shared.recordings, pairs, p["k"], p["time_diff"])
+    return [_labelled(infotheory.pooled(found), name) if p["average"] else _labelled(found, name, "source", "target")]
+
+
+def _characteristics(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    """One canonical characteristic, or for "catch22" all that the parameters name; catch24 adds mean and deviation."""
+    s = shared.at(p)
+    if name != "catch22":
+        return [_labelled(catch22.feature(name, s.signal, s.recordings), name, "region")]
+    extra = ("DN_Mean", "DN_Spread_Std")
+    names = p["features"] or [n for n in catch22.NAMES if n not in extra]
+    names = [*names, *(n for n in extra if p["catch24"] and n not in names)]
+    return [_labelled(catch22.feature(n, s.signal, s.recordings), n, "region").withColumn("feature", F.lit(name)) for n in names]
+
+
+def _wavelet(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
+    s = shared.at(p)
+    key = ("cwt", tuple(p["widths"]))
+    found = s.get(key, lambda: spectral.wavelet_stats(spectral.cwt(s.recordings, p["widths"])))
+    return [_labelled(found.select("trial", "region", "width", F.col(name.removeprefix("wavelet_")).alias("value")), name, "width", "region")]
+
+
 #: Other features: name -> function of (what features share, name, parameters) giving tables (trial, feature, label, value).
 FEATURES: dict[str, Callable[[_Shared, str, dict], list[DataFrame]]] = {
-    "calc_moments": lambda s, n, p: [_labelled(stats.moments(s.signal, p["orders"]), n, "k", "region")],
+    "calc_moments": lambda s, n, p: [_labelled(stats.moments(s.at(p).signal, p["orders"]), n, "k", "region")],
     "calc_envelope": lambda s, n, p: [
-        _labelled(spectral.envelope(kernels.analytic_signal(s.recordings)).filter(F.regexp_extract("label", "([a-z]+)$", 1).isin(p["features"])).withColumnRenamed("label", "what"), n, "what", "region")
-    ],
-    "kop": lambda s, n, p: [_labelled(stats.kuramoto(kernels.analytic_signal(s.recordings).select("trial", "region", "t", F.col("phase").alias("v")) if p.get("extract_phase") else s.signal), n)],
-    "auc_lim": lambda s, n, p: [_labelled(stats.auc_limits(s.signal, p["xlim"]), n, "interval", "region")],
-    "spectrum_stats": lambda s, n, p: [
-        _labelled(spectral.stats(s.spectrum(p), p["features"]).unpivot(["trial", "region"], p["features"], "what", "value"), n, "what", "region")
-    ],
-    "spectrum_moments": lambda s, n, p: [_labelled(spectral.moments(s.spectrum(p), p["moments"], p["normalize"]), n, "order", "region")],
-    "spectrum_auc": lambda s, n, p: [_labelled(spectral.band_auc(s.spectrum(p), p["bands"]), n, "band", "region")],
-    "psd_raw": lambda s, n, p: [_labelled(spectral.psd_raw(s.spectrum(p), p["df"], p["bands"], p["normalize"], p["normalize_to"]), n, "band", "g", "region")],
-    "fc_sum": lambda s, n, p: _masked(s, n, p, lambda m: connectivity.fc_sum(m).withColumnRenamed("value", "sum"), ["sum"]) if p.get("masks") else [_labelled(connectivity.fc_sum(s.fc(p.get("positive", False))), n)],
-    "fc_stat": lambda s, n, p: _masked(s, n, p, lambda m: connectivity.stat_ut(m, p["k"], s.sizes()), list(kernels.SEVEN)) + _matrix_parts(s, n, p, s.fc(p.get("positive", False)), s.sizes(), "fc"),
-    "fc_homotopic": lambda s, n, p: [
-        _labelled(connectivity.fc_homotopic(s.fc(), s.sizes(), p["positive"], p["average"]), n, *([] if p["average"] else ["i"]))
-    ],
-    "fcd_stat": lambda s, n, p: [_wide(connectivity.stat_ut(s.fcd(p["width"]), p["width"] if p.get("k") is None else p["k"]), n, list(kernels.SEVEN))]
-    + _matrix_parts(s, n, p, s.fcd(p["width"]), s.fcd(p["width"]).groupBy("trial").agg((F.max("j") + 1).alias("n")), "fcd", p["width"]),
-    "hmm_stat": lambda s, n, p: [
-        _labelled(states.summary(s.get(("hmm", p["n_states"], p["n_iter"]), lambda: states.fit_hmm(s.recordings, p["n_states"], p["n_iter"])), p["n_states"], p["bins"], p["tcut"]).withColumnRenamed("label", "what"), n, "what", "region")
-    ],
-    "calc_entropy": lambda s, n, p: [
-        _labelled(infotheory.entropy_nearest(s.signal).groupBy("trial").agg(F.avg("value").alias("value")), n) if p.get("average") else _labelled(infotheory.entropy_nearest(s.signal), n, "region")
+        _labelled(spectral.envelope(kernels.analytic_signal(s.at(p).recordings)).filter(F.regexp_extract("label", "([a-z]+)$", 1).isin(p["features"])).withColumnRenamed("label", "what"), n, "what", "region")
     ],
-    "entropy_bin": lambda s, n, p: [_labelled(infotheory.entropy_bin(s.signal, p["digits"]), n, "region")],
-    "calc_mi": lambda s, n, p: [_labelled(infotheory.mutual_information(s.recordings, _pairs(s, p), p["k"], p["time_diff"]), n, "source", "target")],
-    "calc_te": lambda s, n, p: [_labelled(infotheory.transfer_entropy(s.recordings, _pairs(s, p), p["k"], p["delay"]), n, "source", "target")],
-}
+    "kop": lambda s, n, p: [_labelled(stats.kuramoto(kernels.analytic_signal(s.at(p).recordings).select("trial", "region", "t", F.col("phase").alias("v")) if p.get("extract_phase") else s.at(p).signal), n)],
+    "auc_lim": lambda s, n, p: [_labelled(stats.auc_limits(s.at(p).signal, p["xlim"]), n, "interval", "region")],
+    "spectrum_stats": lambda s, n, p: [_labelled(spectral.stats(s.at(p).spectrum(p), p["features"]).unpivot(["trial", "region"], p["features"], "what", "value"), n, "what", "region")],
+    "spectrum_moments": lambda s, n, p: [_labelled(spectral.moments(s.at(p).spectrum(p), p["moments"], p["normalize"]), n, "order", "region")],
+    "spectrum_auc": lambda s, n, p: [_labelled(spectral.band_auc(s.at(p).spectrum(p), p["bands"]), n, "band", "region")],
+    "psd_raw": lambda s, n, p: [_labelled(spectral.psd_raw(s.at(p).spectrum(p), p["df"], p["bands"], p["normalize"], p["normalize_to"]), n, "band", "g", "region")],
+    "fc_sum": lambda s, n, p: _masked(n, p, lambda m: connectivity.fc_sum(connectivity.in_mask(s.fc(p), s.sizes(), m)).withColumnRenamed("value", "sum"), ["sum"]) if p.get("masks") else [_labelled(connectivity.fc_sum(s.fc(p)), n)],
+    "fc_stat": _fc_stat,
+    "fc_homotopic": lambda s, n, p: [_labelled(connectivity.fc_homotopic(s.fc({**p, "positive": False}), s.sizes(), p["positive"], p["average"]), n, *([] if p["average"] else ["i"]))],
+    "fcd_stat": _fcd_stat,
+    "coactivation_degree": lambda s, n, p: [_labelled(connectivity.coactivation_degree(s.at(p).signal), n, "t", "region")],
+    "coactivation_phase": lambda s, n, p: [_labelled(connectivity.coactivation_phase(s.at(p).recordings), n, "region")],
+    "hmm_stat": _hmm,
+    "calc_entropy": lambda s, n, p: [_labelled(infotheory.entropy_pooled(s.signal), n) if p.get("average") else _labelled(infotheory.entropy_nearest(s.signal), n, "region")],
+    "entropy_bin": _entropy,
+    "calc_mi": _of_pairs,
+    "calc_te": _of_pairs,
+} | {n: _wavelet for n in WAVELETS} | {n: _characteristics for n in (*catch22.NAMES, "catch22")}
 
 
 def extract(signal: DataFrame, config: dict, fs: float = 1.0, steps: dict | None = None) -> DataFrame:
-    """(trial, feature, label, value) of every enabled feature. ``fs`` of the call wins over the configuration.
+    """(trial, feature, label, value) of every enabled feature. ``fs`` is that of the call, unless a feature has its own.
 
-    Statistics of series are one pass over the signal, those of one spectrum one pass over it; matrices, spectra and
+    A trial with a sample that is null or not finite is NaN on every label, as is what a constant or short series leaves undefined;
+    other trials are not touched by it. Its samples are replaced before features run, so that none fails or leaves a label out. Statistics of series are one pass over the signal, those of one spectrum one pass over it; matrices, spectra and
     state paths are planned once for all features that read them.
     """
     if steps:
         signal = preprocess(signal, steps, fs)
-    shared = _Shared(signal, fs)
+    # Bad trials are few; they are looked up, not sorted out.
+    bad = signal_model.finite_trials(signal).filter("not ok").select("trial", F.lit(True).alias("bad"))
+    stand_in = F.pmod(F.xxhash64("trial", "region", "t"), F.lit(1_000_003)) / 1_000_003
+    shared = _Shared(signal.join(bad, "trial", "left").withColumn("v", F.when(F.col("bad"), stand_in).otherwise(F.col("v"))).drop("bad"), fs)
     on = {f: v["parameters"] for fs_ in config.values() for f, v in fs_.items() if v.get("use", True)}
     out: list[DataFrame] = []
-    for family, run in ((STATISTICS + TEMPORAL, _statistics), (SPECTRAL, _spectral)):
+    spectral_names = (*SPECTRAL, "spectral_spread")
+    for family, run in ((STATISTICS + TEMPORAL, _statistics), (spectral_names, _spectral)):
         names = [f for f in on if f in family]
         out += run(shared, names, on) if names else []
     for name, p in on.items():
@@ -301,11 +423,10 @@ def extract(signal: DataFrame, config: dict, fs: float = 1.0, steps: dict | None
         elif name in FEATURES:
             defaults = next(v[name]["parameters"] for v in default_config().values() if name in v)
             out += FEATURES[name](shared, name, defaults | p)
-        elif name in catch22.NAMES:
-            out.append(_labelled(catch22.feature(name, signal, shared.recordings), name, "region"))
-        elif name not in STATISTICS + TEMPORAL + SPECTRAL:
+        elif name not in (*STATISTICS, *TEMPORAL, *spectral_names):
             raise ValueError(f"unknown feature {name}")
-    return stats.union(out)
+    found = stats.union(out).join(bad, "trial", "left")
+    return found.select("trial", "feature", "label", F.when(F.col("bad"), F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
 
 
 def wide(features: DataFrame, labels: list[str] | None = None) -> DataFrame:

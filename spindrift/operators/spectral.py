@@ -22,6 +22,12 @@ def average(spec: DataFrame) -> DataFrame:
     return spec.groupBy("trial", "k").agg(F.first("freq").alias("freq"), F.avg("mag").alias("mag")).select("trial", F.lit(0).alias("region"), "k", "freq", "mag")
 
 
+def levels(spec: DataFrame) -> DataFrame:
+    """(trial, region, k, freq, mag): every spectrum and, with a null region, the mean one of each trial, in one set of groups."""
+    found = spec.groupingSets([["trial", "region", "k"], ["trial", "k"]], "trial", "region", "k").agg(F.min("freq").alias("freq"), F.avg("mag").alias("mag"))
+    return found.select("trial", "region", "k", "freq", "mag")
+
+
 def _helped(spec: DataFrame) -> DataFrame:
     """With neighbours, running sum, totals and centroid; one sort of each spectrum serves all."""
     by_bin = series().orderBy("k")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators.kernels import forward_backward, viterbi
+from spindrift.operators.kernels import forward_backward, per_trial, viterbi
 from spindrift.operators.signal import in_time
 
 
@@ -46,6 +46,84 @@ def summary(path: DataFrame, n_states: int, bins: int = 10, longest: int = 100)
     return first.unionByName(second)
 
 
+def _log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """[starts x samples x states]: log densities of normal distributions with full covariances."""
+    root = np.linalg.cholesky(cov)
+    scaled = np.linalg.solve(root[:, :, None], (x[None, None] - mean[:, :, None])[..., None])[..., 0] if x.shape[1] < 2 else np.moveaxis(np.linalg.solve(root, np.moveaxis(x[None, None] - mean[:, :, None], 2, 3)), 3, 2)
+    half = np.log(np.diagonal(root, axis1=2, axis2=3)).sum(axis=2)
+    return np.moveaxis(-0.5 * (scaled**2).sum(axis=3) - half[..., None] - 0.5 * x.shape[1] * np.log(2 * np.pi), 1, 2)
+
+
+def _posterior(log_b: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State probabilities, expected transitions and log-likelihood for several models at once; each sample is scaled by its largest density."""
+    top = log_b.max(axis=2, keepdims=True)
+    b = np.exp(log_b - top)
+    s, n, k = b.shape
+    alpha, scale, beta = np.empty((s, n, k)), np.empty((s, n)), np.ones((s, n, k))
+    for t in range(n):
+        now = (start if t == 0 else np.einsum("si,sij->sj", alpha[:, t - 1], step)) * b[:, t]
+        scale[:, t] = now.sum(axis=1)
+        alpha[:, t] = now / scale[:, t, None]
+    for t in range(n - 2, -1, -1):
+        beta[:, t] = np.einsum("sij,sj->si", step, b[:, t + 1] * beta[:, t + 1]) / scale[:, t + 1, None]
+    ahead = b[:, 1:] * beta[:, 1:] / scale[:, 1:, None]
+    both = np.einsum("sti,stj->sij", alpha[:, :-1], ahead) * step
+    return alpha * beta, both, np.log(scale).sum(axis=1) + top[..., 0].sum(axis=1)
+
+
+def fit_path(x: np.ndarray, n_states: int, rounds: int, starts: int, seed: int, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """The most likely states of a [samples x regions] recording under a hidden Markov model with normal emissions, and the model's log-likelihood.
+
+    Several models start from random samples as means and are fitted side by side, until none gains; the likeliest one decides. States are
+    numbered by the mean of the first region. Covariances keep a thousandth of the regions' variances, so they stay regular.
+    """
+    n, d = x.shape
+    rng, k = np.random.default_rng(seed), min(n_states, n)
+    ridge = np.diag(np.maximum(x.var(axis=0), 1e-12)) * 1e-3
+    mean = np.stack([x[np.sort(rng.choice(n, k, replace=False))] for _ in range(starts)])
+    cov = np.broadcast_to(np.atleast_2d(np.cov(x.T, bias=True)) + ridge, (starts, k, d, d)).copy()
+    start, step = np.full((starts, k), 1 / k), np.broadcast_to(np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), (starts, k, k)).copy()
+    last = np.full(starts, -np.inf)
+    for _ in range(rounds):
+        gamma, both, likelihood = _posterior(_log_normal(x, mean, cov), start, step)
+        if (likelihood - last <= tolerance * np.abs(likelihood)).all():
+            break
+        last = likelihood
+        weight = np.maximum(gamma.sum(axis=1), 1e-10)
+        start, step = gamma[:, 0] / gamma[:, 0].sum(axis=1, keepdims=True), (both + 1e-12) / (both + 1e-12).sum(axis=2, keepdims=True)
+        mean = np.einsum("stk,td->skd", gamma, x) / weight[..., None]
+        apart = x[None, :, None] - mean[:, None]
+        cov = np.einsum("stk,stkd,stke->skde", gamma, apart, apart, optimize=True) / weight[..., None, None] + ridge
+    log_b = _log_normal(x, mean, cov)
+    likelihood = _posterior(log_b, start, step)[2]
+    best = int(likelihood.argmax())
+    with np.errstate(divide="ignore"):
+        log_step, score = np.log(step[best]), np.log(start[best]) + log_b[best, 0]
+    back, path = np.zeros((n, k), int), np.empty(n, np.int32)
+    for t in range(1, n):
+        through = score[:, None] + log_step
+        back[t], score = through.argmax(axis=0), through.max(axis=0) + log_b[best, t]
+    path[-1] = score.argmax()
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return np.argsort(np.argsort(mean[best][:, 0], kind="stable"))[path].astype(np.int32), float(likelihood[best])
+
+
+def fit_trials(recordings: DataFrame, n_states: int = 4, rounds: int = 20, starts: int = 3, seed: int = 0) -> DataFrame:
+    """(trial, t, state): the most likely path of each trial under a model of its own over all its regions together.
+
+    Regions with a value that is not finite, or shorter than the longest one, are left out; a trial without any region left has no rows. A trial is one task's
+    work: the recursion over its samples holds states, not regions.
+    """
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        x = x[np.isfinite(x).all(axis=1)]
+        path = fit_path(x.T, n_states, rounds, starts, seed)[0] if x.size else np.zeros(0, np.int32)
+        return {"t": np.arange(len(path), dtype=np.int32), "state": path}
+
+    return per_trial(recordings, run, "t int, state int")
+
+
 def fit_hmm(recordings: DataFrame, n_states: int = 4, rounds: int = 20) -> DataFrame:
     """(trial, region, t, state): most likely path of every series under one model fitted to all of them.
 
@@ -83,4 +161,6 @@ def fit_hmm(recordings: DataFrame, n_states: int = 4, rounds: int = 20) -> DataF
             paths = [viterbi(np.asarray(x.values.to_numpy(zero_copy_only=False), float), *model) for x in batch.column("v")]
             yield pa.RecordBatch.from_arrays([batch.column("trial"), batch.column("region"), pa.array(paths, pa.list_(pa.int32()))], ["trial", "region", "path"])
 
-    return series.mapInArrow(decode, "trial bigint, region int, path array<int>").select("trial", "region", F.posexplode("path").alias("t", "state"))
+    # The path is lazy and reads the series again; the parts kept for the rounds are let go.
+    series.unpersist()
+    return recordings.select("trial", "region", "v").mapInArrow(decode, "trial bigint, region int, path array<int>").select("trial", "region", F.posexplode("path").alias("t", "state"))

@@ -22,8 +22,13 @@ def _burstiness() -> Column:
     return F.when(F.first("trial_mean") == 0, 0.0).otherwise(F.try_divide(ratio - 1, ratio + 1))
 
 
-def simple(fs: float = 1.0) -> dict[str, Column]:
-    """Name -> aggregate over a series with the columns v, t, m (mean), med (median), trial_mean, d (step), s (sign change)."""
+def simple(fs: float = 1.0, threshold: float = 0.02, dx: float = 1.0, x: list[float] | None = None) -> dict[str, Column]:
+    """Name -> aggregate over a series with the columns v, t, m (mean), med (median), trial_mean, d (step), s (sign change).
+
+    A seizure starts at the largest step if that is at least the threshold. The area's samples are dx apart, or stand at the places x.
+    """
+    at = F.array(*[F.lit(float(a)) for a in x or []]).cast("array<double>")
+    gap = F.lit(float(dx)) if x is None else F.get(at, F.col("t") + 1) - F.get(at, F.col("t"))
     x = F.col("v") - F.col("m")
     return {
         "abs_energy": F.sum(F.col("v") * F.col("v")),
@@ -43,8 +48,8 @@ def simple(fs: float = 1.0) -> dict[str, Column]:
         "burstiness": _burstiness(),
         "calc_centroid": _centroid(fs),
         "zero_crossing": F.sum(F.coalesce(F.col("s"), F.lit(0))).cast("double"),
-        "seizure_onset": F.when(F.max("d") < 0.02, 0.0).otherwise(F.max_by(F.col("t"), F.struct("d", -F.col("t"))).cast("double")),
-        "auc": F.coalesce(F.sum(F.col("v") + F.col("d") / 2), F.lit(0.0)),
+        "seizure_onset": F.when(F.max("d") < threshold, 0.0).otherwise(F.max_by(F.col("t"), F.struct("d", -F.col("t"))).cast("double")),
+        "auc": F.coalesce(F.sum((F.col("v") + F.col("d") / 2) * gap), F.lit(0.0)),
     }
 
 
@@ -63,9 +68,9 @@ def _needs(names: list[str], signal: DataFrame) -> DataFrame:
     return signal
 
 
-def region_stats(signal: DataFrame, names: list[str], fs: float = 1.0, gated: bool = True) -> DataFrame:
-    """(trial, region, one column a feature). A trial with a value that is not finite gets NaN throughout."""
-    table = simple(fs)
+def region_stats(signal: DataFrame, names: list[str], fs: float = 1.0, gated: bool = True, **options) -> DataFrame:
+    """(trial, region, one column a feature). A trial with a value that is not finite gets NaN throughout. options: as in ``simple``."""
+    table = simple(fs, **options)
     unknown = [n for n in names if n not in table]
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
