@@ -104,10 +104,10 @@ def spread(signal: DataFrame) -> DataFrame:
 
 
 def _kernel(fn):
-    """A statistic of each z-scored series by a kernel, where the series is."""
+    """A statistic of each z-scored series by a kernel, where the series is; NaN for a series of under two samples."""
 
     def run(recordings: DataFrame) -> DataFrame:
-        return kernels.per_series(recordings, lambda x: [fn(kernels.standard(x))]).select("trial", "region", F.get("v", F.lit(0)).alias("value"))
+        return kernels.per_series(recordings, lambda x: [fn(kernels.standard(x)) if len(x) > 1 else float("nan")]).select("trial", "region", F.get("v", F.lit(0)).alias("value"))
 
     return run
 

@@ -533,8 +533,8 @@ def periodicity(x: np.ndarray, threshold: float = 0.01) -> float:
 
 
 def embedding_fit(x: np.ndarray) -> float:
-    """Mean distance between the histogram of successive steps in a two-dimensional embedding and an exponential of their mean."""
-    tau = min(first_zero(x), max(1, len(x) // 10))
+    """Mean distance between the histogram of successive steps in a two-dimensional embedding and an exponential of their mean; 0 for a constant series."""
+    tau = max(1, min(first_zero(x), len(x) // 10))
     d = np.hypot(np.diff(x[:-tau]), np.diff(x[tau:]))
     if len(d) < 2 or d.std() == 0:
         return 0.0
