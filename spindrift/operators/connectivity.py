@@ -152,8 +152,8 @@ def masked(matrix: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def in_mask(matrix: DataFrame, n: DataFrame, name: str) -> DataFrame:
-    """The entries that a named mask of the trial's regions has, without making the mask."""
-    return matrix if name == "full" else matrix.join(n, "trial").filter(_rule(name)).drop("n")
+    """The matrix with zeros where a named mask of the trial's regions has none, without making the mask; NaN stays NaN."""
+    return matrix if name == "full" else matrix.join(n, "trial").withColumn("w", F.when(_rule(name), F.col("w")).otherwise(F.col("w") * 0)).drop("n")
 
 
 def fc_sum(matrix: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def matrix_kernel(recordings: DataFrame, what: str, of: str = "fc", width: int |
             a = np.maximum(a, 0) if positive else a
             np.fill_diagonal(a, 0)
             if of == "fc":
-                a = np.where(_pairs_of(mask, *np.indices(a.shape), len(a)), a, 0)
+                a = a * _pairs_of(mask, *np.indices(a.shape), len(a))
             # A matrix with an entry that is not finite has no decomposition.
             if np.isfinite(a).all():
                 values = kernels.eigen_stats(a) if what == "eig" else kernels.pca_stats(a, components)

@@ -242,10 +242,10 @@ def _masked(name: str, p: dict, statistic: Callable[[str], DataFrame], columns:
 
 
 def _fc_stat(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
-    """Statistics of the matrix in each mask: of its entries, and of the eigenvalues, components and quantiles of the matrix with zeros outside the mask."""
+    """Statistics of the matrix with zeros outside each mask: of its entries, eigenvalues, components and quantiles."""
     wanted = [f for f in kernels.SEVEN if f in p["features"]]
     of = lambda m: connectivity.in_mask(shared.fc(p), shared.sizes(), m)
-    out = _masked(name, p, lambda m: connectivity.stat_ut(of(m), p["k"], shared.sizes()), wanted)
+    out = _masked(name, p, lambda m: connectivity.stat_ut(of(m), p["k"], shared.sizes()), wanted) if wanted else []
     for m in _names(p):
         out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, of(m), shared.sizes(), lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, positive=p["positive"], components=p["pca_num_components"], mask=m, kind=p["fc_function"]), name)
     return out
@@ -258,7 +258,7 @@ def _fcd_stat(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
     above = lambda w: F.when(F.isnan(w), w).otherwise(F.greatest(w, F.lit(0.0))) if p["positive"] else w
     of = lambda m: shared.fcd(width, m).withColumn("w", above(F.col("w")))
     wanted = [f for f in kernels.SEVEN if f in p["features"]]
-    out = _masked(name, p, lambda m: shared.every_trial(connectivity.stat_ut(of(m), k), wanted), wanted)
+    out = _masked(name, p, lambda m: shared.every_trial(connectivity.stat_ut(of(m), k), wanted), wanted) if wanted else []
     for m in _names(p):
         sizes = of(m).groupBy("trial").agg((F.max("j") + 1).alias("n"))
         out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, of(m), sizes, lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, "fcd", width, p["positive"], p["pca_num_components"], mask=m), name)

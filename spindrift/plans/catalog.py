@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators import stats as A
-from spindrift.plans import base, catch22, connectivity, files, posterior, spectral, stats  # noqa: F401  registration
+from spindrift.plans import base, catch22, connectivity, files, parameters, posterior, spectral, stats  # noqa: F401  registration
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

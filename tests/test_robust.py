@@ -74,6 +74,7 @@ def test_parameters_reach_the_features(spark):
     between = np.where((np.arange(5) < 2)[:, None] == (np.arange(5) < 2), 0, np.corrcoef(x))
     got = run("fc_stat", masks=["interh"], quantiles=[0.5])
     assert got["fc_stat_interh_eig_mean"] == pytest.approx(np.sort(np.linalg.eigvalsh(between))[1:].mean()) and got["fc_stat_interh_q50"] == pytest.approx(np.median(between))
+    assert got["fc_stat_interh_mean"] == pytest.approx(between[i, j].mean()) and got["fc_stat_interh_std"] == pytest.approx(between[i, j].std())
     vectors = kernels.sliding(x, 20, np.arange(51))
     keep = (i < 2) == (j < 2)
     fcd = np.corrcoef(vectors[:, keep])
