@@ -31,22 +31,28 @@ PAGE = 1024
 NO_ID = -(2**63)
 
 
-def terms(text: Column) -> Column:
-    """Sorted distinct numbers of the words of a text, A-Z lower-cased."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.array_distinct(F.split(lowered, SPACE)), lambda w: w != "")
-    return F.sort_array(F.transform(words, lambda w: F.conv(F.substring(F.md5(F.encode(w, "utf-8")), 1, BITS // 4), 16, 10).cast("bigint")))
+def words(text: Column) -> Column:
+    """Distinct words of a text, A-Z lower-cased."""
+    # lower() is the faster one, but also lowers letters beyond A-Z.
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.array_remove(F.array_distinct(F.split(lowered, SPACE)), "")
+
+
+def number(word: Column) -> Column:
+    """The number of a word as a term."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, BITS // 4), 16, 10).cast("bigint")
 
 
 def lexicon(documents: DataFrame) -> DataFrame:
-    """(term) in the band, of documents (text), null texts as empty ones.
+    """(key, term) of the words in the band, of documents (text), null texts as empty ones: a fast 64-bit hash to look them up by, and their number.
 
     Counts cover all documents. A document has few distinct words, so the terms that one in RARE has are fewer than
     RARE times their mean number, however many documents there are.
     """
     n = documents.select(F.count("*").alias("n"))
-    counts = documents.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.filter((F.col("df") * RARE >= n.scalar()) & (F.col("df") * COMMON <= n.scalar())).select("term")
+    counts = documents.select(F.explode(words(text_or_empty())).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    kept = counts.filter((F.col("df") * RARE >= n.scalar()) & (F.col("df") * COMMON <= n.scalar()))
+    return kept.groupBy(F.xxhash64("word").alias("key")).agg(F.min(number(F.col("word"))).alias("term"))
 
 
 class Lexicon:
@@ -54,44 +60,53 @@ class Lexicon:
 
     def __init__(self, kept: DataFrame):
         spark, kept = kept.sparkSession, stored(kept, "imatch-lexicon")
-        self.slots = 1 << max(0, (kept.count() - 1).bit_length())
+        self.slots = max(PAGE, 1 << max(0, (kept.count() - 1).bit_length()))
         self.name = f"lexicon_{uuid.uuid4().hex}"
-        filled = kept.groupBy(self._slot(F.col("term")).alias("slot")).agg(F.collect_list("term").alias("terms"))
+        slot = F.col("key").bitwiseAND(F.lit(self.slots - 1))
+        filled = kept.groupBy(slot.alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct("key", "term"))).alias("terms"))
         # In two steps, as a map of all slots would be built a second time for every look into it.
         page = filled.groupBy(F.floor(F.col("slot") / PAGE).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot") % PAGE, "terms"))).alias("m"))
-        full = page.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.col("m")[i.cast("bigint")], F.array().cast("array<bigint>"))).alias("lists"))
-        numbers = spark.range(-(-self.slots // PAGE)).withColumnRenamed("id", "page")
-        pages = stored(numbers.join(full, "page", "left").select("page", F.coalesce("lists", F.array().cast("array<array<bigint>>")).alias("lists")), "imatch-pages")
-        table = pages.agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "lists"))), lambda p: p["lists"]).alias("table"))
+        none = F.create_map().cast("map<bigint,bigint>")
+        full = page.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.col("m")[i.cast("bigint")], none)).alias("lists"))
+        numbers = spark.range(self.slots // PAGE).withColumnRenamed("id", "page")
+        pages = stored(numbers.join(full, "page", "left").select("page", F.coalesce("lists", F.array().cast("array<map<bigint,bigint>>")).alias("lists")), "imatch-pages")
+        # Pages in the order of their numbers.
+        table = pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "lists"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(self.slots // PAGE - 1)), lambda p: F.col("m")[p.cast("bigint")]).alias("table"))
         view = f"{self.name}_rows"
         table.createTempView(view)
-        spark.sql(f"declare variable {self.name} array<array<array<bigint>>>")
+        spark.sql(f"declare variable {self.name} array<array<map<bigint,bigint>>>")
         spark.sql(f"set variable {self.name} = (select table from {view})")
         spark.catalog.dropTempView(view)
 
-    def _slot(self, term: Column) -> Column:
-        return F.pmod(term, F.lit(self.slots))
-
     def of(self, found: str) -> Column:
-        """Those of an array column of terms that are in the lexicon; all of them if none is."""
-        slot = lambda t: F.get(F.get(F.expr(self.name), F.floor(self._slot(t) / PAGE).cast("int")), (self._slot(t) % PAGE).cast("int"))
-        kept = F.filter(found, lambda t: F.coalesce(F.array_contains(slot(t), t), F.lit(False)))
-        return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.col(found)))[0]
+        """Sorted numbers of those of an array column of words that are in the lexicon; of all of them if none is."""
+        place = lambda key, mask, shift: F.shiftright(key.bitwiseAND(F.lit(mask)), shift).cast("int")
+        term = lambda key: F.get(F.get(F.expr(self.name), place(key, self.slots - 1, PAGE.bit_length() - 1)), place(key, PAGE - 1, 0))[key]
+        kept = F.array_compact(F.transform(F.transform(F.col(found), lambda w: F.xxhash64(w)), term))
+        return F.sort_array(F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.transform(F.col(found), number)))[0])
 
 
 def hashed(found: Column) -> Column:
     """The hash of sorted terms, '' for none."""
-    return F.when(F.size(found) > 0, F.substring(F.md5(F.encode(F.array_join(found.cast("array<string>"), ","), "utf-8")), 1, 8)).otherwise("")
+    return F.when(F.size(found) > 0, F.substring(F.md5(F.array_join(found.cast("array<string>"), ",").cast("binary")), 1, 8)).otherwise("")
 
 
 def fingerprint(found: str) -> Column:
     """Hashes of a column of sorted terms: of all, then for each 64th of the lexicon of its terms, of those in a quarter and of those in a sixteenth of it."""
-    part = lambda found, shift, width, value: F.filter(found, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << width) - 1)) == value)
-    # A term's first six bits name its 64th; terms are told apart by three bits at a time, so each is looked at sixteen times.
-    sizes = lambda b: F.transform(F.array(b, part(b, 52, 2, 0), part(b, 50, 4, 0)), hashed)
-    inner = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.transform(F.array(part(c, 54, 3, g)), sizes)[0]))
-    outer = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.transform(F.array(part(F.col(found), 57, 3, g)), inner)[0]))
-    return F.concat(F.array(hashed(F.col(found))), outer)
+    part = lambda found, shift, width: F.filter(found, lambda t: t.bitwiseAND(F.lit(((1 << width) - 1) << shift)) == 0)
+    # The sixteenth is a quarter of the quarter.
+    sizes = lambda b: F.transform(F.array(part(b, 52, 2)), lambda q: F.transform(F.array(b, q, part(q, 50, 2)), hashed))[0]
+    # A term's first six bits name its 64th, so the 64ths of sorted terms are slices of them, found by bisection.
+    a, numbers = F.col(found), lambda n: F.sequence(F.lit(0), F.lit(n))
+    steps = F.filter(F.array(*[F.lit(1 << s) for s in reversed(range(31))]), lambda s: s <= F.size(a))
+
+    def cut(g: Column, steps: Column) -> Column:
+        bound = F.shiftleft(g.cast("bigint"), BITS - 6)
+        return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(a, at + s - 1) < bound, F.lit(False)), at + s).otherwise(at))
+
+    cuts = F.transform(F.array(steps), lambda s: F.transform(numbers(64), lambda g: cut(g, s)))[0]
+    of = lambda c: F.flatten(F.transform(numbers(63), lambda g: F.transform(F.array(F.slice(a, F.get(c, g) + 1, F.get(c, g + 1) - F.get(c, g))), sizes)[0]))
+    return F.concat(F.array(hashed(a)), F.transform(F.array(cuts), of)[0])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -158,16 +173,16 @@ def fingerprints(docs: DataFrame, slot_bytes: int = SLOT_BYTES) -> DataFrame:
         gathered = sifted.filter("maybe").groupBy("k0", "k1").agg(F.first("text").alias("text"), F.count("*").alias("times"))
         once = sifted.filter("not maybe").select("k0", "k1", "text", F.lit(1).cast("bigint").alias("times")).unionByName(gathered)
     seated = with_next(once.select("k0", "k1", "text", "times"), slot_bytes)
-    own = seated.withColumn("terms", terms(F.col("text"))).withColumn("kept", lex.of("terms")).withColumn("mark", fingerprint("kept")).drop("terms", "kept")
+    own = seated.withColumn("words", words(F.col("text"))).withColumn("kept", lex.of("words")).withColumn("mark", fingerprint("kept")).drop("words", "kept")
     order = Window.partitionBy("slot").orderBy("guest", "k0", "k1")
     both = own.withColumn("next_text", F.lead("text").over(order)).withColumn("next_mark", F.lead("mark").over(order)).filter("not guest")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
-    marked = edited.withColumn("terms", terms(F.col("edited"))).withColumn("kept", lex.of("terms")).withColumn("edited_mark", fingerprint("kept"))
+    marked = edited.withColumn("words", words(F.col("edited"))).withColumn("kept", lex.of("words")).withColumn("edited_mark", fingerprint("kept"))
     doc_id = F.when(F.col("k0") > NO_ID, F.col("k0")).cast(kind).alias("doc_id")
     shown = lambda mark: F.array_join(mark, ",")
     result = marked.select(
-        doc_id, "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), shown("mark").alias("fingerprint"), shown("edited_mark").alias("edited_fingerprint"),
+        doc_id, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown("mark").alias("fingerprint"), shown("edited_mark").alias("edited_fingerprint"),
         likeness("mark", "edited_mark").alias("near_edited"), likeness("mark", "next_mark").alias("near_next"), F.explode(F.expr("array_repeat(0, cast(times as int))")).alias("_"),
     )
     return result.drop("_")
