@@ -139,9 +139,12 @@ query("stream_session_stats", f"{GAP} select cast(floor(epoch(min(ts))) as bigin
     lambda s, d: _stamped(_run(s, X.session_stats(events(s, d), "30 minutes")), "start", "finish")
 )
 TICKS = f"with tk as (select date_trunc('day', ts) as tick, series, avg(value) as value from (select {SERIES}) group by date_trunc('day', ts), series having date_trunc('day', ts) + interval 1 day <= {FINAL})"
-query("stream_fc", f"{TICKS} select cast(floor(epoch(time_bucket(interval 7 day, a.tick, timestamp '1970-01-01'))) as bigint) as start, a.series as a, b.series as b, count(*) as n, {q('covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)')} as r from tk a join tk b on a.tick = b.tick and a.series < b.series group by all")(
+query("tick_correlation", f"{TICKS} select cast(floor(epoch(time_bucket(interval 7 day, a.tick, timestamp '1970-01-01'))) as bigint) as start, a.series as a, b.series as b, count(*) as n, {q('covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)')} as r from tk a join tk b on a.tick = b.tick and a.series < b.series group by all")(
     lambda s, d: rounded(X.pair_correlation(_run(s, X.tick_means(events(s, d), "1 day")), "7 days"), "r").withColumn("start", F.unix_timestamp("start"))
 )
+query("stream_fc", f"{TICKS}, fc as (select cast(floor(epoch(time_bucket(interval 7 day, a.tick, timestamp '1970-01-01'))) as bigint) as start, a.series as a, b.series as b, count(*) as n, {q('covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)')} as r from tk a join tk b on a.tick = b.tick and a.series < b.series group by all) select * from fc where start + 7 * 86400 <= epoch({FINAL})")(
+    lambda s, d: rounded(_run(s, X.stream_correlation(events(s, d), "1 day", "7 days")), "r").withColumn("start", F.unix_timestamp("start"))
+)
 
 
 @query("stream_onset", f"{TICKS}, st as (select tick, series, lead(value) over (partition by series order by tick) - value as jump from tk) select series, cast(floor(epoch(arg_max(tick, jump))) as bigint) as at, {q('max(jump)')} as jump from st group by series having max(jump) >= 0.02")

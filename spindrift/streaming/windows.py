@@ -41,6 +41,26 @@ def pair_correlation(ticks: DataFrame, every: str) -> DataFrame:
     return met.groupBy("start", "a", "b").agg(F.count("*").alias("n"), r.alias("r"))
 
 
+def stream_correlation(stream: DataFrame, tick: str, every: str, delay: str = "1 hour") -> DataFrame:
+    """(start, a, b, n, r) of a stream (ts, series, value): the correlation of each pair of series over the tick means of each window of time, in one streaming plan.
+
+    Three aggregations follow each other: means a tick and series, the series of a tick side by side, and moments a window
+    and pair, which merge over ticks and batches. A window is given out once the watermark passes its end, and then its state goes; later
+    rows are left out. State holds open ticks and windows: a row a pair and window, a list of the series a tick. Ticks count
+    where both series have a value; a pair whose series has no spread, or has one tick, has a null r. A series that is null is left out.
+    """
+    means = stream.filter("series is not null").withWatermark("ts", delay).groupBy(F.window("ts", tick).alias("w"), "series").agg(F.avg("value").alias("value"))
+    seen = F.when(F.col("value").isNotNull(), F.struct("series", "value"))
+    ticks = means.groupBy("w").agg(F.array_sort(F.collect_list(seen)).alias("s"))
+    one = ticks.select("w", "s", F.posexplode("s").alias("i", "one"))
+    met = one.select("w", "one", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("other"))
+    x, y = F.col("one.value"), F.col("other.value")
+    moments = met.groupBy(F.window(F.window_time("w"), every).alias("v"), F.col("one.series").alias("a"), F.col("other.series").alias("b")).agg(
+        F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r")
+    )
+    return moments.select(F.col("v.start").alias("start"), "a", "b", "n", "r")
+
+
 def onset(ticks: DataFrame, threshold: float = 0.02) -> DataFrame:
     """(series, at, jump): the largest rise from one tick to the next so far, and the tick before it, as state per series.
 
