@@ -256,6 +256,37 @@ def node_param_fit(nodes: DataFrame) -> DataFrame:
     return sums.select(a.alias("a"), b.alias("b"), (F.col("mv") - a * F.col("mx") - b * F.col("my")).alias("c"))
 
 
+def node_poly_fit(nodes: DataFrame, order: int = 3) -> DataFrame:
+    """(term, power, coef): least squares of value on the powers 1 to order of myelin and of gradient and a constant (term one, power 0).
+
+    One pass sums the products of all pairs of basis columns, which tasks do for their rows first; the system, whose size is that of the
+    basis, is solved where its one row is. Columns that depend on others, as a constant myelin, share the solution of least norm
+    (in columns scaled to equal length). Rows with a null or a value that is not finite are left out; without rows, coefficients are null.
+    """
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    names = [("one", 0), *[("myelin", i) for i in range(1, order + 1)], *[("gradient", i) for i in range(1, order + 1)]]
+    basis, m = [F.lit(1.0), *[F.pow(name, F.lit(i)) for name, i in names[1:]]], len(names)
+    whole = nodes.filter(finite("myelin", "gradient", "value"))
+    gram = F.array(*[F.sum(basis[i] * basis[j]) for i in range(m) for j in range(i, m)])
+    sums = whole.agg(gram.alias("gram"), F.array(*[F.sum(b * F.col("value")) for b in basis]).alias("rhs"), F.count("*").alias("n"))
+
+    def solve(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                coef = [None] * m
+                if row.n:
+                    g = np.zeros((m, m))
+                    g[np.triu_indices(m)] = row.gram
+                    g = g + np.triu(g, 1).T
+                    scale = np.sqrt(np.diag(g))
+                    scale[scale == 0] = 1
+                    coef = np.linalg.pinv(g / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (np.array(row.rhs) / scale) / scale
+                yield pd.DataFrame({"term": [t for t, _ in names], "power": [p for _, p in names], "coef": coef}).astype({"coef": "Float64"})
+
+    return sums.mapInPandas(solve, "term string, power int, coef double")
+
+
 def param_broadcast(param: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, set_id, value): rows of (node, set_id, value), null for "all", spread over the grid; the most specific wins."""
     exact = param.filter("node is not null and set_id is not null").select("node", "set_id", F.col("value").alias("v0"))

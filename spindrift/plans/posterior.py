@@ -155,6 +155,7 @@ def draws(s, d):
 query("node_param_expand", f"with {NODES} select cast(n_nationkey as bigint) as trial, region, {q('n_nationkey * 0.1 * myelin + (n_nationkey * 0.2 - 1) * gradient + 0.5')} as value from nation cross join nodes")(lambda s, d: rounded(B.node_param_expand(draws(s, d), nodes(s, d)), "value"))
 FIT = f"with {NODES}, o as (select myelin as x, gradient as y, 2 * myelin - gradient + sin(region) as v from nodes), m as (select covar_pop(x, x) as xx, covar_pop(y, y) as yy, covar_pop(x, y) as xy, covar_pop(x, v) as xv, covar_pop(y, v) as yv, avg(x) as mx, avg(y) as my, avg(v) as mv from o), r as (select *, (yy * xv - xy * yv) / (xx * yy - xy * xy) as a, (xx * yv - xy * xv) / (xx * yy - xy * xy) as b from m)"
 query("node_param_fit", f"{FIT} select {q('a')} as a, {q('b')} as b, {q('mv - a * mx - b * my')} as c from r")(lambda s, d: rounded(B.node_param_fit(nodes(s, d).withColumn("value", 2 * F.col("myelin") - F.col("gradient") + F.sin("region"))), "a", "b", "c"))
+query("node_poly_fit")(lambda s, d: rounded(B.node_poly_fit(nodes(s, d).withColumn("value", 2 * F.col("myelin") - F.col("gradient") + F.sin("region")), 3), "coef", digits=4))
 query("param_broadcast", "select n_nationkey as node, r_regionkey as set_id, cast(case when n_nationkey = 3 and r_regionkey = 2 then 9 when n_nationkey = 3 then 7 when r_regionkey = 1 then 5 else 1 end as double) as value from nation cross join region")(
     lambda s, d: B.param_broadcast(
         s.createDataFrame([(3, 2, 9.0), (3, None, 7.0), (None, 1, 5.0), (None, None, 1.0)], "node int, set_id int, value double"),
