@@ -219,11 +219,16 @@ class _Shared:
     def sizes(self) -> DataFrame:
         return self.get(("sizes",), lambda: connectivity.sizes(self.recordings))
 
-    def fc(self, p: dict) -> DataFrame:
-        positive, function = bool(p.get("positive", False)), p.get("fc_function", "corrcoef")
+    def kind(self, p: dict) -> str:
+        function = p.get("fc_function", "corrcoef")
         if function not in ("corrcoef", "cov"):
             raise ValueError(f"unknown fc_function {function}")
-        return self.get(("fc", positive, function), lambda: connectivity.fc_matrix(self.recordings, "corr" if function == "corrcoef" else "cov", positive))
+        return "corr" if function == "corrcoef" else "cov"
+
+    def matrix(self, p: dict, mask: str, k: int = 1) -> DataFrame:
+        """Statistics of the entries of a matrix, which is not made for them."""
+        positive, kind = bool(p.get("positive", False)), self.kind(p)
+        return self.get(("matrix", positive, kind, mask, k), lambda: connectivity.matrix_stats(self.recordings, k, kind, positive, mask))
 
     def fcd(self, width: int, mask: str = "full") -> DataFrame:
         pairs = None if mask == "full" else connectivity.mask_pairs(self.sizes(), mask)
@@ -244,10 +249,11 @@ def _masked(name: str, p: dict, statistic: Callable[[str], DataFrame], columns:
 def _fc_stat(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
     """Statistics of the matrix with zeros outside each mask: of its entries, eigenvalues, components and quantiles."""
     wanted = [f for f in kernels.SEVEN if f in p["features"]]
-    of = lambda m: connectivity.in_mask(shared.fc(p), shared.sizes(), m)
-    out = _masked(name, p, lambda m: connectivity.stat_ut(of(m), p["k"], shared.sizes()), wanted) if wanted else []
+    kind, positive = shared.kind(p), bool(p["positive"])
+    out = _masked(name, p, lambda m: shared.matrix(p, m, p["k"]), wanted) if wanted else []
+    quantiles = lambda m: connectivity.matrix_quantiles(shared.recordings, p["quantiles"], kind, positive, m)
     for m in _names(p):
-        out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, of(m), shared.sizes(), lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, positive=p["positive"], components=p["pca_num_components"], mask=m, kind=p["fc_function"]), name)
+        out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, lambda m=m: quantiles(m), lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, positive=p["positive"], components=p["pca_num_components"], mask=m, kind=p["fc_function"]), name)
     return out
 
 
@@ -261,7 +267,9 @@ def _fcd_stat(shared: _Shared, name: str, p: dict) -> list[DataFrame]:
     out = _masked(name, p, lambda m: shared.every_trial(connectivity.stat_ut(of(m), k), wanted), wanted) if wanted else []
     for m in _names(p):
         sizes = of(m).groupBy("trial").agg((F.max("j") + 1).alias("n"))
-        out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, of(m), sizes, lambda what, m=m: connectivity.matrix_kernel(shared.recordings, what, "fcd", width, p["positive"], p["pca_num_components"], mask=m), name)
+        quantiles = lambda m=m, sizes=sizes: connectivity.stat_quantile(of(m), sizes, p["quantiles"])
+        decomposed = lambda what, m=m: shared.every_trial(connectivity.edge_kernel(of(m), what, p["pca_num_components"]), list(kernels.SEVEN))
+        out += _matrix_parts(shared, name if m == "full" else f"{name}_{m}", p, quantiles, decomposed, name)
     return out
 
 
@@ -270,7 +278,7 @@ def _spread(name: str, prefix: str, df: DataFrame) -> DataFrame:
     return _wide(df.withColumnsRenamed({k: f"{prefix}_{k}" for k in kernels.SEVEN}), name, [f"{prefix}_{k}" for k in kernels.SEVEN])
 
 
-def _matrix_parts(shared: _Shared, label: str, p: dict, matrix: DataFrame, n: DataFrame, decomposed: Callable[[str], DataFrame], name: str) -> list[DataFrame]:
+def _matrix_parts(shared: _Shared, label: str, p: dict, quantiles: Callable[[], DataFrame], decomposed: Callable[[str], DataFrame], name: str) -> list[DataFrame]:
     """Eigenvalues, principal components and quantiles of a matrix, as the parameters ask."""
     out = []
     if p.get("eigenvalues"):
@@ -279,7 +287,7 @@ def _matrix_parts(shared: _Shared, label: str, p: dict, matrix: DataFrame, n: Da
         out.append(_spread(label, "pca", decomposed("pca")))
     if p.get("quantiles"):
         columns = [f"q{100 * q:g}".replace(".", "p") for q in p["quantiles"]]
-        out.append(_wide(shared.every_trial(connectivity.stat_quantile(matrix, n, p["quantiles"]).toDF("trial", *columns), columns), label, columns))
+        out.append(_wide(shared.every_trial(quantiles().toDF("trial", *columns), columns), label, columns))
     return [df.withColumn("feature", F.lit(name)) for df in out]
 
 
@@ -384,9 +392,9 @@ FEATURES: dict[str, Callable[[_Shared, str, dict], list[DataFrame]]] = {
     "spectrum_moments": lambda s, n, p: [_labelled(spectral.moments(s.at(p).spectrum(p), p["moments"], p["normalize"]), n, "order", "region")],
     "spectrum_auc": lambda s, n, p: [_labelled(spectral.band_auc(s.at(p).spectrum(p), p["bands"]), n, "band", "region")],
     "psd_raw": lambda s, n, p: [_labelled(spectral.psd_raw(s.at(p).spectrum(p), p["df"], p["bands"], p["normalize"], p["normalize_to"]), n, "band", "g", "region")],
-    "fc_sum": lambda s, n, p: _masked(n, p, lambda m: connectivity.fc_sum(connectivity.in_mask(s.fc(p), s.sizes(), m)).withColumnRenamed("value", "sum"), ["sum"]) if p.get("masks") else [_labelled(connectivity.fc_sum(s.fc(p)), n)],
+    "fc_sum": lambda s, n, p: _masked(n, p, lambda m: s.matrix(p, m).withColumnRenamed("sum", "signed").withColumnRenamed("total", "sum"), ["sum"]) if p.get("masks") else [_labelled(s.matrix(p, "full").withColumnRenamed("total", "value"), n)],
     "fc_stat": _fc_stat,
-    "fc_homotopic": lambda s, n, p: [_labelled(connectivity.fc_homotopic(s.fc({**p, "positive": False}), s.sizes(), p["positive"], p["average"]), n, *([] if p["average"] else ["i"]))],
+    "fc_homotopic": lambda s, n, p: [_labelled(connectivity.homotopic(s.recordings, s.kind(p), p["positive"], p["average"]), n, *([] if p["average"] else ["i"]))],
     "fcd_stat": _fcd_stat,
     "coactivation_degree": lambda s, n, p: [_labelled(connectivity.coactivation_degree(s.at(p).signal), n, "t", "region")],
     "coactivation_phase": lambda s, n, p: [_labelled(connectivity.coactivation_phase(s.at(p).recordings), n, "region")],

@@ -65,3 +65,59 @@ def test_a_tile_of_many_pairs_leaves_in_chunks(spark, trials, monkeypatch):
     found = {(r.i, r.j): r.w for r in out.collect()}
     corr = kernels.correlation(trials[0])
     assert found == pytest.approx({(i, j): corr[i, j] for i in range(45) for j in range(i + 1, 45)})
+
+
+@pytest.mark.parametrize("mask, kind, positive", [("full", "corr", False), ("interh", "cov", False), ("intrah", "corr", True)])
+def test_statistics_inside_tiles_equal_those_of_the_matrix(spark, trials, monkeypatch, mask, kind, positive):
+    monkeypatch.setattr(tiles, "CHUNK", 200)
+    recs = recordings(spark, trials)
+    n = C.sizes(recs)
+    matrix = C.in_mask(C.fc_matrix(recs, kind, positive), n, mask)
+    same = lambda a, b: all(x == pytest.approx(y, abs=1e-9, nan_ok=True) for x, y in zip(a, b, strict=True))
+    for k in (0, 1, 5):
+        wanted = {r.trial: list(r)[1:] for r in C.stat_ut(matrix, k, n).collect()}
+        got = {r.trial: list(r)[1:-1] for r in C.matrix_stats(recs, k, kind, positive, mask).collect()}
+        assert got.keys() == wanted.keys() and all(same(got[t], wanted[t]) for t in wanted)
+    quantiles = [0.0, 0.05, 0.5, 0.77, 1.0]
+    wanted = {r.trial: list(r)[1:] for r in C.stat_quantile(matrix, n, quantiles).collect()}
+    found = C.matrix_quantiles(recs, quantiles, kind, positive, mask)
+    got = {r.trial: list(r)[1:] for r in found.collect()}
+    # A trial of one region has its diagonal only.
+    assert got.keys() == wanted.keys() and all(same(got[t], wanted[t]) for t in wanted)
+    assert "percentile" not in plan(found)
+
+
+def test_counterparts_mirrors_and_factors_need_no_pairs(spark, trials, monkeypatch):
+    recs = recordings(spark, trials | {9: np.random.default_rng(8).normal(size=(90, 20))})
+    n, fc = C.sizes(recs), C.fc_matrix(recs)
+    cells = lambda df: {(r.trial, r.i): r.value for r in df.collect()}
+    assert cells(C.homotopic(recs, average=False)) == pytest.approx(cells(C.fc_homotopic(fc, n, average=False)), nan_ok=True)
+    ok = lambda df: {r.trial: r.ok for r in df.collect()}
+    assert ok(C.matrix_symmetric(recs)) == ok(C.is_symmetric(C.full(fc, n)))
+    x = np.random.default_rng(8).normal(size=(90, 20))
+    a = kernels.correlation(x)
+    np.fill_diagonal(a, 0)
+    monkeypatch.setattr(kernels, "correlation", None)
+    own = recs.filter("trial = 9")
+    for what, plain in (("eig", kernels.eigen_stats), ("pca", kernels.pca_stats)):
+        np.testing.assert_allclose(list(C.matrix_kernel(own, what).first())[1:], plain(a), atol=1e-8)
+
+
+def test_pairs_of_long_signals_meet_in_tiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, r, t, None if r == 1 and t == 3 else 2.0 if r == 4 else float(rng.normal())) for r in range(6) for t in range(12) if (r + t) % 5]
+    sig = spark.createDataFrame(rows, "trial long, region int, t int, v double")
+    met = C.region_pairs(sig)
+    plain = {(r.i, r.j): r.value for r in met.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value")).collect()}
+    got = C.inner_products(sig)
+    assert {(r.i, r.j): r.value for r in got.collect()} == pytest.approx(plain) and "Join" not in plan(got)
+    z = C.region_pairs(C.zscore(sig))
+    plain = {(r.i, r.j): r.w for r in z.groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("w")).collect()}
+    got = {(r.i, r.j): r.w for r in C.fc_join(sig).collect()}
+    assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k]) if plain[k] is not None else got[k] is None for k in plain)
+    odd, even = sig.filter("region % 2 = 1"), sig.filter("region % 2 = 0")
+    a, b = odd.selectExpr("t", "region i", "v x"), even.selectExpr("t", "region j", "v y")
+    plain = {(r.i, r.j): r.w for r in a.join(b.filter("j <> 4"), "t").groupBy("i", "j").agg(F.corr("x", "y").alias("w")).collect()}
+    got = {(r.i, r.j): r.w for r in C.corr_between(odd, even).collect()}
+    # A constant side has no correlation.
+    assert {k for k in got if k[1] != 4} == plain.keys() and all(got[k] == pytest.approx(plain[k]) for k in plain)
