@@ -443,6 +443,13 @@ def wide(features: DataFrame, labels: list[str] | None = None) -> DataFrame:
     return features.groupBy("trial").pivot("label", labels).agg(F.first("value"))
 
 
+def cells(features: DataFrame) -> DataFrame:
+    """(trial, label, value): the cells of ``wide``, empty ones as null, without its columns, whose number grows with the regions."""
+    grid = features.select("trial").distinct().crossJoin(F.broadcast(features.select("label").distinct()))
+    kept = features.groupBy("trial", "label").agg(F.first("value").alias("value"))
+    return grid.join(kept, ["trial", "label"], "left").select("trial", "label", "value")
+
+
 def as_lists(features: DataFrame) -> DataFrame:
     """(trial, labels, values) in the order of the labels."""
     both = F.array_sort(F.collect_list(F.struct("label", "value")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators.kernels import forward_backward, per_trial, viterbi
+from spindrift.operators.kernels import by_length, forward_backward, per_trial, viterbi
 from spindrift.operators.signal import in_time
 
 
@@ -71,6 +71,19 @@ def _posterior(log_b: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[
     return alpha * beta, both, np.log(scale).sum(axis=1) + top[..., 0].sum(axis=1)
 
 
+def _thin(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coordinates of fewer samples than regions in the space that the samples span, and what this leaves out of the log-likelihood.
+
+    Regions are scaled by their deviation, so that the floor of the covariances is a thousandth in every direction; outside the samples' space a
+    covariance is that floor for every state, and the mean is the samples'.
+    """
+    scale = np.sqrt(np.maximum(x.var(axis=0), 1e-12))
+    z = (x - x.mean(axis=0)) / scale
+    turned = np.linalg.qr(z.T, mode="r").T
+    out = z.shape[1] - turned.shape[1]
+    return turned, -len(x) * (np.log(scale).sum() + 0.5 * out * np.log(2 * np.pi * 1e-3))
+
+
 def fit_path(x: np.ndarray, n_states: int, rounds: int, starts: int, seed: int, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
     """The most likely states of a [samples x regions] recording under a hidden Markov model with normal emissions, and the model's log-likelihood.
 
@@ -78,20 +91,27 @@ def fit_path(x: np.ndarray, n_states: int, rounds: int, starts: int, seed: int,
     numbered by the mean of the first region. Covariances keep a thousandth of the regions' variances, so they stay regular.
     """
     n, d = x.shape
+    first, beside, whole = x[:, 0], 0.0, d
+    if d > n:
+        x, beside = _thin(x)
+        d = x.shape[1]
     rng, k = np.random.default_rng(seed), min(n_states, n)
-    ridge = np.diag(np.maximum(x.var(axis=0), 1e-12)) * 1e-3
+    ridge = np.eye(d) * 1e-3 if len(first) < whole else np.diag(np.maximum(x.var(axis=0), 1e-12)) * 1e-3
     mean = np.stack([x[np.sort(rng.choice(n, k, replace=False))] for _ in range(starts)])
     cov = np.broadcast_to(np.atleast_2d(np.cov(x.T, bias=True)) + ridge, (starts, k, d, d)).copy()
+    level = np.stack([first[np.abs(x[None] - m[:, None]).sum(axis=2).argmin(axis=1)] for m in mean])
     start, step = np.full((starts, k), 1 / k), np.broadcast_to(np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), (starts, k, k)).copy()
     last = np.full(starts, -np.inf)
     for _ in range(rounds):
         gamma, both, likelihood = _posterior(_log_normal(x, mean, cov), start, step)
+        likelihood = likelihood + beside
         if (likelihood - last <= tolerance * np.abs(likelihood)).all():
             break
         last = likelihood
         weight = np.maximum(gamma.sum(axis=1), 1e-10)
         start, step = gamma[:, 0] / gamma[:, 0].sum(axis=1, keepdims=True), (both + 1e-12) / (both + 1e-12).sum(axis=2, keepdims=True)
         mean = np.einsum("stk,td->skd", gamma, x) / weight[..., None]
+        level = np.einsum("stk,t->sk", gamma, first) / weight
         apart = x[None, :, None] - mean[:, None]
         cov = np.einsum("stk,stkd,stke->skde", gamma, apart, apart, optimize=True) / weight[..., None, None] + ridge
     log_b = _log_normal(x, mean, cov)
@@ -106,7 +126,7 @@ def fit_path(x: np.ndarray, n_states: int, rounds: int, starts: int, seed: int,
     path[-1] = score.argmax()
     for t in range(n - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
-    return np.argsort(np.argsort(mean[best][:, 0], kind="stable"))[path].astype(np.int32), float(likelihood[best])
+    return np.argsort(np.argsort(level[best], kind="stable"))[path].astype(np.int32), float(likelihood[best] + beside)
 
 
 def fit_trials(recordings: DataFrame, n_states: int = 4, rounds: int = 20, starts: int = 3, seed: int = 0) -> DataFrame:
@@ -141,10 +161,10 @@ def fit_hmm(recordings: DataFrame, n_states: int = 4, rounds: int = 20) -> DataF
         def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((n_states, 4 + n_states))
             for batch in batches:
-                for x in batch.column("v"):
-                    x = np.asarray(x.values.to_numpy(zero_copy_only=False), float)
+                for x, _ in by_length(batch.column("v")):
                     gamma, both, _ = forward_backward(x, *model)
-                    sums += np.column_stack([gamma[0], gamma.sum(0), gamma.T @ x, gamma.T @ x**2, both])
+                    flat, v = gamma.reshape(-1, n_states), x.ravel()
+                    sums += np.column_stack([gamma[:, 0].sum(0), flat.sum(0), flat.T @ v, flat.T @ v**2, both.sum(0)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_states)), pa.array(list(sums), pa.list_(pa.float64()))], ["k", "s"])
 
         parts = series.mapInArrow(expect, "k bigint, s array<double>")
@@ -158,7 +178,10 @@ def fit_hmm(recordings: DataFrame, n_states: int = 4, rounds: int = 20) -> DataF
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [viterbi(np.asarray(x.values.to_numpy(zero_copy_only=False), float), *model) for x in batch.column("v")]
+            paths = [np.zeros(0, np.int32)] * batch.num_rows
+            for x, at in by_length(batch.column("v")):
+                for k, found in zip(at, viterbi(x, *model)):
+                    paths[k] = found
             yield pa.RecordBatch.from_arrays([batch.column("trial"), batch.column("region"), pa.array(paths, pa.list_(pa.int32()))], ["trial", "region", "path"])
 
     # The path is lazy and reads the series again; the parts kept for the rounds are let go.

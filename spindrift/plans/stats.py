@@ -20,7 +20,7 @@ union all select trial, t, 2, cast(l_discount as double) from w union all select
 
 @query("src_wide", WIDE)
 def src_wide(spark, d):
-    items = S.number_regions(table(spark, d, "lineitem"), "l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")).withColumnRenamed("region", "t")
+    items = S.number_rows(table(spark, d, "lineitem"), "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]).withColumnRenamed("region", "t")
     return S.from_wide(items, "l_returnflag", "t", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 

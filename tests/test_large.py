@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import connectivity as C
-from spindrift.operators import kernels, tiles
+from spindrift.operators import registry as G
+from spindrift.operators import signal as S
+from spindrift.operators import kernels, states, tiles
 
 
 def recordings(spark, trials):
@@ -121,3 +123,32 @@ def test_pairs_of_long_signals_meet_in_tiles(spark):
     got = {(r.i, r.j): r.w for r in C.corr_between(odd, even).collect()}
     # A constant side has no correlation.
     assert {k for k in got if k[1] != 4} == plain.keys() and all(got[k] == pytest.approx(plain[k]) for k in plain)
+
+
+def test_state_paths_of_many_regions_keep_to_the_samples():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3, 4000))[np.repeat([0, 1, 2, 0, 1], 8)] * 2 + rng.normal(size=(40, 4000))
+    # A covariance of 4,000 regions a state and start would take over a GB.
+    path, likelihood = states.fit_path(x, 3, 20, 3, 0)
+    assert np.isfinite(likelihood) and len(path) == 40
+    turned, _ = states._thin(x)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert turned.shape == (40, 40)
+    np.testing.assert_allclose(turned @ turned.T, z @ z.T, atol=1e-6)
+    several = rng.normal(size=(6, 30))
+    model = np.full(2, 0.5), np.array([[0.8, 0.2], [0.3, 0.7]]), np.array([-1.0, 1.0]), np.ones(2)
+    for k, (gamma, both, one) in enumerate(zip(*kernels.forward_backward(several, *model))):
+        alone = kernels.forward_backward(several[k], *model)
+        np.testing.assert_allclose(gamma, alone[0]), np.testing.assert_allclose(both, alone[1])
+        assert one == pytest.approx(alone[2]) and (kernels.viterbi(several, *model)[k] == kernels.viterbi(several[k], *model)).all()
+
+
+def test_cells_need_no_columns_and_rows_are_numbered_in_ranges(spark):
+    features = spark.createDataFrame([(0, "a", 1.0), (0, "b", 2.0), (1, "b", None), (2, "c", 3.0)], "trial long, label string, value double")
+    wide = G.wide(features).unpivot(["trial"], ["a", "b", "c"], "label", "value")
+    assert sorted(map(str, G.cells(features).collect())) == sorted(map(str, wide.collect()))
+    keys = np.random.default_rng(3).integers(0, 50, 400).tolist()
+    df = spark.createDataFrame([("x" if k % 3 else None, None if i % 90 == 0 else k, i) for i, k in enumerate(keys)], "flag string, key long, line long")
+    got, wanted = S.number_rows(df, "flag", ["key", "line"], rows=40), S.number_regions(df, "flag", F.struct("key", "line"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in wanted.collect()}
+    assert "_range" in plan(got)
