@@ -1,5 +1,7 @@
 """What must not grow with the pairs of regions: plans and counts of rows, and results against plain ones."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,28 @@ def test_cells_need_no_columns_and_rows_are_numbered_in_ranges(spark):
     got, wanted = S.number_rows(df, "flag", ["key", "line"], rows=40), S.number_regions(df, "flag", F.struct("key", "line"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in wanted.collect()}
     assert "_range" in plan(got)
+
+
+def test_features_of_many_regions_hold_no_matrix_of_them_in_a_task(spark, monkeypatch):
+    plain, taken = kernels.per_trial, spark.sparkContext.accumulator(0)
+
+    def watched(recs, fn, schema):
+        def run(x):
+            tracemalloc.start()
+            found = fn(x)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            taken.add(1)
+            # A matrix of 1,200 regions takes 11.5 MB, the recording 0.6.
+            assert peak < 8e6, f"{peak / 1e6:.0f} MB"
+            return found
+
+        return plain(recs, run, schema)
+
+    for module in (kernels, states):
+        monkeypatch.setattr(module, "per_trial", watched)
+    signal = S.to_signal(recordings(spark, {0: np.random.default_rng(2).normal(size=(1200, 64))}))
+    config = G.by_domain(G.default_config(), ["connectivity", "hmm"])
+    found = G.extract(signal, config).filter("not isnan(value)").select("feature").distinct().collect()
+    assert {r.feature for r in found} == {"fc_sum", "fc_stat", "fc_homotopic", "fcd_stat", "hmm_stat"}
+    assert taken.value >= 3  # states, eigenvalues and components
