@@ -49,6 +49,19 @@ def test_rows_that_stay_repeat_their_places_closely():
     assert (got[tiles.ACROSS : 30 * tiles.ACROSS, 1] == got[: 29 * tiles.ACROSS, 1]).all()
 
 
+def test_a_mask_makes_only_its_pairs(spark):
+    x = np.random.default_rng(3).normal(size=(31, 40))
+    recs = recordings(spark, {0: x, 1: x[:6], 2: x[:1]})
+    for mask in ("interh", "intrah"):
+        got = C.fc_matrix(recs, digits=6, mask=mask)
+        assert "Join" not in (plan := got._jdf.queryExecution().toString())[: plan.index("FlatMapGroupsInArrow")]
+        wanted = C.only_mask(C.fc_matrix(recs, digits=6), C.sizes(recs), mask)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+        assert sorted(map(tuple, C.fc_matrix(recs, mask=mask).select("trial", "i", "j").collect())) == sorted(tuple(r)[:3] for r in wanted.collect())
+    with pytest.raises(ValueError):
+        C.fc_matrix(recs, digits=6, mask="other")
+
+
 def test_a_range_of_values_goes_through_all_windows(spark, many):
     got = C.sliding_fc_strided(recordings(spark, {0: many}), 40, 0.5, digits=5).filter("i < 1000 and j >= 1000").toPandas()
     # About 100,000 values are two ranges, each of which a file's dictionary holds: both windows for the first, then both for the second.
