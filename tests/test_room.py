@@ -5,6 +5,7 @@ import pytest
 
 from spindrift.operators import connectivity as C
 from spindrift.operators import tiles
+from spindrift.operators import signal as S
 
 from tests.test_order import bytes_a_row, matrix, recordings
 
@@ -62,6 +63,27 @@ def test_a_mask_makes_only_its_pairs(spark):
         C.fc_matrix(recs, digits=6, mask="other")
 
 
+def test_pairs_of_long_signals_leave_by_value(spark, many, tmp_path):
+    sig = S.to_signal(recordings(spark, {0: many}))
+    # In the order of the regions, rounded after they had left their tiles, both took more than 8 bytes.
+    got = C.inner_products(sig, digits=3)
+    assert bytes_a_row(got, tmp_path / "inner") < 4.7
+    np.testing.assert_allclose(matrix(got.withColumnRenamed("value", "w").toPandas(), 2000), (many @ many.T)[np.triu_indices(2000, 1)], atol=5.1e-4)
+    got = C.fc_join(sig, digits=5)
+    assert bytes_a_row(got, tmp_path / "join") < 4.7
+    np.testing.assert_allclose(matrix(got.toPandas(), 2000), np.corrcoef(many)[np.triu_indices(2000, 1)], atol=5.1e-6)
+
+
+def test_rounding_in_the_tiles_keeps_gaps_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, r, t, None if (r, t) == (1, 3) or r == 5 else float(rng.normal())) for r in range(7) for t in range(12) if (r + t) % 5]
+    sig = spark.createDataFrame([*rows, *((1, r, t, float(rng.normal())) for r in range(3) for t in range(9))], "trial long, region int, t int, v double")
+    for of, name in ((C.inner_products, "value"), (C.fc_join, "w")):
+        got, wanted = ({(r.trial, r.i, r.j): r[name] for r in of(sig, **k).collect()} for k in ({"digits": 4}, {}))
+        assert got.keys() == wanted.keys() and None in got.values()
+        assert all(got[k] is None if w is None else abs(got[k] - w) < 5.1e-5 for k, w in wanted.items())
+
+
 def test_a_range_of_values_goes_through_all_windows(spark, many):
     got = C.sliding_fc_strided(recordings(spark, {0: many}), 40, 0.5, digits=5).filter("i < 1000 and j >= 1000").toPandas()
     # About 100,000 values are two ranges, each of which a file's dictionary holds: both windows for the first, then both for the second.
