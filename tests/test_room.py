@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from spindrift.operators import connectivity as C
-from spindrift.operators import tiles
+from spindrift.operators import costs, tiles
 from spindrift.operators import signal as S
 
 from tests.test_order import bytes_a_row, matrix, recordings
@@ -84,6 +84,17 @@ def test_rounding_in_the_tiles_keeps_gaps_and_nulls(spark):
         assert all(got[k] is None if w is None else abs(got[k] - w) < 5.1e-5 for k, w in wanted.items())
 
 
+def test_pairs_of_sets_leave_by_value(spark, many, tmp_path):
+    recs = recordings(spark, {t: many[:1500] + t * many[500:] for t in (0, 1)})
+    # Both values in full take more than 16 bytes with their places.
+    got = costs.set_pairs(recs, 1, digits=5)
+    assert bytes_a_row(got, tmp_path / "pairs") < 13.5
+    assert bytes_a_row(costs.set_average(recs, 1, digits=5), tmp_path / "mean") < 5.5
+    rows = got.toPandas()
+    for c, x in (("x", many[:1500] + many[500:]), ("y", many[:1500])):
+        np.testing.assert_allclose(matrix(rows.assign(w=rows[c]), 1500), np.arctanh(np.corrcoef(x)[np.triu_indices(1500, 1)]), atol=5.1e-6)
+
+
 def test_a_range_of_values_goes_through_all_windows(spark, many):
     got = C.sliding_fc_strided(recordings(spark, {0: many}), 40, 0.5, digits=5).filter("i < 1000 and j >= 1000").toPandas()
     # About 100,000 values are two ranges, each of which a file's dictionary holds: both windows for the first, then both for the second.
