@@ -100,4 +100,5 @@ def test_a_range_of_values_goes_through_all_windows(spark, many):
     # About 100,000 values are two ranges, each of which a file's dictionary holds: both windows for the first, then both for the second.
     assert len(got) == 2_000_000 and stretches(got.w0.to_numpy()) == 4
     first = got.w[:900_000]
-    assert first.max() < got.w[-900_000:].min() and stretches(got.w.to_numpy()) < 4 * 200_000
+    # The value at the border may be in both ranges.
+    assert first.max() <= got.w[-900_000:].min() and stretches(got.w.to_numpy()) < 4 * 200_000
